@@ -1,3 +1,5 @@
 """Import every catalog module so that its queries register."""
 
 from vigil.plans import catalog_business  # noqa: F401
+from vigil.plans import catalog_io  # noqa: F401
+from vigil.plans import catalog_relational  # noqa: F401
