@@ -154,4 +154,8 @@ def with_views(body: str, *names: str, ctes: list[tuple[str, str]] | None = None
         visit(n)
     parts = [f"{n} AS ({VIEWS[n][1]})" for n in order]
     parts += [f"{n} AS ({s})" for n, s in (ctes or [])]
+    stripped = body.lstrip()
+    if parts and stripped[:5].upper() == "WITH ":
+        # merge the body's own CTE list into ours
+        return f"WITH {', '.join(parts)},\n{stripped[5:]}"
     return (f"WITH {', '.join(parts)}\n{body}") if parts else body
