@@ -5,3 +5,4 @@ from vigil.plans import catalog_io  # noqa: F401
 from vigil.plans import catalog_profile  # noqa: F401
 from vigil.plans import catalog_quality  # noqa: F401
 from vigil.plans import catalog_relational  # noqa: F401
+from vigil.plans import catalog_stats  # noqa: F401

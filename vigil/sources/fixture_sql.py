@@ -159,3 +159,13 @@ def with_views(body: str, *names: str, ctes: list[tuple[str, str]] | None = None
         # merge the body's own CTE list into ours
         return f"WITH {', '.join(parts)},\n{stripped[5:]}"
     return (f"WITH {', '.join(parts)}\n{body}") if parts else body
+
+
+def poisson1(u: str) -> str:
+    """SQL form of ``exprs.poisson1_weight``."""
+    terms, cdf, t = [], 0.0, math.exp(-1.0)
+    for k in range(12):
+        cdf += t
+        terms.append(f"CASE WHEN ({u}) >= {cdf!r} THEN 1 ELSE 0 END")
+        t = t / (k + 1)
+    return "(" + " + ".join(terms) + ")"
