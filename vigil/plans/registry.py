@@ -18,11 +18,17 @@ ROUND_DP = 6
 
 
 def finish(df: DataFrame, nd: int = ROUND_DP) -> DataFrame:
-    """Round every floating column so that engines agree to the last digit."""
+    """Round every floating column so that engines agree to the last digit.
+
+    round(x * 10^nd) / 10^nd (+ 0.0 to fold -0.0 into 0.0): the scaled product is the
+    same binary double in every engine, so half-way cases round the same way.
+    """
+    scale = float(10 ** nd)
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`").cast("double"), nd).alias(f.name))
+            x = F.col(f"`{f.name}`").cast("double")
+            cols.append((F.round(x * F.lit(scale)) / F.lit(scale) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
@@ -32,7 +38,8 @@ def rounded(sql: str, doubles: tuple[str, ...] | list[str] = (), nd: int = ROUND
     """Wrap oracle SQL so the listed floating columns are rounded as in ``finish``."""
     if not doubles:
         return sql
-    rep = ", ".join(f"round(({c})::DOUBLE, {nd}) AS {c}" for c in doubles)
+    scale = float(10 ** nd)
+    rep = ", ".join(f"round(({c})::DOUBLE * {scale!r}) / {scale!r} + 0.0 AS {c}" for c in doubles)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS _q"
 
 
