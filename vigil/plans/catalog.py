@@ -7,3 +7,4 @@ from vigil.plans import catalog_quality  # noqa: F401
 from vigil.plans import catalog_relational  # noqa: F401
 from vigil.plans import catalog_stats  # noqa: F401
 from vigil.plans import catalog_features  # noqa: F401
+from vigil.plans import catalog_eval  # noqa: F401

@@ -39,7 +39,7 @@ def rounded(sql: str, doubles: tuple[str, ...] | list[str] = (), nd: int = ROUND
     if not doubles:
         return sql
     scale = float(10 ** nd)
-    rep = ", ".join(f"round(({c})::DOUBLE * {scale!r}) / {scale!r} + 0.0 AS {c}" for c in doubles)
+    rep = ", ".join(f'round(("{c}")::DOUBLE * {scale!r}) / {scale!r} + 0.0 AS "{c}"' for c in doubles)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS _q"
 
 

@@ -111,7 +111,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "service_log": ((), """
         SELECT ts, 'v' || CAST(user_id % 2 + 1 AS VARCHAR) AS model_version, value AS latency_ms,
                (event_type = 'error' AND event_id % 10 = 0)::INTEGER AS is_error,
-               (value < 150)::INTEGER AS is_correct, event_id, user_id
+               (value < 150)::INTEGER AS is_correct, user_id % 3 + 1 AS num_samples, event_id, user_id
         FROM events"""),
     "metric_history": ((), "SELECT event_type AS name, value, 'BRL' AS unit, ts FROM events"),
     "feedback": ((), "SELECT least(10.0, floor(value / 10)::DOUBLE) AS nps_score FROM events"),

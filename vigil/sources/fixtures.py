@@ -131,6 +131,7 @@ def service_log(t: Tables) -> DataFrame:
         F.col("value").alias("latency_ms"),
         ((F.col("event_type") == "error") & (F.col("event_id") % 10 == 0)).cast("int").alias("is_error"),
         (F.col("value") < 150).cast("int").alias("is_correct"),
+        (F.col("user_id") % 3 + 1).alias("num_samples"),
         "event_id", "user_id")
 
 
