@@ -35,13 +35,15 @@ def default_buckets(df: DataFrame) -> int:
 
 
 def cumulative(cells: DataFrame, keys: list[str], value: str, counts: list[str],
-               buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
+               buckets: int | None = None, accuracy: int = 10000, with_next: bool = False) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum ordered by ``value`` within ``keys``)
-    for every count column ``c`` of a table with one row per (keys, value)."""
+    for every count column ``c`` of a table with one row per (keys, value).
+    ``with_next`` also adds ``next_value``: the next larger value of the group."""
     b = default_buckets(cells) if buckets is None else buckets
     if b <= 1:
         w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        return cells.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in counts])
+        extra = [F.lead(value).over(Window.partitionBy(*keys).orderBy(value)).alias("next_value")] if with_next else []
+        return cells.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in counts], *extra)
 
     qs = [i / b for i in range(1, b)]
     bounds = cells.groupBy(*keys).agg(
@@ -53,15 +55,20 @@ def cumulative(cells: DataFrame, keys: list[str], value: str, counts: list[str],
     tagged = (cells.join(F.broadcast(bounds), keys)
               .withColumn("_bk", F.size(F.filter("_bounds", lambda x: x < v)))
               .drop("_bounds"))
-    tot = tagged.groupBy(*keys, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in counts])
+    tot = tagged.groupBy(*keys, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in counts],
+                                           F.min(value).alias("_mn"))
     wo = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    wn = Window.partitionBy(*keys).orderBy("_bk")
     off = tot.select(*keys, "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
-                                     for c in counts])
+                                     for c in counts],
+                     F.lead("_mn").over(wn).alias("_next_mn"))
     wl = Window.partitionBy(*keys, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    local = tagged.select("*", *[F.sum(c).over(wl).alias(f"_l_{c}") for c in counts])
+    extra = [F.lead(value).over(Window.partitionBy(*keys, "_bk").orderBy(value)).alias("_lead")] if with_next else []
+    local = tagged.select("*", *[F.sum(c).over(wl).alias(f"_l_{c}") for c in counts], *extra)
     out = local.join(F.broadcast(off), [*keys, "_bk"])
+    nxt = [F.coalesce("_lead", "_next_mn").alias("next_value")] if with_next else []
     return out.select(*cells.columns,
-                      *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in counts])
+                      *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in counts], *nxt)
 
 
 def value_cells(long: DataFrame, keys: list[str], value: str,
@@ -76,10 +83,15 @@ def value_cells(long: DataFrame, keys: list[str], value: str,
 
 def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[float],
                     buckets: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) per group, from
-    cumulative counts: the value at 0-based index i is the one with cum_before <= i < cum.
+    """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) per group.
     Returns one row per (keys, q) with column ``value_q``."""
-    cells = value_cells(long, keys, value)
+    return quantiles_from_cells(value_cells(long, keys, value), keys, value, probs, buckets)
+
+
+def quantiles_from_cells(cells: DataFrame, keys: list[str], value: str, probs: list[float],
+                         buckets: int | None = None) -> DataFrame:
+    """Quantiles from (keys, value, n) cells: the value at 0-based index i is the one with
+    cum_before <= i < cum; linear interpolation between indices floor(pos) and ceil(pos)."""
     cum = cumulative(cells, keys, value, ["n"], buckets)
     tot = cells.groupBy(*keys).agg(F.sum("n").alias("_N"))
     qrows = tot.select(*keys, "_N", F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q"))
