@@ -9,3 +9,4 @@ from vigil.plans import catalog_stats  # noqa: F401
 from vigil.plans import catalog_features  # noqa: F401
 from vigil.plans import catalog_eval  # noqa: F401
 from vigil.plans import catalog_monitor  # noqa: F401
+from vigil.plans import catalog_fairness  # noqa: F401
