@@ -11,3 +11,4 @@ from vigil.plans import catalog_eval  # noqa: F401
 from vigil.plans import catalog_monitor  # noqa: F401
 from vigil.plans import catalog_fairness  # noqa: F401
 from vigil.plans import catalog_robustness  # noqa: F401
+from vigil.plans import catalog_streaming  # noqa: F401
