@@ -129,3 +129,21 @@ FROM x, tg GROUP BY attribute, "group\"""", "scored"))
 def l12(t):
     """Group-wise decision thresholds matching the overall positive rate (post-processing mitigation)."""
     return L.group_thresholds(fx.scored(t), ATTRS, grid=_GRID)
+
+
+_METRIC_IDS = {"l01_demographic_parity": "demographic_parity", "l02_equal_opportunity": "equal_opportunity",
+               "l03_equalized_odds": "equalized_odds", "l04_disparate_impact": "disparate_impact",
+               "l05_predictive_parity": "predictive_parity"}
+
+
+def _metric_query(qid: str, metric: str):
+    @query(qid, doubles=SUM_D, oracle=with_views(
+        f"SELECT * FROM ({_summary_sql('scored', ATTRS)}) s WHERE metric = '{metric}'", "scored"))
+    def q(t):
+        return L.fairness_summary(fx.scored(t), ATTRS, prob=None).where(f"metric = '{metric}'")
+    q.__doc__ = f"{metric.replace('_', ' ')} per sensitive attribute (spread / ratio and pass flag)."
+    return q
+
+
+for _qid, _metric in _METRIC_IDS.items():
+    _metric_query(_qid, _metric)

@@ -331,3 +331,22 @@ SELECT 'v1' AS version_a, 'v2' AS version_b, p1 AS rate_a, p2 AS rate_b, z, 2 *
        2 * (1 - {norm_cdf('abs(z)')}) < 0.05 AS significant FROM z""", "service_log"))
 def n04(t):
     return N.two_proportion_test(N.service_metrics(fx.service_log(t)), "v1", "v2")
+
+
+@query("c04_metric_rule_join", doubles=("limit", "value"), oracle=with_views(f"""
+WITH m AS ({_svc_sql()}),
+l AS (SELECT model_version, 'error_rate' AS metric, error_rate AS value FROM m UNION ALL
+      SELECT model_version, 'latency_p95', latency_p95 FROM m UNION ALL SELECT model_version, 'accuracy', accuracy FROM m),
+r AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}', {c}, '{d}')" for a, b, c, d in _RULES)}) r(metric, op, "limit", severity))
+SELECT l.model_version, l.metric, l.value, r.op, r."limit", r.severity,
+       (op = '>' AND value > "limit") OR (op = '<' AND value < "limit") AS fired
+FROM l JOIN r USING (metric)""", "service_log"))
+def c04(t):
+    """Metric rows joined with the (broadcast, fixed-size) alert-rule table and the rule predicate."""
+    m = N.service_metrics(fx.service_log(t))
+    long = m.unpivot(["model_version"], ["error_rate", "latency_p95", "accuracy"], "metric", "value")
+    rules = t.spark.createDataFrame(_RULES, "metric string, op string, limit double, severity string")
+    j = long.join(F.broadcast(rules), "metric")
+    fired = (F.when(F.col("op") == ">", F.col("value") > F.col("limit"))
+             .when(F.col("op") == "<", F.col("value") < F.col("limit")).otherwise(F.lit(False)))
+    return j.select("model_version", "metric", "value", "op", "limit", "severity", fired.alias("fired"))
