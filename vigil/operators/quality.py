@@ -65,35 +65,33 @@ def missing_report(df: DataFrame, cols: list[str] | None = None, n_samples: int
     """e03: per column with NULLs: count, % (2 dp), type, distinct, first sample values.
 
     Samples are the smallest distinct non-null values as text (rows have no
-    order in a distributed table), found by ``n_samples`` successive min
-    aggregates over the long table -- no collect of a column.
+    order in a distributed table) -- a bounded top-n per column, no collect of a column.
     """
     cols = cols or df.columns
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    n = F.count("*")
-    wide = df.agg(n.alias("_n"),
-                  *[count_true(F.col(c).isNull()).alias(f"m_{i}") for i, c in enumerate(cols)],
-                  *[F.count_distinct(F.col(c)).alias(f"u_{i}") for i, c in enumerate(cols)])
+    wide = df.agg(F.count("*").alias("_n"),
+                  *[count_true(F.col(c).isNull()).alias(f"m_{i}") for i, c in enumerate(cols)])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m_{i}").alias("missing_count"),
-                              F.col(f"u_{i}").alias("unique_values"), F.lit(types[c]).alias("dtype"))
-                     for i, c in enumerate(cols)])
+                              F.lit(types[c]).alias("dtype")) for i, c in enumerate(cols)])
     rep = wide.select("_n", F.inline(rows)).where(F.col("missing_count") > 0)
     rep = rep.select("column", "missing_count",
-                     F.round(F.col("missing_count") / F.col("_n") * 100, 2).alias("missing_percent"),
-                     "dtype", "unique_values")
+                     F.round(F.col("missing_count") / F.col("_n") * 100, 2).alias("missing_percent"), "dtype")
     long = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
             .unpivot([], cols, "column", "v").where(F.col("v").isNotNull()))
-    samples = None
-    for k in range(n_samples):
-        cur = long if samples is None else long.join(F.broadcast(samples.select("column", "_last")), "column") \
-            .where(F.col("v") > F.col("_last"))
-        m = cur.groupBy("column").agg(F.min("v").alias(f"s{k}"))
-        if samples is None:
-            samples = m.withColumn("_last", F.col("s0"))
-        else:
-            samples = samples.join(m, "column", "left").withColumn("_last", F.col(f"s{k}"))
-    samples = samples.select("column", F.concat_ws(", ", *[F.col(f"s{k}") for k in range(n_samples)])
-                             .alias("sample_values"))
+    # one distinct (column, value) table (map-side partial aggregation) feeds both the distinct
+    # counts and the samples -- no multi-distinct Expand over the wide rows
+    distinct = long.groupBy("column", "v").agg(F.count("*").alias("_c"))
+    uniq = distinct.groupBy("column").agg(F.count("*").alias("unique_values"))
+    # row_number() <= n per column: Spark applies that limit per partition before the shuffle
+    # (WindowGroupLimit), so a column with billions of values ships only a handful of rows.
+    from pyspark.sql import Window
+    w = Window.partitionBy("column").orderBy("v")
+    first = distinct.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_samples)
+    samples = first.groupBy("column").agg(
+        F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("_r", "v"))), lambda x: x["v"]))
+        .alias("sample_values"))  # at most n_samples entries per column
+    rep = rep.join(uniq, "column", "left").select("column", "missing_count", "missing_percent", "dtype",
+                                                  F.coalesce("unique_values", F.lit(0)).alias("unique_values"))
     return rep.join(samples, "column", "left")
 
 
