@@ -44,12 +44,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as is.  Only when it is unset (tests, local runs) a fresh local folder is
     created and registered.
     """
-    d = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="vigil-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+        d = tempfile.mkdtemp(prefix="vigil-ckpt-")   # only when the cluster names none (tests)
+        try:
+            spark.conf.set(CHECKPOINT_CONF, d)
+        except Exception:  # noqa: BLE001 -- core conf not settable at runtime: the context keeps it
+            pass
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
