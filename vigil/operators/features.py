@@ -136,16 +136,32 @@ def rfm(tx: DataFrame, customer: str, ts: str, amount: str, as_of, windows=(30,
 
 
 def rolling_point_in_time(tx: DataFrame, customer: str, ts: str, amount: str, key: str,
-                          days: int = 30) -> DataFrame:
-    """h09 point-in-time variant: per row, the customer's amount over the preceding ``days``
-    (inclusive range window on day number) and days since the previous transaction."""
+                          days: int = 30, slice_days: int | None = None) -> DataFrame:
+    """h09 point-in-time variant: per row, the customer's amount and count over the preceding
+    ``days`` (inclusive range on day number) and days since the previous transaction.
+
+    Time-sliced so that one customer with a third of all rows is not one task: rows are cut
+    into (customer, slice) partitions of ``slice_days``; the last ``days - 1`` days of each
+    slice are copied into the next slice as context rows, so every range window is complete
+    inside one partition.  The previous transaction before a slice (for days_since_last)
+    comes from a per-(customer, slice) max table (one row per customer and slice)."""
+    S = max(int(slice_days or 30), days)
     dn = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date"))
-    x = tx.withColumn("_dn", dn)
-    w = Window.partitionBy(customer).orderBy("_dn").rangeBetween(-(days - 1), 0)
-    wl = Window.partitionBy(customer).orderBy("_dn", F.col(ts), F.col(key))
-    return x.select("*", F.sum(amount).over(w).alias(f"amount_{days}d"),
-                    F.count("*").over(w).alias(f"n_{days}d"),
-                    (F.col("_dn") - F.lag("_dn").over(wl)).alias("days_since_last")).drop("_dn")
+    x = tx.withColumn("_dn", dn).withColumn("_sl", F.floor(F.col("_dn") / S))
+    ctx = (x.where(F.col("_dn") - F.col("_sl") * S >= S - (days - 1))
+           .withColumn("_sl", F.col("_sl") + 1).withColumn("_ctx", F.lit(True)))
+    both = x.withColumn("_ctx", F.lit(False)).unionByName(ctx)
+    w = Window.partitionBy(customer, "_sl").orderBy("_dn").rangeBetween(-(days - 1), 0)
+    wl = Window.partitionBy(customer, "_sl").orderBy("_dn", F.col(ts), F.col(key))
+    prev_slice = (x.groupBy(customer, "_sl").agg(F.max("_dn").alias("_mx"))
+                  .withColumn("_prev_mx", F.lag("_mx").over(Window.partitionBy(customer).orderBy("_sl")))
+                  .select(customer, "_sl", "_prev_mx"))   # one row per customer and slice
+    out = (both.select("*", F.sum(amount).over(w).alias(f"amount_{days}d"),
+                       F.count("*").over(w).alias(f"n_{days}d"), F.lag("_dn").over(wl).alias("_prev"))
+           .where(~F.col("_ctx"))
+           .join(prev_slice, [customer, "_sl"], "left"))
+    return out.withColumn("days_since_last", F.col("_dn") - F.coalesce("_prev", "_prev_mx")) \
+        .drop("_dn", "_sl", "_ctx", "_prev", "_prev_mx")
 
 
 def calendar_parts(df: DataFrame, ts: str) -> DataFrame:
@@ -296,10 +312,26 @@ def fill_numeric_median(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), st.getField(c)) for c in cols})
 
 
-def forward_fill(df: DataFrame, cols: list[str], entity: str, order: list[str]) -> DataFrame:
-    """h18: last non-NULL value of the entity so far (per-entity window)."""
-    w = Window.partitionBy(entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+def forward_fill(df: DataFrame, cols: list[str], entity: str, order: list[str],
+                 slice_col: Column | None = None) -> DataFrame:
+    """h18: last non-NULL value of the entity so far.
+
+    With ``slice_col`` (e.g. the month of the order date) the window runs per (entity, slice)
+    and the value carried in from earlier slices comes from a per-(entity, slice) table of
+    last non-NULL values (one row per entity and slice), so a huge entity is split by time."""
+    if slice_col is None:
+        w = Window.partitionBy(entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    x = df.withColumn("_sl", slice_col)
+    w = Window.partitionBy(entity, "_sl").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last_in = x.groupBy(entity, "_sl").agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_l_{c}") for c in cols])
+    wc = Window.partitionBy(entity).orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last_in.select(entity, "_sl", *[F.last(f"_l_{c}", ignorenulls=True).over(wc).alias(f"_c_{c}")
+                                            for c in cols])
+    y = x.join(carry, [entity, "_sl"], "left")
+    return y.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"_c_{c}")) for c in cols}) \
+        .drop("_sl", *[f"_c_{c}" for c in cols])
 
 
 def correlated_drop_list(corr: DataFrame, limit: float = 0.95) -> DataFrame:

@@ -255,7 +255,7 @@ SELECT id, customer_id, date, last_value(f_total IGNORE NULLS) OVER (PARTITION B
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f_total FROM feature_store_nulls""", FSN))
 def h18f(t):
     fs = fx.feature_store_nulls(t).select("id", "customer_id", "date", "f_total")
-    return H.forward_fill(fs, ["f_total"], "customer_id", ["date", "id"])
+    return H.forward_fill(fs, ["f_total"], "customer_id", ["date", "id"], F.trunc("date", "month"))
 
 
 _LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_gross"]

@@ -130,14 +130,28 @@ def counter_series(log: DataFrame, ts: str = "ts", name: str = "event_type") ->
 
 def rate_1h(series: DataFrame, ts: str = "ts") -> DataFrame:
     """s04: rate(x[1h]) per hour: non-negative increases (a drop is a counter reset, the new
-    value counts as the increase) summed over each hour / 3600."""
+    value counts as the increase) summed over each hour / 3600.
+
+    Deltas inside an hour come from a window per (name, hour); the delta between an hour's
+    first sample and the previous hour's last sample comes from a per-(name, hour) table
+    (one row per series and hour), so no task holds a whole series."""
     from pyspark.sql import Window
-    w = Window.partitionBy("name").orderBy(ts, "event_id")
+    hour = F.date_trunc("hour", ts)
+    x = series.withColumn("hour", hour)
+    w = Window.partitionBy("name", "hour").orderBy(ts, "event_id")
     prev = F.lag("value").over(w)
-    inc = F.when(prev.isNull(), F.lit(0)).when(F.col("value") >= prev, F.col("value") - prev).otherwise(F.col("value"))
-    x = series.select("name", ts, inc.alias("inc"))
-    return x.groupBy("name", F.date_trunc("hour", ts).alias("hour")).agg(
-        (F.sum("inc") / 3600.0).alias("rate_per_s"), F.sum("inc").alias("increase"))
+    inc = F.when(prev.isNull(), F.lit(None)).when(F.col("value") >= prev, F.col("value") - prev).otherwise(F.col("value"))
+    per = (x.select("name", "hour", ts, "event_id", "value", inc.alias("inc"))
+           .groupBy("name", "hour").agg(
+               F.coalesce(F.sum("inc"), F.lit(0)).alias("inside"),
+               F.min_by("value", F.struct(ts, "event_id")).alias("first_v"),
+               F.max_by("value", F.struct(ts, "event_id")).alias("last_v")))
+    prev_last = F.lag("last_v").over(Window.partitionBy("name").orderBy("hour"))
+    edge = (F.when(prev_last.isNull(), F.lit(0)).when(F.col("first_v") >= prev_last, F.col("first_v") - prev_last)
+            .otherwise(F.col("first_v")))
+    out = per.select("name", "hour", (F.col("inside") + edge).alias("increase"))
+    return out.select("name", "hour", (F.col("increase") / 3600.0).alias("rate_per_s"),
+                      F.col("increase").cast("long").alias("increase"))
 
 
 def avg_over_time(history: DataFrame, range_: str = "7 days", step: str = "1 day",
