@@ -44,13 +44,20 @@ def health_verdict(metrics: DataFrame, canary: str, production: str, version: st
                    by: list[str] | None = None, limits: ReleaseLimits = ReleaseLimits()) -> DataFrame:
     """n02: canary vs production; first failing check in the reference's order."""
     by = by or []
-    c = metrics.where(F.col(version) == canary).select(*by, *[F.col(x).alias(f"c_{x}") for x in
-                                                            ("error_rate", "latency_p95", "accuracy", "n")])
-    p = metrics.where(F.col(version) == production).select(*by, *[F.col(x).alias(f"p_{x}") for x in
-                                                                ("error_rate", "latency_p95", "accuracy")])
-    if by:
-        j = c.join(p, by)
-    else:  # one production row: a scalar subquery, no join
+    return verdict(metrics.where(F.col(version) == canary), metrics.where(F.col(version) == production),
+                   by, by, limits)
+
+
+def verdict(canary_m: DataFrame, production_m: DataFrame, by: list[str], production_by: list[str],
+            limits: ReleaseLimits = ReleaseLimits()) -> DataFrame:
+    """Checks of one canary metric row per ``by`` key against production metrics; when the
+    production side has no key (one row) it enters as a scalar subquery, not a join."""
+    c = canary_m.select(*by, *[F.col(x).alias(f"c_{x}") for x in ("error_rate", "latency_p95", "accuracy", "n")])
+    p = production_m.select(*production_by, *[F.col(x).alias(f"p_{x}") for x in
+                                              ("error_rate", "latency_p95", "accuracy")])
+    if production_by:
+        j = c.join(p, production_by)
+    else:
         prow = p.select(F.struct("p_error_rate", "p_latency_p95", "p_accuracy")).scalar()
         j = c.select("*", *[prow.getField(f).alias(f) for f in ("p_error_rate", "p_latency_p95", "p_accuracy")])
     fail = F.coalesce(
@@ -71,11 +78,18 @@ def staged_rollout(log: DataFrame, key: str, canary: str, production: str, versi
     running AND over stages: the rollout stops at the first failing stage."""
     stages = F.array(*[F.lit(s) for s in limits.stages])
     bucket = F.floor(md5_uniform(key) * 100)
-    x = log.withColumn("_b", bucket)
-    c = x.where(F.col(version) == canary).select("*", F.explode(stages).alias("stage")).where(F.col("_b") < F.col("stage"))
-    p = x.where(F.col(version) == production).select("*", F.explode(stages).alias("stage"))
-    m = service_metrics(c.unionByName(p), version, by=["stage"], with_total=False)
-    v = health_verdict(m, canary, production, version, by=["stage"], limits=limits)
+    # canary rows join every stage whose share covers their bucket (1.9x canary rows in all);
+    # production serves the rest at every stage: it enters once (stage -1), its metric row is
+    # then repeated for the five stage rows -- one metrics pass for both versions.
+    c = (log.where(F.col(version) == canary).withColumn("_b", bucket)
+         .select("*", F.explode(stages).alias("stage")).where(F.col("_b") < F.col("stage")).drop("_b"))
+    p = log.where(F.col(version) == production).withColumn("stage", F.lit(-1))
+    # the per-(stage, version) metric table is tiny and read by several branches: computed once
+    # and checkpointed into the shared folder
+    from vigil.session import cut_lineage
+    m = cut_lineage(service_metrics(c.unionByName(p), version, by=["stage"], with_total=False))
+    mp = m.where(F.col("stage") == -1).drop("stage").select("*", F.explode(stages).alias("stage"))
+    v = verdict(m.where(F.col("stage") >= 0), mp, ["stage"], ["stage"], limits)
     w = Window.orderBy("stage").rowsBetween(Window.unboundedPreceding, 0)  # five stage rows
     return v.withColumn("promoted_through", F.min(F.col("healthy").cast("int")).over(w) == 1)
 
