@@ -3,7 +3,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from vigil.functions import exprs as X
 from vigil.functions.ranks import cumulative, exact_quantiles

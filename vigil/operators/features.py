@@ -392,7 +392,3 @@ def tfidf(docs: DataFrame, text: str, num_features: int = 1 << 18) -> DataFrame:
                          HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
                          IDF(inputCol="_tf", outputCol="tfidf")])
     return p.fit(docs).transform(docs).drop("_tok", "_tf")
-
-
-def with_missing_flags(df: DataFrame, cols: list[str]) -> Column:
-    return F.array(*[F.col(c).isNull() for c in cols])
