@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from vigil.functions.ranks import cumulative, exact_quantiles
+from vigil.functions.ranks import cumulative, exact_quantiles, ordered_running_sums
 
 values = st.lists(st.integers(min_value=-50, max_value=50), min_size=1, max_size=60)
 
@@ -34,3 +34,23 @@ def test_cumulative_equals_running_sum(spark, a, buckets):
     for i, v in enumerate(uniq):
         nxt = float(uniq[i + 1]) if i + 1 < len(uniq) else None
         assert got[float(v)] == (int(run[i]), nxt)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(scores=st.lists(st.integers(min_value=0, max_value=3), min_size=1, max_size=80),
+       hot=st.floats(min_value=0.0, max_value=1.0), parts=st.sampled_from([1, 3, 7]))
+def test_ordered_running_sums_equal_window(spark, scores, hot, parts):
+    """A hot key and heavy score ties: range slices + offsets equal the one-task window."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    n_hot = int(len(scores) * hot)
+    rows = [("hot" if i < n_hot else f"k{i % 3}", i, float(s), int(s >= 2)) for i, s in enumerate(scores)]
+    df = spark.createDataFrame(rows, "q string, item long, s double, rel int").withColumn("one", F.lit(1))
+    order = [F.col("s").desc(), F.col("item")]
+    got = {(r["q"], r["item"]): (r["cum_one"], r["cum_rel"])
+           for r in ordered_running_sums(df, ["q"], order, ["one", "rel"], partitions=parts).collect()}
+    w = Window.partitionBy("q").orderBy(*order)
+    exp = {(r["q"], r["item"]): (r["rn"], r["hits"])
+           for r in df.select("q", "item", F.row_number().over(w).alias("rn"),
+                              F.sum("rel").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hits")).collect()}
+    assert got == exp

@@ -107,3 +107,45 @@ def quantiles_from_cells(cells: DataFrame, keys: list[str], value: str, probs: l
               .agg(F.max(F.when(hit0, F.col("_v"))).alias("_v0"), F.max(F.when(hit1, F.col("_v"))).alias("_v1")))
     return picked.select(*keys, "q", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_pos") - F.col("_i0")))
                          .alias("value_q"))
+
+
+def ordered_running_sums(df: DataFrame, keys: list[str], order: list, flags: list[str],
+                         partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums ``cum_<f>`` of the numeric columns ``flags`` within ``keys``
+    in a composite ``order`` (a list of columns; the last one must make the order total,
+    e.g. an item id).  ``row_number()`` is the running sum of a column of ones.
+
+    ``cumulative`` buckets on one numeric value; here the order is composite and one key
+    (or one tie of the leading order column) may hold a large share of the rows, so the
+    rows are range-partitioned on (keys, order).  Spark samples the composite key for the
+    range bounds, so a hot key spans many slices.  Each row is tagged with its slice and
+    the tagged rows are checkpointed (both branches below read the same slices; retries
+    cannot move a row to another slice).  Running sums run per (keys, slice) -- at most one
+    range partition per task -- and a small per-(keys, slice) table of preceding totals
+    completes them."""
+    p = default_buckets(df) if partitions is None else partitions
+    x = df.repartitionByRange(p, *[F.col(k) for k in keys], *order).withColumn("_p", F.spark_partition_id())
+    x = cut_lineage(x)
+    w = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = x.select("*", *[F.sum(f).over(w).alias(f"_l_{f}") for f in flags])
+    tot = x.groupBy(*keys, "_p").agg(*[F.sum(f).alias(f"_t_{f}") for f in flags])
+    wo = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per (key, slice): at most (#keys + #slices) rows; a hot key has one row per slice
+    off = tot.select(*keys, "_p", *[F.coalesce(F.sum(f"_t_{f}").over(wo), F.lit(0)).alias(f"_o_{f}")
+                                    for f in flags])
+    out = local.join(off, [*keys, "_p"])
+    return out.select(*df.columns, *[(F.col(f"_l_{f}") + F.col(f"_o_{f}")).alias(f"cum_{f}") for f in flags])
+
+
+def ordered_previous(df: DataFrame, keys: list[str], order: list, cols: list[str],
+                     partitions: int | None = None) -> DataFrame:
+    """``lag``: adds ``prev_<c>`` (the value of ``c`` on the previous row within ``keys`` in the
+    total ``order``; NULL on a key's first row) and ``pos`` (1-based row number).
+
+    Positions come from ``ordered_running_sums``; the previous row is found by an equi-join
+    on (keys, pos) = (keys, pos + 1).  Positions are unique within a key, so the join is
+    spread evenly however large a key is."""
+    pos = ordered_running_sums(df.withColumn("_one", F.lit(1)), keys, order, ["_one"], partitions) \
+        .withColumnRenamed("cum__one", "pos").drop("_one")
+    prev = pos.select(*keys, (F.col("pos") + 1).alias("pos"), *[F.col(c).alias(f"prev_{c}") for c in cols])
+    return pos.join(prev, [*keys, "pos"], "left")

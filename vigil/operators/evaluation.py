@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.exprs import safe_div
-from vigil.functions.ranks import cumulative
+from vigil.functions.ranks import cumulative, ordered_running_sums
 
 ALL = "__all__"
 
@@ -152,25 +152,32 @@ def regression_metrics_mllib(df: DataFrame, y: str = "y", yhat: str = "yhat", me
 def ranking_metrics(df: DataFrame, query: str, item: str, score: str, rel: str, k: int = 10) -> DataFrame:
     """i12: mean NDCG@k, MAP and MRR over queries (binary or graded relevance).
 
-    Ranks are per query (window partitioned by query, ties by item); queries
-    without relevant items score 0 for AP / RR and NULL NDCG (skipped in the mean).
-    """
-    w = Window.partitionBy(query).orderBy(F.col(score).desc(), F.col(item))
-    wi = Window.partitionBy(query).orderBy(F.col(rel).desc(), F.col(item))
-    r = df.select(query, item, F.col(rel).cast("double").alias("rel"),
-                  F.row_number().over(w).alias("rank"), F.row_number().over(wi).alias("irank"))
-    wr = Window.partitionBy(query).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("hits", F.sum((F.col("rel") > 0).cast("int")).over(wr))
-    disc = lambda c: F.lit(1.0) / F.log2(F.col(c) + 1)
+    Ranks are per query (score descending, ties by item); queries without relevant items
+    score 0 for AP / RR and NULL NDCG (skipped in the mean).
+
+    A query can hold a large share of the rows, so nothing runs one window per query:
+    DCG@k / IDCG@k need only each query's top k (``row_number() <= k``, limited per
+    partition before the shuffle), and the full ranks that AP and MRR need come from
+    ``ordered_running_sums`` (range slices of the composite order)."""
+    items = df.select(F.col(query).alias("_q"), F.col(item).alias("_i"),
+                      F.col(score).alias("_s"), F.col(rel).cast("double").alias("rel"))
+    items = items.withColumn("_one", F.lit(1)).withColumn("_hit", (F.col("rel") > 0).cast("int"))
     gain = F.pow(F.lit(2.0), F.col("rel")) - 1
-    per_q = r.groupBy(query).agg(
-        F.sum(F.when(F.col("rank") <= k, gain * disc("rank")).otherwise(0.0)).alias("dcg"),
-        F.count_if(F.col("rel") > 0).alias("n_rel"),
-        F.sum(F.when(F.col("rel") > 0, F.col("hits") / F.col("rank")).otherwise(0.0)).alias("ap_sum"),
-        F.min(F.when(F.col("rel") > 0, F.col("rank"))).alias("first_rel"))
-    ideal = r.groupBy(query).agg(F.sum(F.when(F.col("irank") <= k, (F.pow(F.lit(2.0), F.col("rel")) - 1)
-                                              / F.log2(F.col("irank") + 1)).otherwise(0.0)).alias("idcg"))
-    q = per_q.join(ideal, query)
+    disc = lambda c: F.lit(1.0) / F.log2(F.col(c) + 1)
+
+    w = Window.partitionBy("_q").orderBy(F.col("_s").desc(), F.col("_i"))
+    wi = Window.partitionBy("_q").orderBy(F.col("rel").desc(), F.col("_i"))
+    top = items.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    itop = items.withColumn("_r", F.row_number().over(wi)).where(F.col("_r") <= k)
+    dcg = top.groupBy("_q").agg(F.sum(gain * disc("_r")).alias("dcg"))
+    idcg = itop.groupBy("_q").agg(F.sum(gain * disc("_r")).alias("idcg"))
+
+    ranked = ordered_running_sums(items, ["_q"], [F.col("_s").desc(), F.col("_i")], ["_one", "_hit"])
+    per_q = ranked.groupBy("_q").agg(
+        F.sum("_hit").alias("n_rel"),
+        F.sum(F.when(F.col("_hit") == 1, F.col("cum__hit") / F.col("cum__one")).otherwise(0.0)).alias("ap_sum"),
+        F.min(F.when(F.col("_hit") == 1, F.col("cum__one"))).alias("first_rel"))
+    q = per_q.join(dcg, "_q").join(idcg, "_q")  # one row per query on every side
     return q.agg(F.avg(safe_div("dcg", "idcg")).alias(f"ndcg_at_{k}"),
                  F.avg(F.coalesce(safe_div("ap_sum", "n_rel"), F.lit(0.0))).alias("map"),
                  F.avg(F.coalesce(safe_div(F.lit(1.0), "first_rel"), F.lit(0.0))).alias("mrr"),

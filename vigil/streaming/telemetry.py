@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vigil.functions.ranks import ordered_previous, ordered_running_sums
+
 EPOCH_NTZ = "1970-01-01 00:00:00"
 
 # Latency histogram bucket bounds in ms (cumulative "le" buckets).
@@ -122,34 +124,26 @@ def latency_histogram(log: DataFrame, watermark: str = "1 hour", length: str = "
 
 def counter_series(log: DataFrame, ts: str = "ts", name: str = "event_type") -> DataFrame:
     """A process-restart counter: running count per name that resets every day (as an
-    exporter restarted daily would report).  Window per (name, day): bounded by a day."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(name, F.to_date(ts)).orderBy(ts, "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return log.select(F.col(name).alias("name"), ts, "event_id", F.count("*").over(w).alias("value"))
+    exporter restarted daily would report).  The count is a running sum in (ts, event_id)
+    order per (name, day) over range slices, so a hot name-day is not one task."""
+    x = log.select(F.col(name).alias("name"), ts, "event_id", F.to_date(ts).alias("_day"), F.lit(1).alias("_one"))
+    c = ordered_running_sums(x, ["name", "_day"], [F.col(ts), F.col("event_id")], ["_one"])
+    return c.select("name", ts, "event_id", F.col("cum__one").alias("value"))
 
 
 def rate_1h(series: DataFrame, ts: str = "ts") -> DataFrame:
     """s04: rate(x[1h]) per hour: non-negative increases (a drop is a counter reset, the new
     value counts as the increase) summed over each hour / 3600.
 
-    Deltas inside an hour come from a window per (name, hour); the delta between an hour's
-    first sample and the previous hour's last sample comes from a per-(name, hour) table
-    (one row per series and hour), so no task holds a whole series."""
-    from pyspark.sql import Window
-    hour = F.date_trunc("hour", ts)
-    x = series.withColumn("hour", hour)
-    w = Window.partitionBy("name", "hour").orderBy(ts, "event_id")
-    prev = F.lag("value").over(w)
-    inc = F.when(prev.isNull(), F.lit(None)).when(F.col("value") >= prev, F.col("value") - prev).otherwise(F.col("value"))
-    per = (x.select("name", "hour", ts, "event_id", "value", inc.alias("inc"))
-           .groupBy("name", "hour").agg(
-               F.coalesce(F.sum("inc"), F.lit(0)).alias("inside"),
-               F.min_by("value", F.struct(ts, "event_id")).alias("first_v"),
-               F.max_by("value", F.struct(ts, "event_id")).alias("last_v")))
-    prev_last = F.lag("last_v").over(Window.partitionBy("name").orderBy("hour"))
-    edge = (F.when(prev_last.isNull(), F.lit(0)).when(F.col("first_v") >= prev_last, F.col("first_v") - prev_last)
-            .otherwise(F.col("first_v")))
-    out = per.select("name", "hour", (F.col("inside") + edge).alias("increase"))
+    Every sample after a series' first contributes the increase from its predecessor to its
+    own hour -- inside an hour and across the gap from the previous sampled hour alike.  The
+    predecessor comes from ``ordered_previous`` (positions over range slices, then a join on
+    position), so no task holds a whole series or a whole series-hour."""
+    x = series.select("name", ts, "event_id", "value")
+    y = ordered_previous(x, ["name"], [F.col(ts), F.col("event_id")], ["value"])
+    prev = F.col("prev_value")
+    inc = F.when(prev.isNull(), F.lit(0)).when(F.col("value") >= prev, F.col("value") - prev).otherwise(F.col("value"))
+    out = y.groupBy("name", F.date_trunc("hour", ts).alias("hour")).agg(F.sum(inc).alias("increase"))
     return out.select("name", "hour", (F.col("increase") / 3600.0).alias("rate_per_s"),
                       F.col("increase").cast("long").alias("increase"))
 
