@@ -133,10 +133,20 @@ def ordered_running_sums(df: DataFrame, keys: list[str], order: list, flags: lis
     # one row per (key, slice): at most (#keys + #slices) rows; a hot key has one row per slice
     off = tot.select(*keys, "_p", *[F.coalesce(F.sum(f"_t_{f}").over(wo), F.lit(0)).alias(f"_o_{f}")
                                     for f in flags])
-    out = local.join(off, [*keys, "_p"])
+    out = _join_null_safe(local, off, [*keys, "_p"])  # NULL is a key like any other
     return out.select(*df.columns, *[(F.col(f"_l_{f}") + F.col(f"_o_{f}")).alias(f"cum_{f}") for f in flags])
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``on`` where NULL keys match (the right copies of the keys are dropped)."""
+    r = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    cond = None
+    for c in on:
+        e = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+        cond = e if cond is None else cond & e
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in on])
+
+
 def ordered_previous(df: DataFrame, keys: list[str], order: list, cols: list[str],
                      partitions: int | None = None) -> DataFrame:
     """``lag``: adds ``prev_<c>`` (the value of ``c`` on the previous row within ``keys`` in the
@@ -148,4 +158,4 @@ def ordered_previous(df: DataFrame, keys: list[str], order: list, cols: list[str
     pos = ordered_running_sums(df.withColumn("_one", F.lit(1)), keys, order, ["_one"], partitions) \
         .withColumnRenamed("cum__one", "pos").drop("_one")
     prev = pos.select(*keys, (F.col("pos") + 1).alias("pos"), *[F.col(c).alias(f"prev_{c}") for c in cols])
-    return pos.join(prev, [*keys, "pos"], "left")
+    return _join_null_safe(pos, prev, [*keys, "pos"], "left")

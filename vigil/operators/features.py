@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.exprs import md5_uniform, safe_div
-from vigil.functions.ranks import cumulative, exact_quantiles
+from vigil.functions.ranks import cumulative, ordered_running_sums, exact_quantiles
 
 
 # --------------------------------------------------------------------------- imputation
@@ -136,32 +136,29 @@ def rfm(tx: DataFrame, customer: str, ts: str, amount: str, as_of, windows=(30,
 
 
 def rolling_point_in_time(tx: DataFrame, customer: str, ts: str, amount: str, key: str,
-                          days: int = 30, slice_days: int | None = None) -> DataFrame:
+                          days: int = 30) -> DataFrame:
     """h09 point-in-time variant: per row, the customer's amount and count over the preceding
-    ``days`` (inclusive range on day number) and days since the previous transaction.
-
-    Time-sliced so that one customer with a third of all rows is not one task: rows are cut
-    into (customer, slice) partitions of ``slice_days``; the last ``days - 1`` days of each
-    slice are copied into the next slice as context rows, so every range window is complete
-    inside one partition.  The previous transaction before a slice (for days_since_last)
-    comes from a per-(customer, slice) max table (one row per customer and slice)."""
-    S = max(int(slice_days or 30), days)
+    ``days`` (inclusive range on day number; all rows of a day are peers) and days since the
+    previous transaction in (day, ts, key) order.
+
+    A range frame on the day number covers whole days, so the windows run on one row per
+    (customer, day) -- map-side aggregated, at most one row per calendar day however many
+    rows a customer has -- and are joined back on (customer, day).  The previous transaction
+    of a day's first row is the previous day with data; later rows of the same day have 0."""
     dn = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date"))
-    x = tx.withColumn("_dn", dn).withColumn("_sl", F.floor(F.col("_dn") / S))
-    ctx = (x.where(F.col("_dn") - F.col("_sl") * S >= S - (days - 1))
-           .withColumn("_sl", F.col("_sl") + 1).withColumn("_ctx", F.lit(True)))
-    both = x.withColumn("_ctx", F.lit(False)).unionByName(ctx)
-    w = Window.partitionBy(customer, "_sl").orderBy("_dn").rangeBetween(-(days - 1), 0)
-    wl = Window.partitionBy(customer, "_sl").orderBy("_dn", F.col(ts), F.col(key))
-    prev_slice = (x.groupBy(customer, "_sl").agg(F.max("_dn").alias("_mx"))
-                  .withColumn("_prev_mx", F.lag("_mx").over(Window.partitionBy(customer).orderBy("_sl")))
-                  .select(customer, "_sl", "_prev_mx"))   # one row per customer and slice
-    out = (both.select("*", F.sum(amount).over(w).alias(f"amount_{days}d"),
-                       F.count("*").over(w).alias(f"n_{days}d"), F.lag("_dn").over(wl).alias("_prev"))
-           .where(~F.col("_ctx"))
-           .join(prev_slice, [customer, "_sl"], "left"))
-    return out.withColumn("days_since_last", F.col("_dn") - F.coalesce("_prev", "_prev_mx")) \
-        .drop("_dn", "_sl", "_ctx", "_prev", "_prev_mx")
+    x = tx.withColumn("_dn", dn)
+    cells = x.groupBy(customer, "_dn").agg(F.sum(amount).alias("_a"), F.count("*").alias("_n"),
+                                           F.min(F.struct(F.col(ts), F.col(key))).alias("_first"))
+    w = Window.partitionBy(customer).orderBy("_dn").rangeBetween(-(days - 1), 0)
+    roll = cells.select(customer, "_dn", "_first", F.sum("_a").over(w).alias(f"amount_{days}d"),
+                        F.sum("_n").over(w).alias(f"n_{days}d"),
+                        F.lag("_dn").over(Window.partitionBy(customer).orderBy("_dn")).alias("_prev"))
+    roll = roll.withColumnsRenamed({customer: "_c", "_dn": "_d"})
+    on = F.col(customer).eqNullSafe(F.col("_c")) & F.col("_dn").eqNullSafe(F.col("_d"))  # keep NULL days
+    out = x.join(roll, on).drop("_c", "_d")
+    first = F.struct(F.col(ts), F.col(key)) == F.col("_first")
+    return out.withColumn("days_since_last", F.when(first, F.col("_dn") - F.col("_prev")).otherwise(F.lit(0))) \
+        .drop("_dn", "_first", "_prev")
 
 
 def calendar_parts(df: DataFrame, ts: str) -> DataFrame:
@@ -312,16 +309,31 @@ def fill_numeric_median(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), st.getField(c)) for c in cols})
 
 
+def _forward_fill_ranked(df: DataFrame, cols: list[str], entity: str, order: list[str]) -> DataFrame:
+    """Forward fill without a window per entity: ``_k`` = running count of non-NULL values of
+    a column (range slices of the order, ``ordered_running_sums``); the fill is the k-th
+    non-NULL value of the entity, found by an equi-join on (entity, k).  ``order`` must be
+    total (end with a unique key)."""
+    flags = {f"_nn{i}": F.col(c).isNotNull().cast("int") for i, c in enumerate(cols)}
+    r = ordered_running_sums(df.withColumns(flags), [entity], [F.col(o) for o in order], list(flags))
+    for i, c in enumerate(cols):
+        vals = r.where(F.col(c).isNotNull()).select(F.col(entity).alias("_e"), F.col(f"cum__nn{i}").alias("_k"),
+                                                    F.col(c).alias("_v"))
+        on = F.col(entity).eqNullSafe(F.col("_e")) & (F.col(f"cum__nn{i}") == F.col("_k"))
+        r = r.join(vals, on, "left").withColumn(c, F.col("_v")).drop("_e", "_k", "_v")
+    return r.select(*df.columns)
+
+
 def forward_fill(df: DataFrame, cols: list[str], entity: str, order: list[str],
                  slice_col: Column | None = None) -> DataFrame:
     """h18: last non-NULL value of the entity so far.
 
-    With ``slice_col`` (e.g. the month of the order date) the window runs per (entity, slice)
+    By default over range slices of the order (``_forward_fill_ranked``): no task holds a whole
+    entity.  With ``slice_col`` (e.g. the month of the order date) the window runs per (entity, slice)
     and the value carried in from earlier slices comes from a per-(entity, slice) table of
     last non-NULL values (one row per entity and slice), so a huge entity is split by time."""
     if slice_col is None:
-        w = Window.partitionBy(entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+        return _forward_fill_ranked(df, cols, entity, order)
     x = df.withColumn("_sl", slice_col)
     w = Window.partitionBy(entity, "_sl").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     last_in = x.groupBy(entity, "_sl").agg(
