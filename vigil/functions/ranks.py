@@ -88,18 +88,50 @@ def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[fl
     return quantiles_from_cells(value_cells(long, keys, value), keys, value, probs, buckets)
 
 
+def _bucket_cells(cells: DataFrame, keys: list[str], value: str, b: int, accuracy: int = 10000) -> DataFrame:
+    """Tag every cell with ``_bk``: its value bucket, cut at ``percentile_approx`` bounds
+    (checkpointed: every branch sees the same cuts)."""
+    qs = [i / b for i in range(1, b)]
+    bounds = cut_lineage(cells.groupBy(*keys).agg(
+        F.percentile_approx(F.col(value).cast("double"), qs, accuracy).alias("_bounds")))
+    v = F.col(value).cast("double")
+    return (cells.join(F.broadcast(bounds), keys)  # one row per group (features: schema-bounded)
+            .withColumn("_bk", F.size(F.filter("_bounds", lambda x: x < v))).drop("_bounds"))
+
+
 def quantiles_from_cells(cells: DataFrame, keys: list[str], value: str, probs: list[float],
                          buckets: int | None = None) -> DataFrame:
     """Quantiles from (keys, value, n) cells: the value at 0-based index i is the one with
-    cum_before <= i < cum; linear interpolation between indices floor(pos) and ceil(pos)."""
-    cum = cumulative(cells, keys, value, ["n"], buckets)
-    tot = cells.groupBy(*keys).agg(F.sum("n").alias("_N"))
-    qrows = tot.select(*keys, "_N", F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q"))
-    qrows = qrows.select(*keys, "q", (F.col("q") * (F.col("_N") - 1)).alias("_pos"))
-    qrows = qrows.select(*keys, "q", "_pos", F.floor("_pos").alias("_i0"), F.ceil("_pos").alias("_i1"))
-    c = cum.select(*keys, F.col(value).cast("double").alias("_v"),
-                   (F.col("cum_n") - F.col("n")).alias("_lo"), F.col("cum_n").alias("_hi"))
-    j = c.join(F.broadcast(qrows), keys)  # groups x quantiles rows
+    cum_before <= i < cum; linear interpolation between indices floor(pos) and ceil(pos).
+
+    Selection rather than a full running sum: per-(group, bucket) totals give each bucket's
+    index range, so only the buckets that hold a wanted index (at most two per quantile) are
+    sorted -- a small share of the cells when the bucket count is large."""
+    b = default_buckets(cells) if buckets is None else buckets
+    if b <= 1:
+        return _quantiles_full(cells, keys, value, probs, b)
+    tagged = _bucket_cells(cells, keys, value, b)
+    tot = tagged.groupBy(*keys, "_bk").agg(F.sum("n").alias("_t"))
+    wo = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*keys, "_bk", "_t", F.coalesce(F.sum("_t").over(wo), F.lit(0)).alias("_o"),
+                     F.sum("_t").over(Window.partitionBy(*keys)).alias("_N"))  # (group, bucket) rows
+    qs = off.select(*keys, "_bk", "_t", "_o", "_N",
+                    F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q"))
+    qs = qs.withColumn("_pos", F.col("q") * (F.col("_N") - 1)) \
+        .withColumn("_i0", F.floor("_pos")).withColumn("_i1", F.ceil("_pos"))
+    inside = lambda i: (F.col("_o") <= F.col(i)) & (F.col(i) < F.col("_o") + F.col("_t"))
+    want = qs.where(inside("_i0") | inside("_i1")).select(*keys, "_bk", "_o", "q", "_pos", "_i0", "_i1")
+    # groups x quantiles x 2 rows at most: bounded by the schema width and the quantile list
+    sel = tagged.join(F.broadcast(want.select(*keys, "_bk", "_o").distinct()), [*keys, "_bk"])
+    wl = Window.partitionBy(*keys, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    c = sel.select(*keys, "_bk", F.col(value).cast("double").alias("_v"),
+                   (F.sum("n").over(wl) + F.col("_o")).alias("_hi"), "n")
+    c = c.withColumn("_lo", F.col("_hi") - F.col("n"))
+    j = c.join(F.broadcast(want.drop("_o")), [*keys, "_bk"])
+    return _pick(j, keys)
+
+
+def _pick(j: DataFrame, keys: list[str]) -> DataFrame:
     hit0 = (F.col("_lo") <= F.col("_i0")) & (F.col("_i0") < F.col("_hi"))
     hit1 = (F.col("_lo") <= F.col("_i1")) & (F.col("_i1") < F.col("_hi"))
     picked = (j.where(hit0 | hit1)
@@ -109,6 +141,17 @@ def quantiles_from_cells(cells: DataFrame, keys: list[str], value: str, probs: l
                          .alias("value_q"))
 
 
+def _quantiles_full(cells: DataFrame, keys: list[str], value: str, probs: list[float], b: int) -> DataFrame:
+    cum = cumulative(cells, keys, value, ["n"], b)
+    tot = cells.groupBy(*keys).agg(F.sum("n").alias("_N"))
+    qrows = tot.select(*keys, "_N", F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q"))
+    qrows = qrows.select(*keys, "q", (F.col("q") * (F.col("_N") - 1)).alias("_pos"))
+    qrows = qrows.select(*keys, "q", "_pos", F.floor("_pos").alias("_i0"), F.ceil("_pos").alias("_i1"))
+    c = cum.select(*keys, F.col(value).cast("double").alias("_v"),
+                   (F.col("cum_n") - F.col("n")).alias("_lo"), F.col("cum_n").alias("_hi"))
+    return _pick(c.join(F.broadcast(qrows), keys), keys)  # groups x quantiles rows
+
+
 def ordered_running_sums(df: DataFrame, keys: list[str], order: list, flags: list[str],
                          partitions: int | None = None) -> DataFrame:
     """Inclusive running sums ``cum_<f>`` of the numeric columns ``flags`` within ``keys``
