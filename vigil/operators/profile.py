@@ -166,8 +166,11 @@ def group_means(df: DataFrame, cols: list[str], target: str = "target") -> DataF
 def crosstab_pct(df: DataFrame, a: str, b: str) -> DataFrame:
     """f13: row-normalised crosstab in long form (a, b, count, pct of row)."""
     c = df.groupBy(a, b).count()
-    w = Window.partitionBy(a)  # over the crosstab cells of one row value
-    return c.withColumn("pct", F.col("count") / F.sum("count").over(w) * 100)
+    # row totals joined back (no hint: broadcast when the row-value table is under the
+    # threshold, else a shuffle join) -- not a window, which holds a row value's cells in one task
+    tot = c.groupBy(a).agg(F.sum("count").alias("_row")).withColumnRenamed(a, "_a")
+    j = c.join(tot, F.col(a).eqNullSafe(F.col("_a")))
+    return j.select(a, b, "count", (F.col("count") / F.col("_row") * 100).alias("pct"))
 
 
 def crosstab_wide(df: DataFrame, a: str, b: str, levels: list) -> DataFrame:
