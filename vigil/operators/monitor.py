@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.exprs import chi2_sf, count_true, ks_pvalue, safe_div
-from vigil.functions.ranks import cumulative, exact_quantiles
+from vigil.functions.ranks import cumulative, quantiles_from_cells
 
 
 @dataclass(frozen=True)
@@ -102,14 +102,16 @@ def drift_distances(ref: DataFrame, cur: DataFrame, cols: list[str], bins: int =
     PSI = sum (q - p) ln(q / p), proportions floored at 1e-4.
     W1 = sum over distinct values of |F_ref - F_cur| * (next value - value).
     """
-    long = _sided(ref, cur, cols, "num")
-    refl = long.where(F.col("side") == "ref")
-    cuts = exact_quantiles(refl, ["feature"], "value", [i / bins for i in range(1, bins)])
+    # one (feature, value) -> (n_ref, n_cur) table feeds the deciles, the bins and W1: the
+    # rows are aggregated once (map-side), every later step works on distinct values
+    cells = _cells(_sided(ref, cur, cols, "num"))
+    refc = cells.where(F.col("n_ref") > 0).select("feature", "value", F.col("n_ref").alias("n"))
+    cuts = quantiles_from_cells(refc, ["feature"], "value", [i / bins for i in range(1, bins)])
     cut_arr = cuts.groupBy("feature").agg(F.array_sort(F.collect_list("value_q")).alias("_cuts"))  # bins-1 each
-    tagged = long.join(F.broadcast(cut_arr), "feature")  # one row per feature
-    b = tagged.select("feature", "side", F.size(F.filter("_cuts", lambda c: F.col("value") > c)).alias("bin"))
-    h = b.groupBy("feature", "bin").agg(F.count_if(F.col("side") == "ref").alias("r"),
-                                        F.count_if(F.col("side") == "cur").alias("c"))
+    tagged = cells.join(F.broadcast(cut_arr), "feature")  # one row per feature
+    b = tagged.select("feature", "n_ref", "n_cur",
+                      F.size(F.filter("_cuts", lambda c: F.col("value") > c)).alias("bin"))
+    h = b.groupBy("feature", "bin").agg(F.sum("n_ref").alias("r"), F.sum("n_cur").alias("c"))
     tot = h.groupBy("feature").agg(F.sum("r").alias("_R"), F.sum("c").alias("_C"))
     h = h.join(F.broadcast(tot), "feature")
     p, q = F.col("r") / F.col("_R"), F.col("c") / F.col("_C")
@@ -117,7 +119,6 @@ def drift_distances(ref: DataFrame, cur: DataFrame, cols: list[str], bins: int =
     m = (p + q) / 2
     js_term = (F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)) / 2
     dist = h.groupBy("feature").agg(F.sum((qf - pf) * F.log(qf / pf)).alias("psi"), F.sum(js_term).alias("js"))
-    cells = _cells(long)
     cum = cumulative(cells, ["feature"], "value", ["n_ref", "n_cur"], buckets, with_next=True)
     ct = cells.groupBy("feature").agg(F.sum("n_ref").alias("_r"), F.sum("n_cur").alias("_c"))
     cw = cum.join(F.broadcast(ct), "feature")

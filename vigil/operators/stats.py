@@ -71,9 +71,11 @@ def mann_whitney(df: DataFrame, cols: list[str], group: str, g1, g2,
     agg = cum.groupBy("feature").agg(
         F.sum(F.col("n_a") * rank).alias("r1"), F.sum("n_a").alias("n1"),
         (F.sum("n") - F.sum("n_a")).alias("n2"),
-        F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("ties"))
-    means = long.groupBy("feature").agg(F.avg(F.when(F.col("_g") == "a", F.col("value"))).alias("mean_group_0"),
-                                        F.avg(F.when(F.col("_g") == "b", F.col("value"))).alias("mean_group_1"))
+        F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("ties"),
+        # group means from the same cells (value x count per group): no second pass over the rows
+        F.try_divide(F.sum(F.col("value") * F.col("n_a")), F.sum("n_a")).alias("mean_group_0"),
+        F.try_divide(F.sum(F.col("value") * (F.col("n") - F.col("n_a"))), F.sum(F.col("n") - F.col("n_a")))
+        .alias("mean_group_1"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     N = n1 + n2
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
@@ -81,7 +83,7 @@ def mann_whitney(df: DataFrame, cols: list[str], group: str, g1, g2,
     sigma = F.sqrt(n1 * n2 / 12.0 * ((N + 1) - F.col("ties") / (N * (N - 1))))
     z = (F.greatest(u1, u2) - n1 * n2 / 2 - 0.5) / sigma
     p = F.least(F.lit(1.0), 2 * (1 - norm_cdf(z)))
-    return agg.join(means, "feature").select(
+    return agg.select(
         "feature", u1.alias("statistic"), F.when(sigma > 0, p).otherwise(F.lit(1.0)).alias("p_value"),
         (F.when(sigma > 0, p).otherwise(F.lit(1.0)) < 0.05).alias("significant"),
         "mean_group_0", "mean_group_1", F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"))
