@@ -200,8 +200,11 @@ def label_encode(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     """h13: index by frequency desc, ties by value asc (StringIndexer's frequencyDesc order).
     Returns (encoded table, level table).  The level table has one row per level."""
     levels = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("freq"))
-    w = Window.orderBy(F.col("freq").desc(), F.col(col))  # over the level table (one row per level)
-    levels = levels.withColumn(f"{col}_index", (F.row_number().over(w) - 1).cast("double"))
+    # row number over the level table in (freq desc, value) order: range slices, not one task
+    # (a categorical column can have millions of levels)
+    ranked = ordered_running_sums(levels.withColumn("_one", F.lit(1)), [], [F.col("freq").desc(), F.col(col)],
+                                  ["_one"])
+    levels = ranked.select(col, "freq", (F.col("cum__one") - 1).cast("double").alias(f"{col}_index"))
     return df.join(levels.select(col, f"{col}_index"), col, "left"), levels
 
 

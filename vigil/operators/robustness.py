@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.exprs import box_muller, md5_uniform, safe_div
+from vigil.functions.ranks import ordered_previous
 
 
 def _status(ok) -> F.Column:
@@ -52,20 +53,25 @@ def invariance_test(df: DataFrame, model, numeric: list[str], categorical: list[
     feats = numeric + categorical
     base = df.select("*", F.explode(F.array(*[F.lit(f) for f in feats])).alias("_feature"))
     rot = None
-    for c in categorical:
-        vals = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct()
-        w = Window.orderBy("v")  # over the distinct values of one column
-        m = vals.select(F.lit(c).alias("_feature"), "v",
-                        F.coalesce(F.lead("v").over(w), F.first("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                        .alias("nv"))
-        rot = m if rot is None else rot.unionByName(m)
+    if categorical:
+        # next distinct value in sorted order = previous one in descending order (range slices,
+        # no single-task window); the largest wraps to the smallest (one scalar per column)
+        vals = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_feature"), F.col(c).cast("string").alias("v"))
+                                              for c in categorical])).alias("_x"))
+                .select("_x.*").where(F.col("v").isNotNull()).distinct())
+        nxt = ordered_previous(vals, ["_feature"], [F.col("v").desc()], ["v"])
+        lo = vals.groupBy("_feature").agg(F.min("v").alias("_lo"))  # one row per column
+        rot = nxt.join(F.broadcast(lo), "_feature").select("_feature", "v",
+                                                           F.coalesce("prev_v", "_lo").alias("nv"))
     orig = {c: F.col(c) for c in feats}
     mod = {c: F.when(F.col("_feature") == c, F.col(c).cast("double") + sd.getField(c)).otherwise(F.col(c).cast("double"))
            for c in numeric}
     if rot is not None:
         for c in categorical:
-            base = base.join(F.broadcast(rot.where(F.col("_feature") == c)
-                                         .select(F.col("v").alias(f"_v_{c}"), F.col("nv").alias(f"_nv_{c}"))),
+            # distinct levels of a column: no hint -- AQE broadcasts the side when it is small
+            # at run time and otherwise keeps the shuffle join (skew-split for a hot level)
+            base = base.join(rot.where(F.col("_feature") == c)
+                             .select(F.col("v").alias(f"_v_{c}"), F.col("nv").alias(f"_nv_{c}")),
                              F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
             mod[c] = F.when(F.col("_feature") == c, F.col(f"_nv_{c}")).otherwise(F.col(c).cast("string"))
     pair = _score_pair(base, model, orig, mod)
