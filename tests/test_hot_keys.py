@@ -103,3 +103,16 @@ def test_counter_rate_counts_events_per_hour(spark):
         exp[(name, h)] = exp.get((name, h), 0) + (0 if name not in first else 1)
         first.setdefault(name, eid)
     assert got == exp
+
+
+def test_label_encode_equals_window_numbering(spark):
+    vals = ["a"] * 30 + ["b"] * 5 + ["c"] * 5 + ["d"] * 12 + [None] * 3 + [f"z{i}" for i in range(20)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, lv string")
+    enc, levels = H.label_encode(df, "lv")
+    w = Window.orderBy(F.col("freq").desc(), F.col("lv"))
+    exp = (df.where(F.col("lv").isNotNull()).groupBy("lv").agg(F.count("*").alias("freq"))
+           .select("lv", (F.row_number().over(w) - 1).cast("double").alias("lv_index")))
+    assert rows_of(levels, ["lv", "lv_index"]) == rows_of(exp, ["lv", "lv_index"])
+    got = {r["id"]: r["lv_index"] for r in enc.collect()}
+    idx = {r["lv"]: r["lv_index"] for r in exp.collect()}
+    assert got == {i: idx.get(v) for i, v in enumerate(vals)}
