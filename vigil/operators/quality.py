@@ -69,29 +69,27 @@ def missing_report(df: DataFrame, cols: list[str] | None = None, n_samples: int
     """
     cols = cols or df.columns
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    wide = df.agg(F.count("*").alias("_n"),
-                  *[count_true(F.col(c).isNull()).alias(f"m_{i}") for i, c in enumerate(cols)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m_{i}").alias("missing_count"),
-                              F.lit(types[c]).alias("dtype")) for i, c in enumerate(cols)])
-    rep = wide.select("_n", F.inline(rows)).where(F.col("missing_count") > 0)
-    rep = rep.select("column", "missing_count",
-                     F.round(F.col("missing_count") / F.col("_n") * 100, 2).alias("missing_percent"), "dtype")
-    long = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-            .unpivot([], cols, "column", "v").where(F.col("v").isNotNull()))
-    # one distinct (column, value) table (map-side partial aggregation) feeds both the distinct
-    # counts and the samples -- no multi-distinct Expand over the wide rows
+    # one distinct (column, value) table, NULL kept as a value (map-side partial aggregation;
+    # a hot NULL group is one partial row per task) feeds the missing counts, the row count,
+    # the distinct counts and the samples: the rows are aggregated once
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "v")
     distinct = long.groupBy("column", "v").agg(F.count("*").alias("_c"))
-    uniq = distinct.groupBy("column").agg(F.count("*").alias("unique_values"))
+    per = distinct.groupBy("column").agg(
+        F.sum("_c").alias("_n"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("_c"))), F.lit(0)).alias("miss"),
+        F.count("v").alias("unique_values"))
+    dtype = F.element_at(F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c]))]), F.col("column"))
+    rep = per.where(F.col("miss") > 0).select(
+        "column", F.col("miss").alias("missing_count"),
+        F.round(F.col("miss") / F.col("_n") * 100, 2).alias("missing_percent"), dtype.alias("dtype"), "unique_values")
     # row_number() <= n per column: Spark applies that limit per partition before the shuffle
     # (WindowGroupLimit), so a column with billions of values ships only a handful of rows.
     from pyspark.sql import Window
     w = Window.partitionBy("column").orderBy("v")
-    first = distinct.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_samples)
+    first = distinct.where(F.col("v").isNotNull()).withColumn("_r", F.row_number().over(w)) \
+        .where(F.col("_r") <= n_samples)
     samples = first.groupBy("column").agg(
         F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("_r", "v"))), lambda x: x["v"]))
         .alias("sample_values"))  # at most n_samples entries per column
-    rep = rep.join(uniq, "column", "left").select("column", "missing_count", "missing_percent", "dtype",
-                                                  F.coalesce("unique_values", F.lit(0)).alias("unique_values"))
     return rep.join(samples, "column", "left")
 
 
