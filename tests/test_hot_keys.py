@@ -116,3 +116,17 @@ def test_label_encode_equals_window_numbering(spark):
     got = {r["id"]: r["lv_index"] for r in enc.collect()}
     idx = {r["lv"]: r["lv_index"] for r in exp.collect()}
     assert got == {i: idx.get(v) for i, v in enumerate(vals)}
+
+
+def test_ordered_last_non_null_carries_across_slices(spark):
+    from vigil.functions.ranks import ordered_last_non_null
+    rows = [("hot" if i % 6 else None, i, None if (i // 5) % 3 else float(i), None if i % 4 else f"s{i}")
+            for i in range(70)]
+    df = spark.createDataFrame(rows, "e string, k long, v double, t string")
+    w = Window.partitionBy("e").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    exp = rows_of(df.select("e", "k", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in ("v", "t")]),
+                  ["e", "k", "v", "t"])
+    for parts in (1, 3, 7):
+        got = ordered_last_non_null(df, ["e"], [F.col("k")], ["v", "t"], partitions=parts)
+        assert got.columns == df.columns
+        assert rows_of(got, ["e", "k", "v", "t"]) == exp

@@ -152,6 +152,15 @@ def _quantiles_full(cells: DataFrame, keys: list[str], value: str, probs: list[f
     return _pick(c.join(F.broadcast(qrows), keys), keys)  # groups x quantiles rows
 
 
+def range_slices(df: DataFrame, keys: list[str], order: list, partitions: int | None = None) -> DataFrame:
+    """Rows range-partitioned on (keys, order) and tagged with their slice ``_p`` (slices are
+    contiguous in that order); checkpointed, so every consumer and every retry sees the same
+    slices.  A hot key spans many slices."""
+    p = default_buckets(df) if partitions is None else partitions
+    x = df.repartitionByRange(p, *[F.col(k) for k in keys], *order).withColumn("_p", F.spark_partition_id())
+    return cut_lineage(x)
+
+
 def ordered_running_sums(df: DataFrame, keys: list[str], order: list, flags: list[str],
                          partitions: int | None = None) -> DataFrame:
     """Inclusive running sums ``cum_<f>`` of the numeric columns ``flags`` within ``keys``
@@ -166,9 +175,7 @@ def ordered_running_sums(df: DataFrame, keys: list[str], order: list, flags: lis
     cannot move a row to another slice).  Running sums run per (keys, slice) -- at most one
     range partition per task -- and a small per-(keys, slice) table of preceding totals
     completes them."""
-    p = default_buckets(df) if partitions is None else partitions
-    x = df.repartitionByRange(p, *[F.col(k) for k in keys], *order).withColumn("_p", F.spark_partition_id())
-    x = cut_lineage(x)
+    x = range_slices(df, keys, order, partitions)
     w = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = x.select("*", *[F.sum(f).over(w).alias(f"_l_{f}") for f in flags])
     tot = x.groupBy(*keys, "_p").agg(*[F.sum(f).alias(f"_t_{f}") for f in flags])
@@ -202,3 +209,22 @@ def ordered_previous(df: DataFrame, keys: list[str], order: list, cols: list[str
         .withColumnRenamed("cum__one", "pos").drop("_one")
     prev = pos.select(*keys, (F.col("pos") + 1).alias("pos"), *[F.col(c).alias(f"prev_{c}") for c in cols])
     return _join_null_safe(pos, prev, [*keys, "pos"], "left")
+
+
+def ordered_last_non_null(df: DataFrame, keys: list[str], order: list, cols: list[str],
+                          partitions: int | None = None) -> DataFrame:
+    """Forward fill: every column of ``cols`` replaced by its last non-NULL value so far within
+    ``keys`` in the total ``order`` (ascending columns).  Inside a range slice a window carries the value; the value
+    carried into a slice is the last non-NULL one of the key's earlier slices, from a table
+    with one row per (key, slice).  Every join and window is per (key, slice)."""
+    x = range_slices(df, keys, order, partitions)
+    w = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = x.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    last_in = x.groupBy(*keys, "_p").agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_l_{c}") for c in cols])
+    wc = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last_in.select(*keys, "_p", *[F.last(f"_l_{c}", ignorenulls=True).over(wc).alias(f"_c_{c}")
+                                          for c in cols])
+    y = _join_null_safe(local, carry, [*keys, "_p"], "left")
+    return y.select(*[F.coalesce(F.col(c), F.col(f"_c_{c}")).alias(c) if c in cols else F.col(c)
+                      for c in df.columns])

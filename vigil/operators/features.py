@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.exprs import md5_uniform, safe_div
-from vigil.functions.ranks import cumulative, ordered_running_sums, exact_quantiles
+from vigil.functions.ranks import cumulative, exact_quantiles, ordered_last_non_null, ordered_running_sums
 
 
 # --------------------------------------------------------------------------- imputation
@@ -313,18 +313,10 @@ def fill_numeric_median(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _forward_fill_ranked(df: DataFrame, cols: list[str], entity: str, order: list[str]) -> DataFrame:
-    """Forward fill without a window per entity: ``_k`` = running count of non-NULL values of
-    a column (range slices of the order, ``ordered_running_sums``); the fill is the k-th
-    non-NULL value of the entity, found by an equi-join on (entity, k).  ``order`` must be
-    total (end with a unique key)."""
-    flags = {f"_nn{i}": F.col(c).isNotNull().cast("int") for i, c in enumerate(cols)}
-    r = ordered_running_sums(df.withColumns(flags), [entity], [F.col(o) for o in order], list(flags))
-    for i, c in enumerate(cols):
-        vals = r.where(F.col(c).isNotNull()).select(F.col(entity).alias("_e"), F.col(f"cum__nn{i}").alias("_k"),
-                                                    F.col(c).alias("_v"))
-        on = F.col(entity).eqNullSafe(F.col("_e")) & (F.col(f"cum__nn{i}") == F.col("_k"))
-        r = r.join(vals, on, "left").withColumn(c, F.col("_v")).drop("_e", "_k", "_v")
-    return r.select(*df.columns)
+    """Forward fill over range slices of (entity, order) (``ordered_last_non_null``): a window per
+    (entity, slice) plus the value carried in from the entity's earlier slices.  ``order`` must
+    be total (end with a unique key)."""
+    return ordered_last_non_null(df, [entity], [F.col(o) for o in order], cols)
 
 
 def forward_fill(df: DataFrame, cols: list[str], entity: str, order: list[str],
