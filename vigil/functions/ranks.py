@@ -214,9 +214,10 @@ def ordered_previous(df: DataFrame, keys: list[str], order: list, cols: list[str
 def ordered_last_non_null(df: DataFrame, keys: list[str], order: list, cols: list[str],
                           partitions: int | None = None) -> DataFrame:
     """Forward fill: every column of ``cols`` replaced by its last non-NULL value so far within
-    ``keys`` in the total ``order`` (ascending columns).  Inside a range slice a window carries the value; the value
-    carried into a slice is the last non-NULL one of the key's earlier slices, from a table
-    with one row per (key, slice).  Every join and window is per (key, slice)."""
+    ``keys`` in the total ``order`` (ascending columns).  Inside a range slice a window carries
+    the value; the value carried into a slice is the last non-NULL one of the key's earlier
+    slices, from a table with one row per (key, slice).  Every join and window is per
+    (key, slice)."""
     x = range_slices(df, keys, order, partitions)
     w = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = x.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
