@@ -183,11 +183,11 @@ def ordered_running_sums(df: DataFrame, keys: list[str], order: list, flags: lis
     # one row per (key, slice): at most (#keys + #slices) rows; a hot key has one row per slice
     off = tot.select(*keys, "_p", *[F.coalesce(F.sum(f"_t_{f}").over(wo), F.lit(0)).alias(f"_o_{f}")
                                     for f in flags])
-    out = _join_null_safe(local, off, [*keys, "_p"])  # NULL is a key like any other
+    out = join_null_safe(local, off, [*keys, "_p"])  # NULL is a key like any other
     return out.select(*df.columns, *[(F.col(f"_l_{f}") + F.col(f"_o_{f}")).alias(f"cum_{f}") for f in flags])
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``on`` where NULL keys match (the right copies of the keys are dropped)."""
     r = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
     cond = None
@@ -208,7 +208,7 @@ def ordered_previous(df: DataFrame, keys: list[str], order: list, cols: list[str
     pos = ordered_running_sums(df.withColumn("_one", F.lit(1)), keys, order, ["_one"], partitions) \
         .withColumnRenamed("cum__one", "pos").drop("_one")
     prev = pos.select(*keys, (F.col("pos") + 1).alias("pos"), *[F.col(c).alias(f"prev_{c}") for c in cols])
-    return _join_null_safe(pos, prev, [*keys, "pos"], "left")
+    return join_null_safe(pos, prev, [*keys, "pos"], "left")
 
 
 def ordered_last_non_null(df: DataFrame, keys: list[str], order: list, cols: list[str],
@@ -226,6 +226,6 @@ def ordered_last_non_null(df: DataFrame, keys: list[str], order: list, cols: lis
     wc = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     carry = last_in.select(*keys, "_p", *[F.last(f"_l_{c}", ignorenulls=True).over(wc).alias(f"_c_{c}")
                                           for c in cols])
-    y = _join_null_safe(local, carry, [*keys, "_p"], "left")
+    y = join_null_safe(local, carry, [*keys, "_p"], "left")
     return y.select(*[F.coalesce(F.col(c), F.col(f"_c_{c}")).alias(c) if c in cols else F.col(c)
                       for c in df.columns])

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.exprs import md5_uniform, safe_div
-from vigil.functions.ranks import cumulative, exact_quantiles, ordered_last_non_null, ordered_running_sums
+from vigil.functions.ranks import (cumulative, exact_quantiles, join_null_safe, ordered_last_non_null,
+                                  ordered_running_sums, range_slices)
 
 
 # --------------------------------------------------------------------------- imputation
@@ -143,19 +144,23 @@ def rolling_point_in_time(tx: DataFrame, customer: str, ts: str, amount: str, ke
 
     A range frame on the day number covers whole days, so the windows run on one row per
     (customer, day) -- map-side aggregated, at most one row per calendar day however many
-    rows a customer has -- and are joined back on (customer, day).  The previous transaction
-    of a day's first row is the previous day with data; later rows of the same day have 0."""
+    rows a customer has.  The previous transaction of a day's first row is the previous day
+    with data; later rows of the same day have 0.
+
+    The day values go back to the rows through range slices of (customer, day, ts, key): the
+    small table of (customer, day, slice) triples takes the day values, and rows join it on
+    (customer, day, slice), so one customer-day with a third of all rows is still split."""
     dn = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date"))
-    x = tx.withColumn("_dn", dn)
+    x = range_slices(tx.withColumn("_dn", dn), [customer, "_dn"], [F.col(ts), F.col(key)])
     cells = x.groupBy(customer, "_dn").agg(F.sum(amount).alias("_a"), F.count("*").alias("_n"),
                                            F.min(F.struct(F.col(ts), F.col(key))).alias("_first"))
     w = Window.partitionBy(customer).orderBy("_dn").rangeBetween(-(days - 1), 0)
     roll = cells.select(customer, "_dn", "_first", F.sum("_a").over(w).alias(f"amount_{days}d"),
                         F.sum("_n").over(w).alias(f"n_{days}d"),
                         F.lag("_dn").over(Window.partitionBy(customer).orderBy("_dn")).alias("_prev"))
-    roll = roll.withColumnsRenamed({customer: "_c", "_dn": "_d"})
-    on = F.col(customer).eqNullSafe(F.col("_c")) & F.col("_dn").eqNullSafe(F.col("_d"))  # keep NULL days
-    out = x.join(roll, on).drop("_c", "_d")
+    parts = x.select(customer, "_dn", "_p").distinct()  # (#cells + #slices) rows at most
+    by_slice = join_null_safe(parts, roll, [customer, "_dn"])  # NULL days are kept
+    out = join_null_safe(x, by_slice, [customer, "_dn", "_p"]).drop("_p")
     first = F.struct(F.col(ts), F.col(key)) == F.col("_first")
     return out.withColumn("days_since_last", F.when(first, F.col("_dn") - F.col("_prev")).otherwise(F.lit(0))) \
         .drop("_dn", "_first", "_prev")
