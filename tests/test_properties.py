@@ -54,3 +54,21 @@ def test_ordered_running_sums_equal_window(spark, scores, hot, parts):
            for r in df.select("q", "item", F.row_number().over(w).alias("rn"),
                               F.sum("rel").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hits")).collect()}
     assert got == exp
+
+
+def test_rank_primitives_without_broadcast(spark, monkeypatch):
+    """Above the broadcast limit the side tables join by shuffle: same results."""
+    import vigil.functions.ranks as R
+    vals = [float((i * 37) % 23) for i in range(200)]
+    long = spark.createDataFrame([("a" if i % 3 else "b", v) for i, v in enumerate(vals)], "feature string, value double")
+    probs = [0.1, 0.5, 0.9]
+    with_bc = sorted(tuple(r) for r in exact_quantiles(long, ["feature"], "value", probs, buckets=4).collect())
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 0)
+    no_bc = sorted(tuple(r) for r in exact_quantiles(long, ["feature"], "value", probs, buckets=4).collect())
+    assert with_bc == no_bc
+    cells = long.groupBy("feature", "value").count().withColumnRenamed("count", "n")
+    got = {(r["feature"], r["value"]): r["cum_n"] for r in cumulative(cells, ["feature"], "value", ["n"], buckets=4).collect()}
+    for f in ("a", "b"):
+        xs = sorted(v for i, v in enumerate(vals) if ("a" if i % 3 else "b") == f)
+        for v in set(xs):
+            assert got[(f, v)] == sum(1 for x in xs if x <= v)

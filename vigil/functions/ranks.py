@@ -45,16 +45,7 @@ def cumulative(cells: DataFrame, keys: list[str], value: str, counts: list[str],
         extra = [F.lead(value).over(Window.partitionBy(*keys).orderBy(value)).alias("next_value")] if with_next else []
         return cells.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in counts], *extra)
 
-    qs = [i / b for i in range(1, b)]
-    bounds = cells.groupBy(*keys).agg(
-        F.percentile_approx(F.col(value).cast("double"), qs, accuracy).alias("_bounds"))
-    bounds = cut_lineage(bounds)  # one row per group: freezes the cuts for both branches
-    v = F.col(value).cast("double")
-    # bounds / offsets hold one row per (group, bucket); groups are features or audit
-    # attributes (bounded by the schema width), so both sides broadcast by construction.
-    tagged = (cells.join(F.broadcast(bounds), keys)
-              .withColumn("_bk", F.size(F.filter("_bounds", lambda x: x < v)))
-              .drop("_bounds"))
+    tagged, side = _bucket_cells(cells, keys, value, b, accuracy)
     tot = tagged.groupBy(*keys, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in counts],
                                            F.min(value).alias("_mn"))
     wo = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,7 +56,7 @@ def cumulative(cells: DataFrame, keys: list[str], value: str, counts: list[str],
     wl = Window.partitionBy(*keys, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     extra = [F.lead(value).over(Window.partitionBy(*keys, "_bk").orderBy(value)).alias("_lead")] if with_next else []
     local = tagged.select("*", *[F.sum(c).over(wl).alias(f"_l_{c}") for c in counts], *extra)
-    out = local.join(F.broadcast(off), [*keys, "_bk"])
+    out = local.join(side(off), [*keys, "_bk"])
     nxt = [F.coalesce("_lead", "_next_mn").alias("next_value")] if with_next else []
     return out.select(*cells.columns,
                       *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in counts], *nxt)
@@ -88,15 +79,25 @@ def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[fl
     return quantiles_from_cells(value_cells(long, keys, value), keys, value, probs, buckets)
 
 
-def _bucket_cells(cells: DataFrame, keys: list[str], value: str, b: int, accuracy: int = 10000) -> DataFrame:
+# Side tables with up to this many rows (groups x buckets) are broadcast; above it they join
+# by shuffle (AQE may still broadcast them at run time if they turn out small).
+BROADCAST_ROWS = 200_000
+
+
+def _bucket_cells(cells: DataFrame, keys: list[str], value: str, b: int, accuracy: int = 10000):
     """Tag every cell with ``_bk``: its value bucket, cut at ``percentile_approx`` bounds
-    (checkpointed: every branch sees the same cuts)."""
+    (checkpointed: every branch sees the same cuts).  Also returns how per-(group, bucket)
+    side tables join: broadcast when groups x buckets is within ``BROADCAST_ROWS`` (groups are
+    usually features or segments), counted on the small checkpointed bounds table."""
     qs = [i / b for i in range(1, b)]
     bounds = cut_lineage(cells.groupBy(*keys).agg(
         F.percentile_approx(F.col(value).cast("double"), qs, accuracy).alias("_bounds")))
+    small = bounds.count() * b <= BROADCAST_ROWS
+    side = F.broadcast if small else (lambda d: d)
     v = F.col(value).cast("double")
-    return (cells.join(F.broadcast(bounds), keys)  # one row per group (features: schema-bounded)
-            .withColumn("_bk", F.size(F.filter("_bounds", lambda x: x < v))).drop("_bounds"))
+    tagged = (cells.join(side(bounds), keys)
+              .withColumn("_bk", F.size(F.filter("_bounds", lambda x: x < v))).drop("_bounds"))
+    return tagged, side
 
 
 def quantiles_from_cells(cells: DataFrame, keys: list[str], value: str, probs: list[float],
@@ -110,7 +111,7 @@ def quantiles_from_cells(cells: DataFrame, keys: list[str], value: str, probs: l
     b = default_buckets(cells) if buckets is None else buckets
     if b <= 1:
         return _quantiles_full(cells, keys, value, probs, b)
-    tagged = _bucket_cells(cells, keys, value, b)
+    tagged, side = _bucket_cells(cells, keys, value, b)
     tot = tagged.groupBy(*keys, "_bk").agg(F.sum("n").alias("_t"))
     wo = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*keys, "_bk", "_t", F.coalesce(F.sum("_t").over(wo), F.lit(0)).alias("_o"),
@@ -121,13 +122,13 @@ def quantiles_from_cells(cells: DataFrame, keys: list[str], value: str, probs: l
         .withColumn("_i0", F.floor("_pos")).withColumn("_i1", F.ceil("_pos"))
     inside = lambda i: (F.col("_o") <= F.col(i)) & (F.col(i) < F.col("_o") + F.col("_t"))
     want = qs.where(inside("_i0") | inside("_i1")).select(*keys, "_bk", "_o", "q", "_pos", "_i0", "_i1")
-    # groups x quantiles x 2 rows at most: bounded by the schema width and the quantile list
-    sel = tagged.join(F.broadcast(want.select(*keys, "_bk", "_o").distinct()), [*keys, "_bk"])
+    # groups x quantiles x 2 rows at most
+    sel = tagged.join(side(want.select(*keys, "_bk", "_o").distinct()), [*keys, "_bk"])
     wl = Window.partitionBy(*keys, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     c = sel.select(*keys, "_bk", F.col(value).cast("double").alias("_v"),
                    (F.sum("n").over(wl) + F.col("_o")).alias("_hi"), "n")
     c = c.withColumn("_lo", F.col("_hi") - F.col("n"))
-    j = c.join(F.broadcast(want.drop("_o")), [*keys, "_bk"])
+    j = c.join(side(want.drop("_o")), [*keys, "_bk"])
     return _pick(j, keys)
 
 
@@ -149,7 +150,7 @@ def _quantiles_full(cells: DataFrame, keys: list[str], value: str, probs: list[f
     qrows = qrows.select(*keys, "q", "_pos", F.floor("_pos").alias("_i0"), F.ceil("_pos").alias("_i1"))
     c = cum.select(*keys, F.col(value).cast("double").alias("_v"),
                    (F.col("cum_n") - F.col("n")).alias("_lo"), F.col("cum_n").alias("_hi"))
-    return _pick(c.join(F.broadcast(qrows), keys), keys)  # groups x quantiles rows
+    return _pick(c.join(qrows, keys), keys)  # groups x quantiles rows
 
 
 def range_slices(df: DataFrame, keys: list[str], order: list, partitions: int | None = None) -> DataFrame:
