@@ -3,17 +3,20 @@
 A *model* is anything with ``transform(df)`` that adds ``prediction`` and
 ``probability``: an MLlib ``PipelineModel``, an ``ExpressionModel`` (a
 Column expression -- fully JVM-side and oracle-checkable), or a
-``PandasModel`` wrapping any object with ``predict(pandas_df)`` through
-``mapInPandas`` (Arrow batches, the object shipped once per task).
+``PandasModel`` wrapping any object with ``predict(pandas_df)`` through a
+scalar pandas UDF over the feature columns (Arrow batches; only the features
+cross to Python).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from vigil.functions.exprs import sigmoid
 from vigil.roles import Roles
@@ -46,17 +49,16 @@ class PandasModel:
         self.obj, self.features, self.threshold, self.version = obj, features, threshold, version
 
     def transform(self, df: DataFrame) -> DataFrame:
+        # a scalar pandas UDF over a struct of the feature columns: only the features cross to
+        # Python (Arrow batches); every other column stays in the JVM
         obj, feats, th = self.obj, self.features, self.threshold
-        schema = StructType([*df.schema.fields, StructField("probability", DoubleType()),
-                             StructField("prediction", DoubleType())])
 
-        def run(batches):
-            for pdf in batches:
-                p = obj.predict(pdf[feats])
-                pdf = pdf.assign(probability=p.astype("float64"), prediction=(p >= th).astype("float64"))
-                yield pdf
+        @pandas_udf(DoubleType())
+        def predict(x: pd.DataFrame) -> pd.Series:
+            return pd.Series(obj.predict(x[feats]), index=x.index).astype("float64")
 
-        return df.mapInPandas(run, schema).withColumn("prediction", F.col("prediction").cast("int"))
+        return (df.withColumn("probability", predict(F.struct(*[F.col(c) for c in feats])))
+                .withColumn("prediction", (F.col("probability") >= th).cast("int")))
 
 
 class LinearScorer:

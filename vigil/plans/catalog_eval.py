@@ -240,7 +240,7 @@ def j02(t):
 SELECT id, {_P} AS probability, ({_P} >= 0.5)::INTEGER AS prediction FROM feature_store_nulls""",
                                                                         "feature_store_nulls"))
 def j03(t):
-    """A plain Python model object (predict on pandas) applied with mapInPandas over Arrow batches."""
+    """A plain Python model object (predict on pandas) applied as a pandas UDF over Arrow batches."""
     m = J.PandasModel(J.LinearScorer(_W, _B), list(_W), 0.5)
     return m.transform(fx.feature_store_nulls(t).select("id", *_W)).select("id", "probability", "prediction")
 
