@@ -130,3 +130,16 @@ def test_ordered_last_non_null_carries_across_slices(spark):
         got = ordered_last_non_null(df, ["e"], [F.col("k")], ["v", "t"], partitions=parts)
         assert got.columns == df.columns
         assert rows_of(got, ["e", "k", "v", "t"]) == exp
+
+
+def test_tfidf_terms_hand_computed(spark):
+    import math
+    docs = spark.createDataFrame([(1, "The cat, the HAT!"), (2, "a cat sat"), (3, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["term"]): (r["tf"], r["df"], r["tfidf"])
+           for r in H.tfidf_terms(docs, "doc_id", "text").collect()}
+    idf = lambda df: math.log((3 + 1) / (df + 1))
+    exp = {(1, "the"): (2, 1, 2 * idf(1)), (1, "cat"): (1, 2, idf(2)), (1, "hat"): (1, 1, idf(1)),
+           (2, "cat"): (1, 2, idf(2)), (2, "sat"): (1, 1, idf(1))}  # "a" is shorter than 2
+    assert got.keys() == exp.keys()
+    for k, (tf, df, v) in exp.items():
+        assert got[k][:2] == (tf, df) and abs(got[k][2] - v) < 1e-12

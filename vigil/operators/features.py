@@ -404,3 +404,20 @@ def tfidf(docs: DataFrame, text: str, num_features: int = 1 << 18) -> DataFrame:
                          HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
                          IDF(inputCol="_tf", outputCol="tfidf")])
     return p.fit(docs).transform(docs).drop("_tok", "_tf")
+
+
+def tfidf_terms(docs: DataFrame, doc_id: str, text: str, min_len: int = 2) -> DataFrame:
+    """h23, exact long form: one row per (document, term) with tf (raw count), df (documents
+    containing the term), idf = ln((N + 1) / (df + 1)) (MLlib's smoothed IDF) and tf x idf.
+
+    Tokens are maximal runs of ASCII word characters (the same in every engine), lowercased,
+    at least ``min_len`` long; whole texts.  Term counts and document frequencies are hash
+    aggregates with map-side combine, so a frequent term is one partial row per task."""
+    tok = F.explode(F.split(F.col(text), "[^A-Za-z0-9_]+")).alias("_w")
+    words = docs.select(doc_id, tok).where(F.length("_w") >= min_len).select(doc_id, F.lower("_w").alias("term"))
+    tf = words.groupBy(doc_id, "term").agg(F.count("*").alias("tf"))
+    n_docs = docs.agg(F.count("*")).scalar()
+    dfreq = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.ln((n_docs + 1) / (F.col("df") + 1))
+    return tf.join(dfreq, "term").select(doc_id, "term", "tf", "df", idf.alias("idf"),
+                                         (F.col("tf") * idf).alias("tfidf"))

@@ -312,3 +312,20 @@ def h23(t):
     arr = vector_to_array("tfidf")
     return tf.select("doc_id", F.size(F.filter(arr, lambda x: x != 0)).alias("n_terms"),
                      F.aggregate(arr, F.lit(0.0), lambda a, x: a + x).alias("tfidf_sum"))
+
+
+@query("h23_tfidf_terms", doubles=("tfidf_sum", "tfidf_max"), oracle="""
+WITH w AS (SELECT doc_id, lower(w) AS term
+           FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) AS w FROM documents)
+           WHERE length(w) >= 2),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+t AS (SELECT tf.doc_id, tf.term, tf.tf, tf.tf * ln(((SELECT count(*) FROM documents) + 1) / (df.df + 1)) AS tfidf
+      FROM tf JOIN df USING (term))
+SELECT doc_id, count(*)::BIGINT AS n_terms, sum(tf)::BIGINT AS n_tokens, sum(tfidf) AS tfidf_sum,
+       max(tfidf) AS tfidf_max FROM t GROUP BY doc_id""")
+def h23x(t):
+    """Exact TF-IDF over every document (whole texts), summarised per document."""
+    x = H.tfidf_terms(t.documents.select("doc_id", "text"), "doc_id", "text")
+    return x.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"),
+                                   F.sum("tfidf").alias("tfidf_sum"), F.max("tfidf").alias("tfidf_max"))
