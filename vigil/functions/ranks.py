@@ -35,17 +35,20 @@ def default_buckets(df: DataFrame) -> int:
 
 
 def cumulative(cells: DataFrame, keys: list[str], value: str, counts: list[str],
-               buckets: int | None = None, accuracy: int = 10000, with_next: bool = False) -> DataFrame:
+               buckets: int | None = None, accuracy: int = 10000, with_next: bool = False,
+               max_groups: int | None = None) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum ordered by ``value`` within ``keys``)
     for every count column ``c`` of a table with one row per (keys, value).
-    ``with_next`` also adds ``next_value``: the next larger value of the group."""
+    ``with_next`` also adds ``next_value``: the next larger value of the group.
+    ``max_groups``: a bound on the number of groups known to the caller (e.g. the number of
+    unpivoted columns); without it the groups are counted."""
     b = default_buckets(cells) if buckets is None else buckets
     if b <= 1:
         w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         extra = [F.lead(value).over(Window.partitionBy(*keys).orderBy(value)).alias("next_value")] if with_next else []
         return cells.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in counts], *extra)
 
-    tagged, side = _bucket_cells(cells, keys, value, b, accuracy)
+    tagged, side = _bucket_cells(cells, keys, value, b, accuracy, max_groups)
     tot = tagged.groupBy(*keys, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in counts],
                                            F.min(value).alias("_mn"))
     wo = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,10 +76,10 @@ def value_cells(long: DataFrame, keys: list[str], value: str,
 
 
 def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[float],
-                    buckets: int | None = None) -> DataFrame:
+                    buckets: int | None = None, max_groups: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) per group.
     Returns one row per (keys, q) with column ``value_q``."""
-    return quantiles_from_cells(value_cells(long, keys, value), keys, value, probs, buckets)
+    return quantiles_from_cells(value_cells(long, keys, value), keys, value, probs, buckets, max_groups)
 
 
 # Side tables with up to this many rows (groups x buckets) are broadcast; above it they join
@@ -84,15 +87,17 @@ def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[fl
 BROADCAST_ROWS = 200_000
 
 
-def _bucket_cells(cells: DataFrame, keys: list[str], value: str, b: int, accuracy: int = 10000):
+def _bucket_cells(cells: DataFrame, keys: list[str], value: str, b: int, accuracy: int = 10000,
+                  max_groups: int | None = None):
     """Tag every cell with ``_bk``: its value bucket, cut at ``percentile_approx`` bounds
     (checkpointed: every branch sees the same cuts).  Also returns how per-(group, bucket)
     side tables join: broadcast when groups x buckets is within ``BROADCAST_ROWS`` (groups are
-    usually features or segments), counted on the small checkpointed bounds table."""
+    usually features or segments): the caller's bound ``max_groups`` or, without one, a count
+    of the small checkpointed bounds table."""
     qs = [i / b for i in range(1, b)]
     bounds = cut_lineage(cells.groupBy(*keys).agg(
         F.percentile_approx(F.col(value).cast("double"), qs, accuracy).alias("_bounds")))
-    small = bounds.count() * b <= BROADCAST_ROWS
+    small = (max_groups if max_groups is not None else bounds.count()) * b <= BROADCAST_ROWS
     side = F.broadcast if small else (lambda d: d)
     v = F.col(value).cast("double")
     tagged = (cells.join(side(bounds), keys)
@@ -101,7 +106,7 @@ def _bucket_cells(cells: DataFrame, keys: list[str], value: str, b: int, accurac
 
 
 def quantiles_from_cells(cells: DataFrame, keys: list[str], value: str, probs: list[float],
-                         buckets: int | None = None) -> DataFrame:
+                         buckets: int | None = None, max_groups: int | None = None) -> DataFrame:
     """Quantiles from (keys, value, n) cells: the value at 0-based index i is the one with
     cum_before <= i < cum; linear interpolation between indices floor(pos) and ceil(pos).
 
@@ -111,7 +116,7 @@ def quantiles_from_cells(cells: DataFrame, keys: list[str], value: str, probs: l
     b = default_buckets(cells) if buckets is None else buckets
     if b <= 1:
         return _quantiles_full(cells, keys, value, probs, b)
-    tagged, side = _bucket_cells(cells, keys, value, b)
+    tagged, side = _bucket_cells(cells, keys, value, b, max_groups=max_groups)
     tot = tagged.groupBy(*keys, "_bk").agg(F.sum("n").alias("_t"))
     wo = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*keys, "_bk", "_t", F.coalesce(F.sum("_t").over(wo), F.lit(0)).alias("_o"),

@@ -183,7 +183,7 @@ def fixed_bands(df: DataFrame, col: str, cuts: list[float], name: str | None = N
 def quantile_bins(df: DataFrame, col: str, q: int = 4) -> DataFrame:
     """h11: quartile (q-tile) bin from exact cut points: bin = 1 + number of cuts <= value."""
     long = df.select(F.lit(col).alias("feature"), F.col(col).cast("double").alias("value"))
-    cuts = exact_quantiles(long, ["feature"], "value", [i / q for i in range(1, q)])
+    cuts = exact_quantiles(long, ["feature"], "value", [i / q for i in range(1, q)], max_groups=1)
     arr = cuts.groupBy("feature").agg(F.array_sort(F.collect_list("value_q")).alias("c")).select("c").scalar()
     v = F.col(col).cast("double")
     b = F.lit(1)
@@ -249,7 +249,7 @@ def scale(df: DataFrame, cols: list[str], method: str = "standard") -> DataFrame
     """h15: standard (sample std), min-max, or robust (median / IQR, exact) scaling."""
     if method == "robust":
         from vigil.operators.profile import long_numeric, quartiles
-        q = quartiles(long_numeric(df, cols))
+        q = quartiles(long_numeric(df, cols), max_groups=len(cols))
         st = q.agg(*[F.max(F.when(F.col("feature") == c, F.struct("p25", "p50", "p75"))).alias(c)
                      for c in cols]).select(F.struct(*cols)).scalar()
         return df.withColumns({c: safe_div(F.col(c) - st.getField(c).getField("p50"),
@@ -275,7 +275,7 @@ def missing_indicators(df: DataFrame, cols: list[str]) -> DataFrame:
 def iqr_clip(df: DataFrame, cols: list[str], k: float = 1.5) -> DataFrame:
     """h17: clip to [Q1 - k IQR, Q3 + k IQR] (exact quartiles)."""
     from vigil.operators.profile import long_numeric, quartiles
-    q = quartiles(long_numeric(df, cols), (0.25, 0.75))
+    q = quartiles(long_numeric(df, cols), (0.25, 0.75), max_groups=len(cols))
     st = q.agg(*[F.max(F.when(F.col("feature") == c, F.struct(
         (F.col("p25") - k * (F.col("p75") - F.col("p25"))).alias("lo"),
         (F.col("p75") + k * (F.col("p75") - F.col("p25"))).alias("hi")))).alias(c) for c in cols]) \
@@ -311,7 +311,7 @@ def fill_categorical(df: DataFrame, cols: list[str], strategy: str = "mode") ->
 def fill_numeric_median(df: DataFrame, cols: list[str]) -> DataFrame:
     """h18: NULL -> exact median."""
     from vigil.operators.profile import long_numeric, quartiles
-    q = quartiles(long_numeric(df, cols), (0.5,))
+    q = quartiles(long_numeric(df, cols), (0.5,), max_groups=len(cols))
     st = q.agg(*[F.max(F.when(F.col("feature") == c, F.col("p50"))).alias(c) for c in cols]) \
         .select(F.struct(*cols)).scalar()
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), st.getField(c)) for c in cols})

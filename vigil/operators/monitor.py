@@ -42,7 +42,7 @@ def _cells(long: DataFrame) -> DataFrame:
 def ks_two_sample(ref: DataFrame, cur: DataFrame, cols: list[str], buckets: int | None = None) -> DataFrame:
     """Two-sample KS per numeric column: D = max |F_ref - F_cur| over distinct values."""
     cells = _cells(_sided(ref, cur, cols, "num"))
-    cum = cumulative(cells, ["feature"], "value", ["n_ref", "n_cur"], buckets)
+    cum = cumulative(cells, ["feature"], "value", ["n_ref", "n_cur"], buckets, max_groups=len(cols))
     tot = cells.groupBy("feature").agg(F.sum("n_ref").alias("_r"), F.sum("n_cur").alias("_c"))
     j = cum.join(F.broadcast(tot), "feature")  # one row per feature
     d = F.abs(safe_div("cum_n_ref", "_r") - safe_div("cum_n_cur", "_c"))
@@ -106,7 +106,8 @@ def drift_distances(ref: DataFrame, cur: DataFrame, cols: list[str], bins: int =
     # rows are aggregated once (map-side), every later step works on distinct values
     cells = _cells(_sided(ref, cur, cols, "num"))
     refc = cells.where(F.col("n_ref") > 0).select("feature", "value", F.col("n_ref").alias("n"))
-    cuts = quantiles_from_cells(refc, ["feature"], "value", [i / bins for i in range(1, bins)])
+    cuts = quantiles_from_cells(refc, ["feature"], "value", [i / bins for i in range(1, bins)],
+                                max_groups=len(cols))
     cut_arr = cuts.groupBy("feature").agg(F.array_sort(F.collect_list("value_q")).alias("_cuts"))  # bins-1 each
     tagged = cells.join(F.broadcast(cut_arr), "feature")  # one row per feature
     b = tagged.select("feature", "n_ref", "n_cur",
@@ -119,7 +120,8 @@ def drift_distances(ref: DataFrame, cur: DataFrame, cols: list[str], bins: int =
     m = (p + q) / 2
     js_term = (F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)) / 2
     dist = h.groupBy("feature").agg(F.sum((qf - pf) * F.log(qf / pf)).alias("psi"), F.sum(js_term).alias("js"))
-    cum = cumulative(cells, ["feature"], "value", ["n_ref", "n_cur"], buckets, with_next=True)
+    cum = cumulative(cells, ["feature"], "value", ["n_ref", "n_cur"], buckets, with_next=True,
+                     max_groups=len(cols))
     ct = cells.groupBy("feature").agg(F.sum("n_ref").alias("_r"), F.sum("n_cur").alias("_c"))
     cw = cum.join(F.broadcast(ct), "feature")
     gap = F.abs(F.col("cum_n_ref") / F.col("_r") - F.col("cum_n_cur") / F.col("_c"))

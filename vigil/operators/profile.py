@@ -29,13 +29,14 @@ def long_string(df: DataFrame, cols: list[str], ids: list[str] | None = None) ->
     return wide.unpivot(ids, cols, "feature", "value")
 
 
-def quartiles(long: DataFrame, probs=(0.25, 0.5, 0.75), method: str = "exact") -> DataFrame:
+def quartiles(long: DataFrame, probs=(0.25, 0.5, 0.75), method: str = "exact",
+              max_groups: int | None = None) -> DataFrame:
     """(feature, p25, p50, p75) -- exact by distributed ranks, or ``approx``."""
     names = [f"p{int(round(q * 100))}" for q in probs]
     if method == "approx":
         agg = long.groupBy("feature").agg(F.percentile_approx("value", list(probs), 100000).alias("_q"))
         return agg.select("feature", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    q = exact_quantiles(long, ["feature"], "value", list(probs))
+    q = exact_quantiles(long, ["feature"], "value", list(probs), max_groups=max_groups)
     return q.groupBy("feature").pivot("q", [float(x) for x in probs]).agg(F.first("value_q")) \
         .toDF("feature", *names)
 
@@ -46,7 +47,7 @@ def describe_numeric(df: DataFrame, cols: list[str], method: str = "exact") -> D
     stats = long.groupBy("feature").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    return stats.join(quartiles(long, method=method), "feature", "left").select(
+    return stats.join(quartiles(long, method=method, max_groups=len(cols)), "feature", "left").select(
         "feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -86,7 +87,7 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 50) -> DataFrame:
 def iqr_outliers(df: DataFrame, cols: list[str], k: float = 1.5, method: str = "exact") -> DataFrame:
     """f05: values below Q1 - k IQR or above Q3 + k IQR; count and % of all rows."""
     long = long_numeric(df, cols)
-    q = quartiles(long, (0.25, 0.75), method)
+    q = quartiles(long, (0.25, 0.75), method, max_groups=len(cols))
     lim = q.select("feature", (F.col("p25") - k * (F.col("p75") - F.col("p25"))).alias("lower"),
                    (F.col("p75") + k * (F.col("p75") - F.col("p25"))).alias("upper"))
     j = long.join(F.broadcast(lim), "feature")  # one row per feature
@@ -183,7 +184,7 @@ def spearman(df: DataFrame, cols: list[str], row_id: str, buckets: int | None =
     """f15: Spearman rho = Pearson r of average ranks, ranks from distributed cumulative counts."""
     long = long_numeric(df, cols, [row_id]).where(F.col("value").isNotNull())
     cells = value_cells(long, ["feature"], "value")
-    cum = cumulative(cells, ["feature"], "value", ["n"], buckets)
+    cum = cumulative(cells, ["feature"], "value", ["n"], buckets, max_groups=len(cols))
     ranks = cum.select("feature", "value", (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("rank"))
     ranked = long.join(ranks, ["feature", "value"])
     wide = ranked.groupBy(row_id).pivot("feature", cols).agg(F.first("rank"))

@@ -84,7 +84,7 @@ def edge_cases(df: DataFrame, model, numeric: list[str], categorical: list[str])
     """m03: synthetic rows at all-min, all-max, zero (where 0 is in range) and mean + 3 std;
     the other columns at the numeric median / categorical mode.  A non-NULL prediction passes."""
     from vigil.operators.profile import long_numeric, long_string, quartiles
-    q = quartiles(long_numeric(df, numeric), (0.5,))
+    q = quartiles(long_numeric(df, numeric), (0.5,), max_groups=len(numeric))
     med = q.agg(*[F.max(F.when(F.col("feature") == c, F.col("p50"))).alias(c) for c in numeric]) \
         .select(F.struct(*numeric)).scalar()
     st = df.agg(F.struct(*[F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"),

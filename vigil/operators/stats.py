@@ -30,7 +30,7 @@ def ks_normality(df: DataFrame, cols: list[str], mu: float = 0.0, sigma: float =
     without standardising, and so do we.  D+ / D- from cumulative counts per value."""
     long = long_numeric(df, cols).where(F.col("value").isNotNull())
     cells = value_cells(long, ["feature"], "value")
-    cum = cumulative(cells, ["feature"], "value", ["n"], buckets)
+    cum = cumulative(cells, ["feature"], "value", ["n"], buckets, max_groups=len(cols))
     tot = cells.groupBy("feature").agg(F.sum("n").alias("_tot"))
     j = cum.join(F.broadcast(tot), "feature")  # one row per feature
     cdf = norm_cdf((F.col("value") - mu) / sigma)
@@ -66,7 +66,7 @@ def mann_whitney(df: DataFrame, cols: list[str], group: str, g1, g2,
             .where(F.col("value").isNotNull())
             .withColumn("_g", F.when(F.col(group) == g1, F.lit("a")).otherwise(F.lit("b"))))
     cells = value_cells(long, ["feature"], "value", "_g", ("a",))
-    cum = cumulative(cells, ["feature"], "value", ["n"], buckets)
+    cum = cumulative(cells, ["feature"], "value", ["n"], buckets, max_groups=len(cols))
     rank = F.col("cum_n") - (F.col("n") - 1) / 2.0
     agg = cum.groupBy("feature").agg(
         F.sum(F.col("n_a") * rank).alias("r1"), F.sum("n_a").alias("n1"),
