@@ -5,9 +5,10 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SMALL
 from tools.oracle_check import rows_of
+from vigil.plans import registry
 
-ORACLE = E.oracle_sql()
-QUERIES = E.queries()
+ORACLE = registry.ORACLE
+QUERIES = registry.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
