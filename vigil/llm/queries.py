@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vigil.llm import exact_dedup, mixing, sharding
+from vigil.llm import exact_dedup, mixing, packing, sharding
 
 QUERIES = {
     "op2_karmarkar_karp_shards": sharding.query,
     "op3_weighted_mixing": mixing.query,
+    "op4_large_item_packing": packing.query,
     "op6_chunk_recipe_dedup": exact_dedup.query,
 }
 ORACLE = {
