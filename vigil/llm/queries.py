@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vigil.llm import exact_dedup, html_extract, mixing, packing, quality, sharding
+from vigil.llm import exact_dedup, fingerprint, html_extract, mixing, packing, quality, sharding
 
 QUERIES = {
+    "op1_order_minhash": fingerprint.query,
     "op2_karmarkar_karp_shards": sharding.query,
     "op3_weighted_mixing": mixing.query,
     "op4_large_item_packing": packing.query,
