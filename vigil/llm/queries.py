@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vigil.llm import exact_dedup, fingerprint, html_extract, mixing, packing, quality, sharding
+from vigil.llm import exact_dedup, fingerprint, html_extract, mixing, near_dedup, packing, quality, sharding
 
 QUERIES = {
     "op1_order_minhash": fingerprint.query,
     "op2_karmarkar_karp_shards": sharding.query,
     "op3_weighted_mixing": mixing.query,
     "op4_large_item_packing": packing.query,
+    "op5_bagminhash_near_dedup": near_dedup.query,
     "op6_chunk_recipe_dedup": exact_dedup.query,
     "op9_site_template_text": html_extract.query,
     "op10_kneser_ney_quality": quality.query,
