@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.llm import exact_dedup, fingerprint, html_extract, mixing, near_dedup, packing, quality, sharding, suffix_dedup
+from vigil.llm import exact_dedup, fingerprint, html_extract, lm_score, mixing, near_dedup, packing, quality, sharding, suffix_dedup
 
 QUERIES = {
     "op1_order_minhash": fingerprint.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_bagminhash_near_dedup": near_dedup.query,
     "op6_chunk_recipe_dedup": exact_dedup.query,
     "op7_suffix_array_dedup": suffix_dedup.query,
+    "op8_context_mixing_score": lm_score.query,
     "op9_site_template_text": html_extract.query,
     "op10_kneser_ney_quality": quality.query,
 }
