@@ -9,8 +9,11 @@ this in one task per feature -- a feature *is* a third (or all) of the rows.
 (a hot value is one row after the map-side partial aggregation) and splits
 every group into value buckets cut at approximate quantiles:
 
-1. bounds per group: ``percentile_approx`` of the values (one small row per
-   group), checkpointed so that every later branch sees the same cuts;
+1. the cells are written once to the shared folder and counted; their number
+   gives the number of buckets (CELLS_PER_BUCKET cells each), and a table that
+   fits one bucket takes the plain window at once;
+   bounds per group: ``percentile_approx`` of the values (one small row per
+   group), written too, so that every later branch sees the same cuts;
 2. per (group, bucket) totals -> running offsets over the small bucket table;
 3. per (group, bucket) running sums ordered by value -- each task holds one
    bucket, about 1/B of a group;
@@ -27,11 +30,16 @@ from pyspark.sql import functions as F
 from vigil.session import cut_lineage
 
 
-def default_buckets(df: DataFrame) -> int:
-    try:
-        return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    except Exception:  # noqa: BLE001
-        return 8
+# Cells (distinct values of a group) that one bucket holds on average.
+CELLS_PER_BUCKET = 100_000
+
+
+def _sized(cells: DataFrame, buckets: int | None) -> tuple[DataFrame, int]:
+    """The cells, computed once, and the number of buckets that their count asks for."""
+    if buckets is not None:
+        return cells, buckets
+    cells = cut_lineage(cells)
+    return cells, max(1, -(-cells.count() // CELLS_PER_BUCKET))
 
 
 def cumulative(cells: DataFrame, keys: list[str], value: str, counts: list[str],
@@ -42,7 +50,7 @@ def cumulative(cells: DataFrame, keys: list[str], value: str, counts: list[str],
     ``with_next`` also adds ``next_value``: the next larger value of the group.
     ``max_groups``: a bound on the number of groups known to the caller (e.g. the number of
     unpivoted columns); without it the groups are counted."""
-    b = default_buckets(cells) if buckets is None else buckets
+    cells, b = _sized(cells, buckets)
     if b <= 1:
         w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         extra = [F.lead(value).over(Window.partitionBy(*keys).orderBy(value)).alias("next_value")] if with_next else []
@@ -59,7 +67,7 @@ def cumulative(cells: DataFrame, keys: list[str], value: str, counts: list[str],
     wl = Window.partitionBy(*keys, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     extra = [F.lead(value).over(Window.partitionBy(*keys, "_bk").orderBy(value)).alias("_lead")] if with_next else []
     local = tagged.select("*", *[F.sum(c).over(wl).alias(f"_l_{c}") for c in counts], *extra)
-    out = local.join(side(off), [*keys, "_bk"])
+    out = join_null_safe(local, side(off), [*keys, "_bk"])
     nxt = [F.coalesce("_lead", "_next_mn").alias("next_value")] if with_next else []
     return out.select(*cells.columns,
                       *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in counts], *nxt)
@@ -95,13 +103,16 @@ def _bucket_cells(cells: DataFrame, keys: list[str], value: str, b: int, accurac
     usually features or segments): the caller's bound ``max_groups`` or, without one, a count
     of the small checkpointed bounds table."""
     qs = [i / b for i in range(1, b)]
+    # the sketch's error must stay below a bucket
     bounds = cut_lineage(cells.groupBy(*keys).agg(
-        F.percentile_approx(F.col(value).cast("double"), qs, accuracy).alias("_bounds")))
+        F.percentile_approx(F.col(value).cast("double"), qs, max(accuracy, 10 * b)).alias("_bounds")))
     small = (max_groups if max_groups is not None else bounds.count()) * b <= BROADCAST_ROWS
     side = F.broadcast if small else (lambda d: d)
     v = F.col(value).cast("double")
-    tagged = (cells.join(side(bounds), keys)
-              .withColumn("_bk", F.size(F.filter("_bounds", lambda x: x < v))).drop("_bounds"))
+    # number of bounds below the value, by binary search: steps of falling powers of two
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(b.bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get("_bounds", at + step - 1) < v, step).otherwise(0))
+    tagged = join_null_safe(cells, side(bounds), keys).withColumn("_bk", below).drop("_bounds")
     return tagged, side
 
 
@@ -113,7 +124,7 @@ def quantiles_from_cells(cells: DataFrame, keys: list[str], value: str, probs: l
     Selection rather than a full running sum: per-(group, bucket) totals give each bucket's
     index range, so only the buckets that hold a wanted index (at most two per quantile) are
     sorted -- a small share of the cells when the bucket count is large."""
-    b = default_buckets(cells) if buckets is None else buckets
+    cells, b = _sized(cells, buckets)
     if b <= 1:
         return _quantiles_full(cells, keys, value, probs, b)
     tagged, side = _bucket_cells(cells, keys, value, b, max_groups=max_groups)
@@ -128,13 +139,12 @@ def quantiles_from_cells(cells: DataFrame, keys: list[str], value: str, probs: l
     inside = lambda i: (F.col("_o") <= F.col(i)) & (F.col(i) < F.col("_o") + F.col("_t"))
     want = qs.where(inside("_i0") | inside("_i1")).select(*keys, "_bk", "_o", "q", "_pos", "_i0", "_i1")
     # groups x quantiles x 2 rows at most
-    sel = tagged.join(side(want.select(*keys, "_bk", "_o").distinct()), [*keys, "_bk"])
+    sel = join_null_safe(tagged, side(want.select(*keys, "_bk", "_o").distinct()), [*keys, "_bk"])
     wl = Window.partitionBy(*keys, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     c = sel.select(*keys, "_bk", F.col(value).cast("double").alias("_v"),
                    (F.sum("n").over(wl) + F.col("_o")).alias("_hi"), "n")
     c = c.withColumn("_lo", F.col("_hi") - F.col("n"))
-    j = c.join(side(want.drop("_o")), [*keys, "_bk"])
-    return _pick(j, keys)
+    return _pick(join_null_safe(c, side(want.drop("_o")), [*keys, "_bk"]), keys)
 
 
 def _pick(j: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,15 +165,15 @@ def _quantiles_full(cells: DataFrame, keys: list[str], value: str, probs: list[f
     qrows = qrows.select(*keys, "q", "_pos", F.floor("_pos").alias("_i0"), F.ceil("_pos").alias("_i1"))
     c = cum.select(*keys, F.col(value).cast("double").alias("_v"),
                    (F.col("cum_n") - F.col("n")).alias("_lo"), F.col("cum_n").alias("_hi"))
-    return _pick(c.join(qrows, keys), keys)  # groups x quantiles rows
+    return _pick(join_null_safe(c, qrows, keys), keys)  # groups x quantiles rows
 
 
 def range_slices(df: DataFrame, keys: list[str], order: list, partitions: int | None = None) -> DataFrame:
     """Rows range-partitioned on (keys, order) and tagged with their slice ``_p`` (slices are
     contiguous in that order); checkpointed, so every consumer and every retry sees the same
     slices.  A hot key spans many slices."""
-    p = default_buckets(df) if partitions is None else partitions
-    x = df.repartitionByRange(p, *[F.col(k) for k in keys], *order).withColumn("_p", F.spark_partition_id())
+    by = [*[F.col(k) for k in keys], *order]
+    x = df.repartitionByRange(*([partitions] if partitions else []), *by).withColumn("_p", F.spark_partition_id())
     return cut_lineage(x)
 
 
@@ -200,7 +210,8 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str =
     for c in on:
         e = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
         cond = e if cond is None else cond & e
-    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in on])
+    out = left.join(r, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{c}" for c in on])
 
 
 def ordered_previous(df: DataFrame, keys: list[str], order: list, cols: list[str],

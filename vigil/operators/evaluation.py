@@ -216,9 +216,9 @@ def compare_runs(runs: DataFrame, run_ids: list, metrics: list[str], key: str =
 
 
 def latest_versions(versions: DataFrame, model: str = "model", version: str = "version",
-                    stage: str | None = None, stage_col: str = "stage") -> DataFrame:
-    """i15: latest version per model (numeric max of the version text), optional stage."""
+                    stage: str | None = None, stage_col: str = "stage", tie: str = "run_id") -> DataFrame:
+    """i15: latest version per model (numeric max of the version text, then the largest ``tie``), optional stage."""
     v = versions.where(F.col(stage_col) == stage) if stage else versions
     others = [c for c in v.columns if c != model]
-    return (v.groupBy(model).agg(F.max_by(F.struct(*others), F.col(version).cast("int")).alias("_r"))
+    return (v.groupBy(model).agg(F.max_by(F.struct(*others), F.struct(F.col(version).cast("int"), F.col(tie))).alias("_r"))
             .select(model, *[F.col(f"_r.{c}").alias(c) for c in others]))

@@ -10,12 +10,15 @@ aggregate row consumed through a scalar subquery.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.exprs import md5_uniform, safe_div
-from vigil.functions.ranks import (cumulative, exact_quantiles, join_null_safe, ordered_last_non_null,
-                                  ordered_running_sums, range_slices)
+from vigil.functions.ranks import (BROADCAST_ROWS, cumulative, exact_quantiles, join_null_safe,
+                                  ordered_last_non_null, ordered_running_sums, range_slices)
+from vigil.session import cut_lineage
 
 
 # --------------------------------------------------------------------------- imputation
@@ -28,27 +31,55 @@ def mean_impute(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None)
     return df.withColumns({c: F.coalesce(F.col(c), means.getField(c)).cast("double") for c in cols})
 
 
-def mean_impute_mllib(df: DataFrame, cols: list[str]) -> DataFrame:
-    from pyspark.ml.feature import Imputer
-    d = df.withColumns({c: F.col(c).cast("double") for c in cols})
-    return Imputer(inputCols=cols, outputCols=cols, strategy="mean").fit(d).transform(d)
-
-
 # --------------------------------------------------------------------------- splits
 
 def _positions(df: DataFrame, key: str, strata: str | None, seed: int) -> DataFrame:
-    """Per-stratum position (1-based) in keyed-hash order, plus stratum size ``_n``."""
-    s = F.col(strata) if strata else F.lit("all")
-    base = df.withColumn("_s", s.cast("string")).withColumn("_u", md5_uniform(key, seed))
-    # one row per (stratum, u): hashes are distinct per key (ties broken by key below)
-    cells = base.groupBy("_s", "_u").agg(F.count("*").alias("n"))
-    cum = cumulative(cells, ["_s"], "_u", ["n"])
-    sizes = cells.groupBy("_s").agg(F.sum("n").alias("_n"))
-    pos = cum.join(F.broadcast(sizes), "_s")  # one row per stratum
-    out = base.join(pos.select("_s", "_u", (F.col("cum_n") - F.col("n")).alias("_before"), "n", "_n"), ["_s", "_u"])
+    """Per-stratum position (1-based) in keyed-hash order (a NULL stratum is one of its own; NULL keys share the
+    hash 0)."""
+    base, cum, _ = _hash_cells(df, key, strata, seed)
+    before = cum.select("_s", "_u", (F.col("cum_n") - F.col("n")).alias("_before"))
+    out = join_null_safe(base, before, ["_s", "_u"])
     # rows sharing a hash value (practically never) are ordered by key inside the cell
     w = Window.partitionBy("_s", "_u").orderBy(key)
-    return out.withColumn("_pos", F.col("_before") + F.row_number().over(w)).drop("n", "_before")
+    return out.withColumn("_pos", F.col("_before") + F.row_number().over(w)).drop("_before")
+
+
+def _hash_cells(df: DataFrame, key: str, strata: str | None, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with stratum ``_s`` and hash ``_u``, running counts per (stratum, hash), stratum sizes)."""
+    s = F.col(strata) if strata else F.lit("all")
+    base = df.withColumn("_s", s.cast("string")).withColumn("_u", F.coalesce(md5_uniform(key, seed), F.lit(0.0)))
+    # one row per (stratum, u): hashes are distinct per key
+    cells = cut_lineage(base.groupBy("_s", "_u").agg(F.count("*").alias("n")))
+    sizes = cells.groupBy("_s").agg(F.sum("n").alias("_n"))
+    return base, cumulative(cells, ["_s"], "_u", ["n"]), sizes
+
+
+def _first_rows(df: DataFrame, key: str, strata: str | None, shares: list[float], seed: int) -> DataFrame:
+    """Flags ``_in0``, ``_in1``...: the row is among the first round(share * n) of its stratum in keyed-hash order.
+
+    The rows are not numbered: the hash of the last row inside each quota is found on the cells, and every row
+    compares its own hash with it.  Only rows of a cell that a quota cuts (equal keys) are ordered."""
+    base, cum, sizes = _hash_cells(df, key, strata, seed)
+    t = join_null_safe(cum, sizes, ["_s"]).withColumn("_before", F.col("cum_n") - F.col("n"))
+    aggs = []
+    for i, share in enumerate(shares):
+        quota = F.round(F.col("_n") * share)
+        last = (F.col("_before") < quota) & (quota <= F.col("cum_n"))
+        aggs += [F.max(F.when(last, F.col("_u"))).alias(f"_u{i}"), F.max(F.when(last, quota - F.col("_before"))).alias(f"_need{i}"),
+                 F.max(F.when(last, F.col("n"))).alias(f"_cell{i}")]
+    cuts = cut_lineage(t.groupBy("_s").agg(*aggs))   # one row per stratum
+    cut_cells = F.greatest(*[F.coalesce(F.col(f"_cell{i}") - F.col(f"_need{i}"), F.lit(0)) for i in range(len(shares))], F.lit(0))
+    partial = not cuts.where(cut_cells > 0).isEmpty()
+    x = join_null_safe(base, F.broadcast(cuts) if cuts.count() <= BROADCAST_ROWS else cuts, ["_s"])
+    if partial:
+        at_cut = F.coalesce(F.greatest(*[(F.col("_u") == F.col(f"_u{i}")).cast("int") for i in range(len(shares))], F.lit(0)), F.lit(0)) == 1
+        number = F.row_number().over(Window.partitionBy("_s", "_u").orderBy(key))
+        x = x.where(~at_cut).withColumn("_at", F.lit(0)).unionByName(x.where(at_cut).withColumn("_at", number))
+    else:
+        x = x.withColumn("_at", F.lit(0))
+    inside = [F.coalesce((F.col("_u") < F.col(f"_u{i}")) | ((F.col("_u") == F.col(f"_u{i}")) & (F.col("_at") <= F.col(f"_need{i}"))),
+                         F.lit(False)).alias(f"_in{i}") for i in range(len(shares))]
+    return x.select(*[F.col(f"`{c}`") for c in df.columns], *inside)
 
 
 def stratified_holdout(df: DataFrame, key: str, label: str | None, test_size: float = 0.2,
@@ -57,28 +88,20 @@ def stratified_holdout(df: DataFrame, key: str, label: str | None, test_size: fl
     class in hash order, else 'train'; without ``label`` the whole table is one stratum.
     Stratifies only when there is more than one class (as the reference)."""
     if label is not None:
-        n_classes = df.agg(F.count_distinct(label)).scalar()
+        n_classes = df.agg(F.count_distinct(F.struct(label))).scalar()   # NULL is a class
         strat = F.when(n_classes > 1, F.col(label).cast("string")).otherwise(F.lit("all"))
         df = df.withColumn("_strat", strat)
-    p = _positions(df, key, "_strat" if label is not None else None, seed)
-    out = p.withColumn("split", F.when(F.col("_pos") <= F.round(F.col("_n") * test_size), "test")
-                       .otherwise("train"))
-    return out.drop("_s", "_u", "_pos", "_n", *(["_strat"] if label is not None else []))
-
-
-def hash_holdout(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """h03 (no sort at all): test when the keyed uniform < test_size -- approximate shares."""
-    return df.withColumn("split", F.when(md5_uniform(key, seed) < test_size, "test").otherwise("train"))
+    p = _first_rows(df, key, "_strat" if label is not None else None, [test_size], seed)
+    out = p.withColumn("split", F.when(F.col("_in0"), "test").otherwise("train"))
+    return out.drop("_in0", *(["_strat"] if label is not None else []))
 
 
 def three_way_split(df: DataFrame, key: str, fractions=(0.7, 0.15, 0.15), label: str | None = None,
                     seed: int = 42) -> DataFrame:
     """h04: train / validation / test by position cut points (per class when ``label``)."""
-    p = _positions(df, key, label, seed)
-    c1 = F.round(F.col("_n") * fractions[0])
-    c2 = F.round(F.col("_n") * (fractions[0] + fractions[1]))
-    return p.withColumn("split", F.when(F.col("_pos") <= c1, "train").when(F.col("_pos") <= c2, "validation")
-                        .otherwise("test")).drop("_s", "_u", "_pos", "_n")
+    p = _first_rows(df, key, label, [fractions[0], fractions[0] + fractions[1]], seed)
+    return p.withColumn("split", F.when(F.col("_in0"), "train").when(F.col("_in1"), "validation")
+                        .otherwise("test")).drop("_in0", "_in1")
 
 
 def temporal_split(df: DataFrame, date_col: str, t1, t2=None) -> DataFrame:
@@ -117,7 +140,7 @@ def fold_roles(segments: DataFrame, n_splits: int = 5) -> DataFrame:
 def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """h07: fold = (position in class, hash order) - 1 mod k; feeds CrossValidator(foldCol=...)."""
     p = _positions(df, key, label, seed)
-    return p.withColumn("fold", ((F.col("_pos") - 1) % k).cast("int")).drop("_s", "_u", "_pos", "_n")
+    return p.withColumn("fold", ((F.col("_pos") - 1) % k).cast("int")).drop("_s", "_u", "_pos")
 
 
 # --------------------------------------------------------------------------- behavioural features
@@ -372,27 +395,24 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def undersample(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
-    """h21: keep each class with probability n_min / n_class by keyed hash (deterministic)."""
-    c = df.groupBy(label).agg(F.count("*").alias("_nc"))
+    """h21: keep each class with probability n_min / n_class by keyed hash (deterministic).  NULL is a class; the
+    counts are broadcast up to BROADCAST_ROWS classes."""
+    c = cut_lineage(df.groupBy(label).agg(F.count("*").alias("_nc")))
     n_min = c.agg(F.min("_nc")).scalar()
-    return (df.join(c, label).where(md5_uniform(key, seed) < n_min / F.col("_nc")).drop("_nc"))
+    counts = F.broadcast(c) if c.count() <= BROADCAST_ROWS else c
+    return join_null_safe(df, counts, [label]).where(md5_uniform(key, seed) < n_min / F.col("_nc")).drop("_nc")
 
 
 def silver_normalise(df: DataFrame, casts: dict[str, str], text_cols: list[str], date_cols: list[str]) -> DataFrame:
-    """h22: snake-case column names, try-casts, trimmed lower-case text, dates."""
-    import re
-    out = df
-    for c in df.columns:
-        new = re.sub(r"[^0-9a-zA-Z]+", "_", c).strip("_").lower()
-        if new != c:
-            out = out.withColumnRenamed(c, new)
-    exprs = {}
-    for c, t in casts.items():
-        exprs[c] = F.try_cast(F.col(c).cast("string"), t) if hasattr(F, "try_cast") else F.col(c).cast(t)
-    for c in text_cols:
-        exprs[c] = F.lower(F.trim(F.col(c)))
-    for c in date_cols:
-        exprs[c] = F.to_date(F.col(c))
+    """h22: snake-case column names, try-casts (a bad value is NULL), trimmed lower-case text, dates.  The columns
+    may be given by their old or new names."""
+    def new(c: str) -> str:
+        return re.sub(r"[^0-9a-zA-Z]+", "_", c).strip("_").lower()
+
+    out = df.toDF(*[new(c) for c in df.columns])
+    exprs = {new(c): F.col(new(c)).cast("string").try_cast(t) for c, t in casts.items()}
+    exprs |= {new(c): F.lower(F.trim(F.col(new(c)))) for c in text_cols}
+    exprs |= {new(c): F.col(new(c)).cast("string").try_cast("timestamp").cast("date") for c in date_cols}
     return out.withColumns(exprs)
 
 

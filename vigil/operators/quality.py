@@ -25,7 +25,8 @@ def hours_between(start, as_of) -> Column:
 
 def datamart_gate(df: DataFrame, rules: DatamartRules = DatamartRules(),
                   order_by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """e01 / e02: (status row, deduplicated table).
+    """e01 / e02: (status row, deduplicated table).  With dedup keys the last row by ``order_by`` stays; without
+    an order, by all other columns, so that the answer does not depend on the order of the input.
 
     errors: too few rows (>= min_rows, or > with ``strict``), missing required columns;
     warnings: NULLs in critical columns, duplicates on the dedup keys (then dropped).
@@ -51,11 +52,10 @@ def datamart_gate(df: DataFrame, rules: DatamartRules = DatamartRules(),
         nulls.alias("null_critical"), dups.cast("long").alias("n_duplicates"), status.alias("status"))
     if not keys:
         dedup = df
-    elif order_by:
-        from vigil.operators.relational import dedup_keep_last
-        dedup = dedup_keep_last(df, keys, order_by)   # keep last, deterministic
     else:
-        dedup = df.dropDuplicates(keys)
+        from vigil.operators.relational import dedup_keep_last
+        rest = [c for c in df.columns if c not in keys]
+        dedup = dedup_keep_last(df, keys, order_by or rest) if rest else df.distinct()
     return report, dedup
 
 
@@ -245,10 +245,17 @@ def volume_changes(df: DataFrame, ts: str, watch: str, limit_pct: float = 50.0)
 
 
 def version_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """e12: records added / removed / changed / unchanged between two versions (one full outer join)."""
-    o = old.select(F.col(key), F.xxhash64(*[F.col(c) for c in old.columns]).alias("_h_old"))
-    n = new.select(F.col(key), F.xxhash64(*[F.col(c) for c in new.columns]).alias("_h_new"))
-    j = o.join(n, key, "full_outer")
+    """e12: records added / removed / changed / unchanged between two versions (one full outer join).
+
+    Columns are compared by name, NULL-marked, in one order; a column of one version only counts as NULL in the
+    other.  NULL keys match."""
+    columns = sorted({*old.columns, *new.columns} - {key})
+
+    def hashed(df: DataFrame, name: str) -> DataFrame:
+        cols = [F.col(f"`{c}`") if c in df.columns else F.lit(None) for c in columns]
+        return df.select(F.col(key).alias(f"_k{name}"), F.xxhash64(*[x for c in cols for x in (c.isNull(), c)]).alias(name))
+
+    j = hashed(old, "_h_old").join(hashed(new, "_h_new"), F.col("_k_h_old").eqNullSafe(F.col("_k_h_new")), "full_outer")
     return j.agg(count_true(F.col("_h_old").isNull()).alias("n_added"),
                  count_true(F.col("_h_new").isNull()).alias("n_removed"),
                  count_true(F.col("_h_old").isNotNull() & F.col("_h_new").isNotNull()

@@ -12,6 +12,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.functions.ranks import join_null_safe
 from vigil.functions.exprs import md5_uniform
 from vigil.roles import Roles, family
 
@@ -105,7 +106,7 @@ def duplicate_report(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def duplicate_members(df: DataFrame, cols: list[str]) -> DataFrame:
     """b10: every row of a duplicate group (semi join with the groups; AQE splits hot keys)."""
     groups = df.groupBy(*cols).agg(F.count("*").alias("cnt")).where("cnt > 1").drop("cnt")
-    return df.join(groups, on=cols, how="left_semi")
+    return join_null_safe(df, groups, cols, "left_semi")   # NULL equals NULL here
 
 
 def append_prediction(df: DataFrame, prediction: Column, model_version: str, scored_at) -> DataFrame:

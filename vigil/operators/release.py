@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.exprs import md5_uniform, norm_cdf, safe_div
-from vigil.functions.ranks import quantiles_from_cells
+from vigil.functions.ranks import join_null_safe, quantiles_from_cells
 from vigil.roles import ReleaseLimits
 
 TOTAL = "__total__"
@@ -19,9 +19,9 @@ TOTAL = "__total__"
 
 def service_metrics(log: DataFrame, version: str = "model_version", latency: str = "latency_ms",
                     error: str = "is_error", correct: str = "is_correct", by: list[str] | None = None,
-                    with_total: bool = True) -> DataFrame:
-    """n01: per version error rate, latency p50 / p95 / p99 (exact), accuracy, requests;
-    plus a total row over all traffic (grouping sets, one pass)."""
+                    with_total: bool = True, percentiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """n01: per version error rate, latency p50 / p95 / p99 (exact; only those asked for), accuracy, requests;
+    plus a total row over all traffic (grouping sets, one pass).  NULL is a version like any other."""
     by = by or []
     keys = [*by, version]
     sets = [keys, by] if with_total else [keys]
@@ -30,14 +30,16 @@ def service_metrics(log: DataFrame, version: str = "model_version", latency: str
          .agg(F.count("*").alias("n"), F.avg(F.col(error).cast("double")).alias("error_rate"),
               F.avg(F.col(correct).cast("double")).alias("accuracy"), g.alias("_gid")))
     a = a.withColumn(version, F.when(F.col("_gid") > 0, F.lit(TOTAL)).otherwise(F.col(version))).drop("_gid")
+    if not percentiles:
+        return a
     cells = (log.where(F.col(latency).isNotNull())
              .groupingSets([[*keys, latency], [*by, latency]] if with_total else [[*keys, latency]], *keys, latency)
              .agg(F.count("*").alias("n"), F.grouping_id().alias("_gid")))
     cells = cells.withColumn(version, F.when(F.col("_gid") > 0, F.lit(TOTAL)).otherwise(F.col(version))).drop("_gid")
-    q = quantiles_from_cells(cells, keys, latency, [0.5, 0.95, 0.99])
-    qw = q.groupBy(*keys).pivot("q", [0.5, 0.95, 0.99]).agg(F.first("value_q")) \
-        .toDF(*keys, "latency_p50", "latency_p95", "latency_p99")
-    return a.join(qw, keys, "left")
+    q = quantiles_from_cells(cells, keys, latency, list(percentiles))
+    qw = q.groupBy(*keys).pivot("q", list(percentiles)).agg(F.first("value_q")) \
+        .toDF(*keys, *[f"latency_p{round(100 * p)}" for p in percentiles])
+    return join_null_safe(a, qw, keys, "left")
 
 
 def health_verdict(metrics: DataFrame, canary: str, production: str, version: str = "model_version",
@@ -87,7 +89,7 @@ def staged_rollout(log: DataFrame, key: str, canary: str, production: str, versi
     # the per-(stage, version) metric table is tiny and read by several branches: computed once
     # and checkpointed into the shared folder
     from vigil.session import cut_lineage
-    m = cut_lineage(service_metrics(c.unionByName(p), version, by=["stage"], with_total=False))
+    m = cut_lineage(service_metrics(c.unionByName(p), version, by=["stage"], with_total=False, percentiles=(0.95,)))
     mp = m.where(F.col("stage") == -1).drop("stage").select("*", F.explode(stages).alias("stage"))
     v = verdict(m.where(F.col("stage") >= 0), mp, ["stage"], ["stage"], limits)
     w = Window.orderBy("stage").rowsBetween(Window.unboundedPreceding, 0)  # five stage rows

@@ -148,14 +148,11 @@ def i14c(t):
 
 
 @query("i15_latest_versions", doubles=("recall", "accuracy"), oracle=with_views("""
-SELECT model, arg_max(run_id, CAST(version AS INTEGER)) AS run_id, max(CAST(version AS INTEGER))::VARCHAR AS version,
-       arg_max(stage, CAST(version AS INTEGER)) AS stage, arg_max(recall, CAST(version AS INTEGER)) AS recall,
-       arg_max(accuracy, CAST(version AS INTEGER)) AS accuracy, arg_max(ts, CAST(version AS INTEGER)) AS ts
-FROM (SELECT * FROM runs WHERE stage = 'Production') r GROUP BY model""", "runs"))
+SELECT model, run_id, version, stage, recall, accuracy, ts FROM runs WHERE stage = 'Production'
+QUALIFY row_number() OVER (PARTITION BY model ORDER BY CAST(version AS INTEGER) DESC, run_id DESC) = 1""", "runs"))
 def i15(t):
     """Latest Production version per model (numeric max of the version text)."""
-    return V.latest_versions(fx.runs(t).where(F.col("stage") == "Production")
-                             .dropDuplicates(["model", "version"]), "model", "version")
+    return V.latest_versions(fx.runs(t).where(F.col("stage") == "Production"), "model", "version")
 
 
 # ---------------------------------------------------------------- trained models (rows-only)
@@ -185,12 +182,13 @@ def i02(t):
 @query("i08_grid_search_cv")
 def i08(t):
     folds = stratified_kfold(fx.train_rows(t), "id", "target", 5)
-    return T.grid_search_cv(folds, NUM, "target", "fold", {"numTrees": [10, 30], "maxDepth": [4, 8]})
+    return T.grid_search_cv(folds, NUM, "target", "fold", {"numTrees": [10, 30], "maxDepth": [4, 8], "minInstancesPerNode": [1, 3]})
 
 
 @query("i09_learning_curve")
 def i09(t):
-    return T.learning_curve(fx.train_rows(t), NUM, "target", "id", fx.test_rows(t))
+    folds = stratified_kfold(fx.train_rows(t), "id", "target", 5)
+    return T.learning_curve(folds, NUM, "target", "id", "fold")
 
 
 @query("i10_feature_importance")
@@ -211,11 +209,10 @@ _P = f"1.0 / (1.0 + exp(-({_B!r} + {_Z})))"
 SELECT id, date, customer_id, f_total, f_items, f_disc, priority, {_P} AS probability,
        ({_P} >= 0.5)::INTEGER AS prediction, TIMESTAMP '2001-08-02 00:00:00' AS prediction_timestamp,
        'logit-1' AS model_version
-FROM feature_store WHERE date >= DATE '2001-01-01'""", "feature_store"))
+FROM feature_store""", "feature_store"))
 def j01(t):
     """Score a batch with an expression model, stamp version and time, write partitioned, read back."""
-    batch = fx.feature_store(t).where(F.col("date") >= F.lit("2001-01-01").cast("date"))
-    scored = J.score_batch(batch, J.logistic_model(_W, _B), "logit-1", "2001-08-02 00:00:00")
+    scored = J.score_batch(fx.feature_store(t), J.logistic_model(_W, _B), "logit-1", "2001-08-02 00:00:00")
     path = J.write_predictions(scored.withColumn("month", F.date_format("date", "yyyy-MM")),
                                io.work_path(t.spark, "j01"), ["month"])
     return t.spark.read.parquet(path).drop("month")
@@ -223,13 +220,13 @@ def j01(t):
 
 @query("j02_append_predictions", doubles=("probability",), oracle=with_views(f"""
 SELECT id, {_P} AS probability, ({_P} >= 0.5)::INTEGER AS prediction, 'logit-1' AS model_version
-FROM feature_store WHERE date >= DATE '2000-01-01'""", "feature_store"))
+FROM feature_store""", "feature_store"))
 def j02(t):
     """Two scoring runs appended to one predictions table (read back)."""
     fs = fx.feature_store(t)
     path = io.work_path(t.spark, "j02")
     m = J.logistic_model(_W, _B)
-    for lo, hi in (("2000-01-01", "2000-12-31"), ("2001-01-01", "2099-12-31")):
+    for lo, hi in (("1900-01-01", "2000-12-31"), ("2001-01-01", "2999-12-31")):
         b = fs.where(F.col("date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
         J.write_predictions(J.score_batch(b, m, "logit-1", "2001-08-02").select(
             "id", "probability", "prediction", "model_version"), path, None, "append")

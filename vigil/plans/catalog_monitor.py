@@ -203,16 +203,16 @@ def k07(t):
 
 
 @query("k08_promotion_decision", doubles=("candidate", "production", "improvement"), oracle=with_views("""
-WITH c AS (SELECT model, arg_max(recall, CAST(version AS INTEGER)) AS candidate,
-                  max(CAST(version AS INTEGER))::VARCHAR AS candidate_version FROM runs WHERE stage = 'Staging' GROUP BY model),
-p AS (SELECT model, arg_max(recall, CAST(version AS INTEGER)) AS production,
-             max(CAST(version AS INTEGER))::VARCHAR AS production_version FROM runs WHERE stage = 'Production' GROUP BY model)
+WITH l AS (SELECT * FROM runs
+           QUALIFY row_number() OVER (PARTITION BY model, stage ORDER BY CAST(version AS INTEGER) DESC, run_id DESC) = 1),
+c AS (SELECT model, recall AS candidate, version AS candidate_version FROM l WHERE stage = 'Staging'),
+p AS (SELECT model, recall AS production, version AS production_version FROM l WHERE stage = 'Production')
 SELECT model, candidate_version, production_version, candidate, production, candidate - production AS improvement,
        CASE WHEN production IS NULL THEN 'promote' WHEN candidate IS NULL THEN 'keep'
             WHEN candidate - production >= 0.01 THEN 'promote' ELSE 'keep' END AS decision
 FROM c FULL OUTER JOIN p USING (model)""", "runs"))
 def k08(t):
-    r = fx.runs(t).dropDuplicates(["model", "version", "stage"])
+    r = fx.runs(t)
     cand = latest_versions(r.where(F.col("stage") == "Staging"), "model", "version")
     prod = latest_versions(r.where(F.col("stage") == "Production"), "model", "version")
     return K.promotion_decision(cand, prod, "model", "recall")
@@ -298,7 +298,7 @@ FROM (SELECT * FROM {src} WHERE model_version = 'v2') c JOIN (SELECT * FROM {src
                                       "accuracy_drop"), oracle=with_views(_verdict_sql("m"), "service_log",
                                                                           ctes=[("m", _svc_sql())]))
 def n02(t):
-    return N.health_verdict(N.service_metrics(fx.service_log(t)), "v2", "v1")
+    return N.health_verdict(N.service_metrics(fx.service_log(t), percentiles=(0.95,)), "v2", "v1")
 
 
 def _stage_sql() -> str:
@@ -330,7 +330,7 @@ z AS (SELECT p1, p2, (p1 - p2) / nullif(sqrt(((p1 * n1 + p2 * n2) / (n1 + n2)) *
 SELECT 'v1' AS version_a, 'v2' AS version_b, p1 AS rate_a, p2 AS rate_b, z, 2 * (1 - {norm_cdf('abs(z)')}) AS p_value,
        2 * (1 - {norm_cdf('abs(z)')}) < 0.05 AS significant FROM z""", "service_log"))
 def n04(t):
-    return N.two_proportion_test(N.service_metrics(fx.service_log(t)), "v1", "v2")
+    return N.two_proportion_test(N.service_metrics(fx.service_log(t), percentiles=()), "v1", "v2")
 
 
 @query("c04_metric_rule_join", doubles=("limit", "value"), oracle=with_views(f"""

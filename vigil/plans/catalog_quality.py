@@ -240,9 +240,12 @@ def e11(t):
 @query("e12_version_diff", oracle=with_views("""
 SELECT count(*) FILTER (WHERE a.o_orderkey IS NULL)::BIGINT AS n_added,
        count(*) FILTER (WHERE b.o_orderkey IS NULL)::BIGINT AS n_removed,
-       0::BIGINT AS n_changed,
-       count(*) FILTER (WHERE a.o_orderkey IS NOT NULL AND b.o_orderkey IS NOT NULL)::BIGINT AS n_unchanged
-FROM orders_v1 a FULL OUTER JOIN orders_v2 b ON a.o_orderkey = b.o_orderkey""", "orders_v1", "orders_v2"))
+       count(*) FILTER (WHERE a.o_orderkey IS NOT NULL AND b.o_orderkey IS NOT NULL AND differs)::BIGINT AS n_changed,
+       count(*) FILTER (WHERE a.o_orderkey IS NOT NULL AND b.o_orderkey IS NOT NULL AND NOT differs)::BIGINT AS n_unchanged
+FROM (SELECT a, b, a.o_custkey IS DISTINCT FROM b.o_custkey OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus
+             OR a.o_totalprice IS DISTINCT FROM b.o_totalprice OR a.o_orderdate IS DISTINCT FROM b.o_orderdate
+             OR a.o_orderpriority IS DISTINCT FROM b.o_orderpriority AS differs
+      FROM orders_v1 a FULL OUTER JOIN orders_v2 b ON a.o_orderkey = b.o_orderkey) j""", "orders_v1", "orders_v2"))
 def e12(t):
     v1, v2 = fx.orders_versions(t)
     return Q.version_diff(v1, v2, "o_orderkey")

@@ -14,6 +14,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from vigil.functions.exprs import md5_uniform
+from vigil.plans.catalog_monitor import _drift_sql
 from vigil.plans.registry import query
 from vigil.sources import fixtures as fx
 from vigil.sources import io
@@ -101,16 +102,25 @@ def s05(t):
     return _run(t, "s05", S.avg_over_time(S.read_log_stream(t.spark, folder, hist.schema)))
 
 
-@query("s06_drift_per_batch")
+# Arrivals of current events: each is one micro-batch.
+_ARRIVALS = (("2024-01-01", "2024-01-21"), ("2024-01-21", "2024-01-26"), ("2024-01-26", "2099-01-01"))
+
+
+@query("s06_drift_per_batch", doubles=("statistic", "p_value"), oracle=with_views("\nUNION ALL\n".join(
+    f"SELECT *, {i}::BIGINT AS batch_id FROM ({_drift_sql(f'cur{i}')}) d{i}" for i in range(len(_ARRIVALS))), "ref", "cur",
+    ctes=[(f"cur{i}", f"SELECT * FROM cur WHERE ts >= TIMESTAMP '{a}' AND ts < TIMESTAMP '{b}'")
+          for i, (a, b) in enumerate(_ARRIVALS)]))
 def s06(t):
-    """Each micro-batch of current events tested against the reference window (foreachBatch)."""
+    """Each arrival of current events is one micro-batch, tested against the reference window (foreachBatch)."""
     ref, cur = fx.drift_frames(t)
-    folder = _staged(t, "s06", cur, n_files=3)
-    alerts = io.work_path(t.spark, "s06-alerts")
-    stream = S.read_log_stream(t.spark, folder, cur.schema)
-    q = (stream.writeStream.foreachBatch(S.drift_per_batch(ref, ["user_id", "value"], ["event_type"], alerts))
-         .option("checkpointLocation", io.work_path(t.spark, "s06-ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    folder, ck, alerts = (io.work_path(t.spark, f"s06-{x}") for x in ("in", "ckpt", "alerts"))
+    for i, (a, b) in enumerate(_ARRIVALS):
+        day = lambda d: F.lit(f"{d} 00:00:00").cast("timestamp_ntz")
+        cur.where((F.col("ts") >= day(a)) & (F.col("ts") < day(b))).write.parquet(f"{folder}/arrival-{i}")
+        stream = S.read_log_stream(t.spark, folder, cur.schema)
+        q = (stream.writeStream.foreachBatch(S.drift_per_batch(ref, ["user_id", "value"], ["event_type"], alerts))
+             .option("checkpointLocation", ck).trigger(availableNow=True).start())
+        q.awaitTermination()
     return t.spark.read.parquet(alerts)
 
 

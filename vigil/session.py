@@ -9,7 +9,9 @@ checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,16 +23,18 @@ def build_session(master: str | None = None, app: str = "vigil",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    parts = shuffle_partitions or int(os.environ.get("VIGIL_SHUFFLE_PARTITIONS", "8"))
-    b = (b.config("spark.sql.shuffle.partitions", str(parts))
-          .config("spark.sql.adaptive.enabled", "true")
+    parts = shuffle_partitions or os.environ.get("VIGIL_SHUFFLE_PARTITIONS")
+    if parts:
+        b = b.config("spark.sql.shuffle.partitions", str(parts))
+    if (master or "").startswith("local"):
+        b = b.config("spark.driver.memory", os.environ.get("VIGIL_DRIVER_MEMORY", "16g"))
+    b = (b.config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
           .config("spark.ui.enabled", "false")
-          .config("spark.ui.showConsoleProgress", "false")
-          .config("spark.driver.memory", os.environ.get("VIGIL_DRIVER_MEMORY", "16g")))
+          .config("spark.ui.showConsoleProgress", "false"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -41,13 +45,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (tests, local runs) a fresh local folder is
-    created and registered.
+    as is; without it this raises there.  Only a ``local`` master (tests) gets
+    a fresh local folder.
     """
     sc = spark.sparkContext
     d = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="vigil-ckpt-")   # only when the cluster names none (tests)
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all nodes share")
+        d = tempfile.mkdtemp(prefix="vigil-ckpt-")   # one JVM: every task sees it
         try:
             spark.conf.set(CHECKPOINT_CONF, d)
         except Exception:  # noqa: BLE001 -- core conf not settable at runtime: the context keeps it
@@ -58,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once as parquet into the shared folder and read back (survives executor loss)."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vigil-cut/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

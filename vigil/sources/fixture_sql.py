@@ -132,7 +132,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'success' END AS status
         FROM orders"""),
     "orders_v1": ((), f"SELECT * FROM orders WHERE {md5u('o_orderkey')} < 0.95"),
-    "orders_v2": ((), f"SELECT * FROM orders WHERE {md5u('o_orderkey')} > 0.05"),
+    "orders_v2": ((), f"""
+        SELECT * EXCLUDE (u) REPLACE (CASE WHEN u > 0.5 AND u < 0.52 THEN NULL ELSE o_totalprice END AS o_totalprice,
+                          CASE WHEN u > 0.6 AND u < 0.61 THEN 'changed' ELSE o_orderpriority END AS o_orderpriority)
+        FROM (SELECT *, {md5u('o_orderkey')} AS u FROM orders) o WHERE u > 0.05"""),
     "y_reg": ((), """
         SELECT l.l_extendedprice AS y, l.l_quantity * p.p_retailprice AS yhat
         FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey"""),

@@ -176,7 +176,11 @@ def pipeline_runs(t: Tables) -> DataFrame:
 def orders_versions(t: Tables) -> tuple[DataFrame, DataFrame]:
     o = t.orders
     u = md5_uniform("o_orderkey")
-    return o.where(u < 0.95), o.where(u > 0.05)
+    # the second version also loses some prices and has some priorities changed
+    new = o.where(u > 0.05).withColumns({
+        "o_totalprice": F.when((u > 0.5) & (u < 0.52), F.lit(None)).otherwise(F.col("o_totalprice")),
+        "o_orderpriority": F.when((u > 0.6) & (u < 0.61), F.lit("changed")).otherwise(F.col("o_orderpriority"))})
+    return o.where(u < 0.95), new
 
 
 def y_reg(t: Tables) -> DataFrame:

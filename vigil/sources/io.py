@@ -81,10 +81,8 @@ def write_features(df: DataFrame, table: str, mode: str = "append") -> None:
     out = df.select(*cols)
     if parts:
         # Cluster rows by partition value so each task writes few partitions (no small-file
-        # explosion); range partitioning on (partition, first data column) still splits a hot
-        # partition value over several tasks.
-        data = [c for c in cols if c not in parts][:1]
-        out = out.repartitionByRange(*parts, *data)
+        # explosion); adaptive execution splits a hot partition value over several tasks.
+        out = out.hint("rebalance", *parts)
     out.write.mode(mode).insertInto(table, overwrite=(mode == "overwrite"))
 
 
@@ -115,13 +113,15 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, s
 
 
 def _canonical(df: DataFrame):
-    """Engine-neutral text of each column: floats as decimal(38,6), everything else as string."""
+    """Engine-neutral text of each column: floats as decimal(38,6), everything else as string; backslashes and
+    the separator are escaped."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (DoubleType, FloatType)):
             c = c.cast("decimal(38,6)")
-        out.append(F.coalesce(c.cast("string"), F.lit("\\N")))
+        text = F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        out.append(F.coalesce(text, F.lit("\\N")))
     return out
 
 

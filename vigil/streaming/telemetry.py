@@ -30,6 +30,9 @@ from vigil.functions.ranks import ordered_previous, ordered_running_sums
 
 EPOCH_NTZ = "1970-01-01 00:00:00"
 
+# Default watermark delay: the known lateness of the log, which is a day, the time between two deliveries.
+LATENESS = "1 day"
+
 # Latency histogram bucket bounds in ms (cumulative "le" buckets).
 LATENCY_BUCKETS = (5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0)
 
@@ -46,10 +49,11 @@ def instant_to_ntz(c: Column) -> Column:
 # --------------------------------------------------------------------------- staging (tests, replays)
 
 def stage_log_files(log: DataFrame, folder: str, ts: str = "ts", n_files: int = 6,
-                    sentinel: dict | None = None) -> list[str]:
-    """Write a log as ``n_files`` parquet files, one after another in event-time order (the
-    file source orders by modification time), plus an optional far-future sentinel row that
-    lets the watermark pass the last real windows.  Returns the written sub-folders."""
+                    sentinel: dict | None = None, files_per_slice: int | None = None) -> list[str]:
+    """Write a log as ``n_files`` time slices, one after another in event-time order (the file
+    source orders by modification time), each of as many files as Spark writes or of
+    ``files_per_slice``, plus an optional far-future sentinel row that lets the watermark pass
+    the last real windows.  Returns the written sub-folders."""
     bounds = log.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()  # two values
     lo, hi = bounds["lo"], bounds["hi"]
     span = (hi - lo) / n_files
@@ -62,6 +66,8 @@ def stage_log_files(log: DataFrame, folder: str, ts: str = "ts", n_files: int =
         part = log.where(F.col(ts) >= lit_ntz(a)) if i == n_files - 1 else \
             log.where((F.col(ts) >= lit_ntz(a)) & (F.col(ts) < lit_ntz(a + span)))
         p = f"{folder}/part-{i:04d}"
+        if files_per_slice:
+            part = part.repartition(files_per_slice)
         part.write.mode("error").parquet(p)
         paths.append(p)
     if sentinel is not None:
@@ -73,7 +79,10 @@ def stage_log_files(log: DataFrame, folder: str, ts: str = "ts", n_files: int =
     return paths
 
 
-def read_log_stream(spark: SparkSession, folder: str, schema, max_files: int | None = 1) -> DataFrame:
+def read_log_stream(spark: SparkSession, folder: str, schema, max_files: int | None = None) -> DataFrame:
+    """The log folder as a stream.  ``max_files`` per micro-batch only where a batch must be small: files of one
+    time slice that land in different batches are as late as the slice is long, and the watermark delay of the
+    query must cover that."""
     r = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
@@ -101,7 +110,7 @@ def ingest(log: DataFrame) -> DataFrame:
     return log
 
 
-def counters(log: DataFrame, watermark: str = "1 hour", length: str = "1 hour") -> DataFrame:
+def counters(log: DataFrame, watermark: str = LATENESS, length: str = "1 hour") -> DataFrame:
     """s02: predictions and errors per hour, model version and outcome."""
     x = with_event_time(log).withWatermark("event_time", watermark)
     outcome = F.when(F.col("is_error") == 1, F.lit("error")).otherwise(F.lit("ok"))
@@ -111,7 +120,7 @@ def counters(log: DataFrame, watermark: str = "1 hour", length: str = "1 hour")
                     "requests", "predictions")
 
 
-def latency_histogram(log: DataFrame, watermark: str = "1 hour", length: str = "1 hour",
+def latency_histogram(log: DataFrame, watermark: str = LATENESS, length: str = "1 hour",
                       buckets=LATENCY_BUCKETS) -> DataFrame:
     """s03: cumulative latency bucket counts, sum and count per hour and version."""
     x = with_event_time(log).withWatermark("event_time", watermark)
@@ -149,7 +158,7 @@ def rate_1h(series: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def avg_over_time(history: DataFrame, range_: str = "7 days", step: str = "1 day",
-                  watermark: str = "1 day") -> DataFrame:
+                  watermark: str = LATENESS) -> DataFrame:
     """s05: avg_over_time(x[7d]) evaluated at each day boundary: a sliding window aggregate
     (same plan in batch and streaming; partial aggregation per window)."""
     x = with_event_time(history)
@@ -161,7 +170,7 @@ def avg_over_time(history: DataFrame, range_: str = "7 days", step: str = "1 day
                     instant_to_ntz(F.col("w.end")).alias("window_end"), "avg_value", "n")
 
 
-def dedup_within_watermark(log: DataFrame, key: str = "event_id", watermark: str = "1 hour") -> DataFrame:
+def dedup_within_watermark(log: DataFrame, key: str = "event_id", watermark: str = LATENESS) -> DataFrame:
     """s08: redelivered log rows (task retries) dropped by key within the watermark delay."""
     return with_event_time(log).withWatermark("event_time", watermark) \
         .dropDuplicatesWithinWatermark([key]).drop("event_time")
