@@ -233,7 +233,9 @@ def label_encode(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     ranked = ordered_running_sums(levels.withColumn("_one", F.lit(1)), [], [F.col("freq").desc(), F.col(col)],
                                   ["_one"])
     levels = ranked.select(col, "freq", (F.col("cum__one") - 1).cast("double").alias(f"{col}_index"))
-    return df.join(levels.select(col, f"{col}_index"), col, "left"), levels
+    levels = cut_lineage(levels)
+    codes = levels.select(col, f"{col}_index")
+    return df.join(F.broadcast(codes) if codes.count() <= BROADCAST_ROWS else codes, col, "left"), levels
 
 
 def one_hot(df: DataFrame, col: str, levels: list[str]) -> DataFrame:
@@ -241,15 +243,6 @@ def one_hot(df: DataFrame, col: str, levels: list[str]) -> DataFrame:
     return df.withColumns({f"{col}_is_{lv}": (F.col(col) == F.lit(lv)).cast("int") for lv in levels})
 
 
-def index_and_encode_mllib(df: DataFrame, cols: list[str]) -> DataFrame:
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-    p = Pipeline(stages=[
-        StringIndexer(inputCols=cols, outputCols=[f"{c}_index" for c in cols], handleInvalid="keep"),
-        OneHotEncoder(inputCols=[f"{c}_index" for c in cols], outputCols=[f"{c}_vec" for c in cols])])
-    return p.fit(df).transform(df)
-
-
 def target_encode(df: DataFrame, col: str, target: str, smoothing: float = 0.0,
                   fold_col: str | None = None) -> DataFrame:
     """h14: (smoothed) target mean per level.  With ``fold_col`` each row is encoded from the
@@ -347,26 +340,9 @@ def _forward_fill_ranked(df: DataFrame, cols: list[str], entity: str, order: lis
     return ordered_last_non_null(df, [entity], [F.col(o) for o in order], cols)
 
 
-def forward_fill(df: DataFrame, cols: list[str], entity: str, order: list[str],
-                 slice_col: Column | None = None) -> DataFrame:
-    """h18: last non-NULL value of the entity so far.
-
-    By default over range slices of the order (``_forward_fill_ranked``): no task holds a whole
-    entity.  With ``slice_col`` (e.g. the month of the order date) the window runs per (entity, slice)
-    and the value carried in from earlier slices comes from a per-(entity, slice) table of
-    last non-NULL values (one row per entity and slice), so a huge entity is split by time."""
-    if slice_col is None:
-        return _forward_fill_ranked(df, cols, entity, order)
-    x = df.withColumn("_sl", slice_col)
-    w = Window.partitionBy(entity, "_sl").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    last_in = x.groupBy(entity, "_sl").agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_l_{c}") for c in cols])
-    wc = Window.partitionBy(entity).orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last_in.select(entity, "_sl", *[F.last(f"_l_{c}", ignorenulls=True).over(wc).alias(f"_c_{c}")
-                                            for c in cols])
-    y = x.join(carry, [entity, "_sl"], "left")
-    return y.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"_c_{c}")) for c in cols}) \
-        .drop("_sl", *[f"_c_{c}" for c in cols])
+def forward_fill(df: DataFrame, cols: list[str], entity: str, order: list[str]) -> DataFrame:
+    """h18: last non-NULL value of the entity so far, over range slices of the order: no task holds a whole entity."""
+    return _forward_fill_ranked(df, cols, entity, order)
 
 
 def correlated_drop_list(corr: DataFrame, limit: float = 0.95) -> DataFrame:

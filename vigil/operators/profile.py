@@ -127,10 +127,6 @@ def temporal_coverage(df: DataFrame, ts: str) -> DataFrame:
                      F.avg("count").alias("mean_per_day"))
 
 
-def daily_counts(df: DataFrame, ts: str) -> DataFrame:
-    return df.groupBy(F.to_date(ts).alias("day")).count()
-
-
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """f09: Pearson r for every ordered pair (pairwise-complete), one aggregate pass."""
     pairs = list(combinations(cols, 2))
@@ -174,12 +170,6 @@ def crosstab_pct(df: DataFrame, a: str, b: str) -> DataFrame:
     return j.select(a, b, "count", (F.col("count") / F.col("_row") * 100).alias("pct"))
 
 
-def crosstab_wide(df: DataFrame, a: str, b: str, levels: list) -> DataFrame:
-    """f13 wide form (pivot with explicit levels: no extra distinct job)."""
-    long = crosstab_pct(df, a, b)
-    return long.groupBy(a).pivot(b, levels).agg(F.first("pct"))
-
-
 def spearman(df: DataFrame, cols: list[str], row_id: str, buckets: int | None = None) -> DataFrame:
     """f15: Spearman rho = Pearson r of average ranks, ranks from distributed cumulative counts."""
     long = long_numeric(df, cols, [row_id]).where(F.col("value").isNotNull())

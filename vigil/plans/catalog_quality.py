@@ -263,6 +263,13 @@ def e13(t):
     return Q.representation(t.customer, "c_nationkey", pop)
 
 
+@query("e14_retention", oracle="""
+SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) AS o_orderdate FROM orders WHERE o_orderdate >= DATE '2001-08-02' - 730""")
+def e14_retention(t):
+    """Orders younger than the retention period of two years."""
+    return Q.retention(t.orders.select("o_orderkey", "o_orderdate"), "o_orderdate", "2001-08-02", 730)
+
+
 @query("e14_pii_protection", oracle=f"""
 SELECT doc_id, len(regexp_extract_all(text, '{Q.EMAIL_RE}'))::INTEGER AS n_emails,
        len(regexp_extract_all(text, '{Q.IPV4_RE}'))::INTEGER AS n_ips,

@@ -182,8 +182,3 @@ def promote_gold(silver: DataFrame, path: str) -> str:
                 F.countDistinct("customer_id").alias("n_customers")))
     kpi.write.mode("overwrite").partitionBy("year").parquet(path)
     return path
-
-
-def time_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, (TimestampType, TimestampNTZType, DateType))]
