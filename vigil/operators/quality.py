@@ -69,24 +69,26 @@ def missing_report(df: DataFrame, cols: list[str] | None = None, n_samples: int
     """
     cols = cols or df.columns
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    # one distinct (column, value) table, NULL kept as a value (map-side partial aggregation;
-    # a hot NULL group is one partial row per task) feeds the missing counts, the row count,
-    # the distinct counts and the samples: the rows are aggregated once
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "v")
+    # null counts first, one aggregate without a shuffle of values; only columns with NULLs are looked into
+    counts = df.agg(F.count("*").alias("_n"), *[count_true(F.col(f"`{c}`").isNull()).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+    holes = [(c, counts[f"_{i}"]) for i, c in enumerate(cols) if counts[f"_{i}"]]
+    shown = [F.struct(F.lit(c).alias("column"), F.lit(m).cast("long").alias("missing_count"),
+                      F.lit(float(m)).alias("_m"), F.lit(types[c]).alias("dtype")) for c, m in holes]
+    of = [c for c, _ in holes] or cols[:1]
+    long = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in of]).unpivot([], of, "column", "v").where("v is not null")
+    # distinct values with map-side partial aggregation feed the distinct counts and the samples
     distinct = long.groupBy("column", "v").agg(F.count("*").alias("_c"))
-    per = distinct.groupBy("column").agg(
-        F.sum("_c").alias("_n"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("_c"))), F.lit(0)).alias("miss"),
-        F.count("v").alias("unique_values"))
-    dtype = F.element_at(F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c]))]), F.col("column"))
-    rep = per.where(F.col("miss") > 0).select(
-        "column", F.col("miss").alias("missing_count"),
-        F.round(F.col("miss") / F.col("_n") * 100, 2).alias("missing_percent"), dtype.alias("dtype"), "unique_values")
+    per = distinct.groupBy("column").agg(F.count("v").alias("unique_values"))
+    rows = df.sparkSession.range(1).select(F.inline(F.array(*shown))) if shown else \
+        df.sparkSession.createDataFrame([], "column string, missing_count long, _m double, dtype string")
+    rep = rows.join(per, "column", "left").select(
+        "column", "missing_count", F.round(F.col("_m") / F.lit(float(counts["_n"] or 1)) * 100, 2).alias("missing_percent"), "dtype",
+        F.coalesce("unique_values", F.lit(0)).alias("unique_values"))
     # row_number() <= n per column: Spark applies that limit per partition before the shuffle
     # (WindowGroupLimit), so a column with billions of values ships only a handful of rows.
     from pyspark.sql import Window
     w = Window.partitionBy("column").orderBy("v")
-    first = distinct.where(F.col("v").isNotNull()).withColumn("_r", F.row_number().over(w)) \
-        .where(F.col("_r") <= n_samples)
+    first = distinct.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_samples)
     samples = first.groupBy("column").agg(
         F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("_r", "v"))), lambda x: x["v"]))
         .alias("sample_values"))  # at most n_samples entries per column
