@@ -132,9 +132,9 @@ def test_head_and_join_agree(spark):
 
 def chunks_by_hand(rows):
     """(id, chunk number) -> (n, m, hit) from counts over the other training documents."""
-    seqs = {i: lm_score.chunk_ids(lm_score._hashed((t or "").encode()))[1].tolist() for i, t in rows}
+    seqs = {i: [x.tolist() for x in lm_score.chunk_ids(lm_score._hashed((t or "").encode()))[1:]] for i, t in rows}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in seqs}
-    pairs = [(c, x, i, k + 1) for i, s in seqs.items() for k, (c, x) in enumerate(zip(s, s[1:]))]
+    pairs = [(c, x, i, k + 1) for i, (h, before) in seqs.items() for k, (c, x) in enumerate(zip(before[1:], h[1:]))]
     out = {}
     for c, x, i, k in pairs:
         m = Counter(y for d, y, j, q in pairs if d == c and not held[j] and (j, q) != (i, k))
