@@ -34,7 +34,7 @@ END_ID = 0
 #: Rows that one window task numbers within a length.
 UNIT_ROWS = 4000
 #: Words whose ids a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 200_000
 
 # Characters beside which a blank may not split (NUL marks the cuts), and pairs that say the same of plain white space.
 _ODD = re.compile("[\0\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
