@@ -68,33 +68,44 @@ def runs_of(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """(h, segment, doc, run) of all runs; ``run`` is the first window << 8 | windows - 1."""
+    """(h, segment, doc, run, again, deal) of all runs; ``run`` is the first window << 8 | windows - 1.
+
+    ``again``: an earlier run among the documents at hand has the same segment, so this one is a repeat whatever the
+    others hold.  Such rows are dealt out by document, and a frequent anchor sends a row per task instead of all."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 some = pdf.iloc[at:at + 500]
                 found = [runs_of(raw) for raw in some["raw"]]
                 h, segment, first, last = (np.concatenate([f[k] for f in found]) for k in range(4))
-                yield pd.DataFrame({"h": h.view(np.int64), "segment": segment.view(np.int64),
-                                    "doc": np.repeat(some["doc"].to_numpy(), [len(f[0]) for f in found]),
-                                    "run": first << 8 | (last - first)})
+                doc, place = np.repeat(some["doc"].to_numpy(), [len(f[0]) for f in found]), first << 8 | (last - first)
+                by = np.lexsort((place, doc, segment, h))
+                again = np.zeros(len(h), bool)
+                again[by[1:]] = (h[by[1:]] == h[by[:-1]]) & (segment[by[1:]] == segment[by[:-1]])
+                deal = np.where(again, mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)), h)
+                yield pd.DataFrame({"h": h.view(np.int64), "segment": segment.view(np.int64), "doc": doc, "run": place,
+                                    "again": again, "deal": deal.view(np.int64)})
 
-    return docs.select("doc", "raw").mapInPandas(run, "h long, segment long, doc long, run long")
+    return docs.select("doc", "raw").mapInPandas(run, "h long, segment long, doc long, run long, again boolean, deal long")
 
 
 def _compare_runs(anchors: DataFrame) -> DataFrame:
     """(h, doc, run, open) of the runs of repeated anchors: open is false where the segment occurred before, and true
     for the first occurrence of a segment whose anchor has others.
 
-    Anchors come sorted by (h, doc, run).  Of a group only its different
-    segments are held from one batch to the next.
+    Anchors come sorted by (h, doc, run), after those that are known to be
+    repeats.  Of a group only its different segments are held from one batch to
+    the next.
     """
     columns = ["h", "doc", "run", "segment"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None          # first occurrences of the last group's segments
         for pdf in batches:
-            fresh = pdf[columns]
+            sure = pdf["again"].to_numpy()
+            if sure.any():
+                yield pdf[sure].assign(open=False)[["h", "doc", "run", "open"]]
+            fresh = pdf.loc[~sure, columns]
             rows = fresh if held is None else pd.concat([held, fresh], ignore_index=True)
             if not len(rows):
                 continue
@@ -117,7 +128,8 @@ def _compare_runs(anchors: DataFrame) -> DataFrame:
         same = np.concatenate([[False], h[1:] == h[:-1], [False]])[:len(h) + 1]
         return firsts[same[1:] | same[:-1]].assign(open=True)[["h", "doc", "run", "open"]]
 
-    return anchors.repartition("h").sortWithinPartitions("h", "doc", "run").mapInPandas(run, "h long, doc long, run long, open boolean")
+    dealt = anchors.repartition("deal").sortWithinPartitions(F.desc("again"), "h", "doc", "run")
+    return dealt.mapInPandas(run, "h long, doc long, run long, open boolean")
 
 
 def repeated_windows(raws: list[bytes], groups: np.ndarray, seen: np.ndarray | None = None, length: int = LENGTH) -> tuple[list[np.ndarray], np.ndarray]:
