@@ -1,10 +1,12 @@
 """Corpus operators where one group holds most rows: no task gets the whole group, results as by hand."""
 
 from collections import Counter, defaultdict
+from hashlib import sha256
 
 from pyspark.sql import functions as F
 
-from vigil.llm import lm_score
+from tests.llm.helpers import frame, prose
+from vigil.llm import lm_score, suffix_dedup
 
 #: Small tables count as skewed and none is broadcast.
 SPLIT = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
@@ -38,3 +40,34 @@ def test_rows_of_a_frequent_context_stay_spread(spark, monkeypatch):
             spark.conf.unset(key)
     assert {r["unit"]: (r["n"], r["m"], r["hit"]) for r in out} == want
     assert len({r["task"] for r in out if r["n"] > 3000}) > 1
+
+
+def repeats_in_order(rows):
+    """(id, n_removed, sha256 of what stays) per row; equal rows are one document, texts of one id come by SHA-256."""
+    def order(row):
+        return -2 ** 63 if row[0] is None else row[0], sha256((row[1] or "").encode()).hexdigest()
+
+    seen, out = set(), {}
+    for row in sorted(set(rows), key=order):
+        b = (row[1] or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 99):
+            if b[s:s + 100] in seen:
+                gone[s:s + 100] = b"\1" * 100
+            seen.add(b[s:s + 100])
+        out[row] = (row[0], sum(gone), sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
+    return sorted((out[r] for r in rows), key=str)
+
+
+def drop_repeats(spark, rows):
+    out = suffix_dedup.drop_repeats(frame(spark, rows)).collect()
+    return sorted(((r["id"], r["n_removed"], r["kept_sha256"]) for r in out), key=str)
+
+
+def test_texts_that_share_an_id_keep_their_own_bytes(spark):
+    """Two NULL ids, one id with two texts, and a row that is there twice and nowhere else."""
+    shared = prose(80, 50)
+    rows = [(None, prose(81, 40) + " " + shared), (None, shared + " " + prose(82, 60)), (None, prose(83, 70)),
+            (3, prose(84, 9) + shared + prose(85, 50)), (3, prose(86, 80) + shared), (3, shared + "|" + shared),
+            (4, prose(87, 60)), (4, prose(87, 60)), (5, prose(87, 60)[:200])]
+    assert drop_repeats(spark, rows) == repeats_in_order(rows)

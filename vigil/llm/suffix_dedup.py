@@ -68,68 +68,67 @@ def runs_of(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """(h, segment, doc, run, again, deal) of all runs; ``run`` is the first window << 8 | windows - 1.
+    """(h, segment, doc, key, run, again, deal) of all runs; ``run`` is the first window << 8 | windows - 1.
 
     ``again``: an earlier run among the documents at hand has the same segment, so this one is a repeat whatever the
-    others hold.  Such rows are dealt out by document, and a frequent anchor sends a row per task instead of all."""
+    others hold.  Such rows are dealt out by document, and a frequent anchor sends a row per task instead of all.
+    A repeated row's runs are the same runs, not repeats."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 some = pdf.iloc[at:at + 500]
                 found = [runs_of(raw) for raw in some["raw"]]
                 h, segment, first, last = (np.concatenate([f[k] for f in found]) for k in range(4))
-                doc, place = np.repeat(some["doc"].to_numpy(), [len(f[0]) for f in found]), first << 8 | (last - first)
-                by = np.lexsort((place, doc, segment, h))
-                again = np.zeros(len(h), bool)
-                again[by[1:]] = (h[by[1:]] == h[by[:-1]]) & (segment[by[1:]] == segment[by[:-1]])
+                sizes = [len(f[0]) for f in found]
+                doc, key, place = np.repeat(some["doc"].to_numpy(), sizes), np.repeat(some["key"].to_numpy(), sizes), first << 8 | (last - first)
+                by = np.lexsort((place, key, doc, segment, h))
+                h, segment, doc, key, place = (x[by] for x in (h, segment, doc, key, place))
+                again = np.concatenate([[False], (h[1:] == h[:-1]) & (segment[1:] == segment[:-1])])[:len(h)]
+                new = ~again
+                new[1:] |= (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1])
                 deal = np.where(again, mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)), h)
-                yield pd.DataFrame({"h": h.view(np.int64), "segment": segment.view(np.int64), "doc": doc, "run": place,
-                                    "again": again, "deal": deal.view(np.int64)})
+                yield pd.DataFrame({"h": h.view(np.int64), "segment": segment.view(np.int64), "doc": doc, "key": key, "run": place,
+                                    "again": again, "deal": deal.view(np.int64)})[new]
 
-    return docs.select("doc", "raw").mapInPandas(run, "h long, segment long, doc long, run long, again boolean, deal long")
+    return docs.select("doc", "key", "raw").mapInPandas(run, "h long, segment long, doc long, key long, run long, again boolean, deal long")
 
 
 def _compare_runs(anchors: DataFrame) -> DataFrame:
-    """(h, doc, run, open) of the runs of repeated anchors: open is false where the segment occurred before, and true
-    for the first occurrence of a segment whose anchor has others.
+    """(h, doc, key, run, open) of the runs of repeated anchors: open is false where the segment occurred before, and
+    true for the first occurrence of a segment whose anchor has others.
 
-    Anchors come sorted by (h, doc, run), after those that are known to be
-    repeats.  Of a group only its different segments are held from one batch to
-    the next.
+    Anchors come sorted by (h, segment, doc, key, run), after those that are
+    known to be repeats.  Only the first occurrence of the last segment is held
+    from one batch to the next.
     """
-    columns = ["h", "doc", "run", "segment"]
+    columns = ["h", "segment", "doc", "key", "run"]
+    out = ["h", "doc", "key", "run", "open"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None          # first occurrences of the last group's segments
+        held, given = None, False          # the last segment's first occurrence, and whether it was given out
         for pdf in batches:
             sure = pdf["again"].to_numpy()
             if sure.any():
-                yield pdf[sure].assign(open=False)[["h", "doc", "run", "open"]]
+                yield pdf[sure].assign(open=False)[out]
             fresh = pdf.loc[~sure, columns]
-            rows = fresh if held is None else pd.concat([held, fresh], ignore_index=True)
-            if not len(rows):
+            if not len(fresh):
                 continue
-            known = 0 if held is None else len(held)
-            h, segment = rows["h"].to_numpy(), rows["segment"].to_numpy()
-            by = np.lexsort((np.arange(len(h)), segment, h))
-            first = np.empty(len(h), bool)
-            first[by] = np.concatenate([[True], (h[by][1:] != h[by][:-1]) | (segment[by][1:] != segment[by][:-1])])
-            again = rows[~first & (np.arange(len(h)) >= known)]
-            yield again.assign(open=False)[["h", "doc", "run", "open"]]
-            firsts = rows[first]
-            tail = firsts["h"].to_numpy() == h[-1]
-            yield _several(firsts[~tail])
-            held = firsts[tail]
-        if held is not None:
-            yield _several(held)
-
-    def _several(firsts: pd.DataFrame) -> pd.DataFrame:
-        h = firsts["h"].to_numpy()
-        same = np.concatenate([[False], h[1:] == h[:-1], [False]])[:len(h) + 1]
-        return firsts[same[1:] | same[:-1]].assign(open=True)[["h", "doc", "run", "open"]]
-
-    dealt = anchors.repartition("deal").sortWithinPartitions(F.desc("again"), "h", "doc", "run")
-    return dealt.mapInPandas(run, "h long, doc long, run long, open boolean")
+            rows = fresh if held is None else pd.concat([held, fresh], ignore_index=True)
+            h, segment, doc, key, place = (rows[c].to_numpy() for c in columns)
+            first = np.concatenate([[True], (h[1:] != h[:-1]) | (segment[1:] != segment[:-1])])
+            heads = np.flatnonzero(first)
+            of = heads[np.cumsum(first) - 1]
+            yield rows[(doc != doc[of]) | (key != key[of]) | (place != place[of])].assign(open=False)[out]
+            same = h[heads][1:] == h[heads][:-1]
+            several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            before = given
+            given = bool(several[-1]) or (given and len(heads) == 1)
+            several[0] &= not before
+            yield rows.iloc[heads[several]].assign(open=True)[out]
+            held = rows.iloc[heads[-1:]]
+
+    dealt = anchors.repartition("deal").sortWithinPartitions(F.desc("again"), "h", "segment", "doc", "key", "run")
+    return dealt.mapInPandas(run, "h long, doc long, key long, run long, open boolean")
 
 
 def repeated_windows(raws: list[bytes], groups: np.ndarray, seen: np.ndarray | None = None, length: int = LENGTH) -> tuple[list[np.ndarray], np.ndarray]:
@@ -181,43 +180,43 @@ def _search(seen: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 
 def _compare_bytes(segments: DataFrame) -> DataFrame:
-    """(doc, lo, hi): first and last of consecutive windows that occurred before, from (h, doc, run, raw)."""
+    """(doc, key, lo, hi): first and last of consecutive windows that occurred before, from (h, doc, key, run, raw)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, size, seen = [], 0, (None, None)
 
         def shard(more) -> pd.DataFrame:
             nonlocal rows, size, seen
             groups = np.array([r[0] for r in rows])
-            before, last = repeated_windows([r[3] for r in rows], groups, seen[1] if seen[0] == groups[0] else None)
+            before, last = repeated_windows([r[4] for r in rows], groups, seen[1] if seen[0] == groups[0] else None)
             seen = (groups[-1], last) if more == groups[-1] else (None, None)
             out = []
-            for (_, doc, first, _), again in zip(rows, before):
+            for (_, doc, key, first, _), again in zip(rows, before):
                 edge = np.flatnonzero(np.diff(again, prepend=False, append=False))
-                out += [(doc, (first >> 8) + int(a), (first >> 8) + int(b) - 1) for a, b in zip(edge[0::2], edge[1::2])]
+                out += [(doc, key, (first >> 8) + int(a), (first >> 8) + int(b) - 1) for a, b in zip(edge[0::2], edge[1::2])]
             rows, size = [], 0
-            return pd.DataFrame(out, columns=["doc", "lo", "hi"])
+            return pd.DataFrame(out, columns=["doc", "key", "lo", "hi"])
 
         for pdf in batches:
-            for row in zip(pdf["h"].tolist(), pdf["doc"].tolist(), pdf["run"].tolist(), pdf["raw"]):
+            for row in zip(pdf["h"].tolist(), pdf["doc"].tolist(), pdf["key"].tolist(), pdf["run"].tolist(), pdf["raw"]):
                 if size >= SHARD_BYTES:
                     yield shard(row[0])
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if rows:
             yield shard(None)
 
-    return segments.repartition("h").sortWithinPartitions("h", "doc", "run").mapInPandas(run, "doc long, lo long, hi long")
+    return segments.repartition("h").sortWithinPartitions("h", "doc", "key", "run").mapInPandas(run, "doc long, key long, lo long, hi long")
 
 
-def _cut(needed: DataFrame, kind: str) -> DataFrame:
-    """The bytes of every wanted run: (h, doc, run, raw) from (doc, raw, runs)."""
+def _cut(needed: DataFrame) -> DataFrame:
+    """The bytes of every wanted run: (h, doc, key, run, raw) from (doc, key, raw, runs)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(r["h"], doc, r["run"], raw[r["run"] >> 8:(r["run"] >> 8) + (r["run"] & 255) + LENGTH])
-                   for doc, raw, runs in zip(pdf["doc"], pdf["raw"], pdf["runs"]) for r in runs]
-            yield pd.DataFrame(out, columns=["h", "doc", "run", "raw"])
+            out = [(r["h"], doc, key, r["run"], raw[r["run"] >> 8:(r["run"] >> 8) + (r["run"] & 255) + LENGTH])
+                   for doc, key, raw, runs in zip(pdf["doc"], pdf["key"], pdf["raw"], pdf["runs"]) for r in runs]
+            yield pd.DataFrame(out, columns=["h", "doc", "key", "run", "raw"])
 
-    return needed.mapInPandas(run, "h long, doc long, run long, raw binary")
+    return needed.mapInPandas(run, "h long, doc long, key long, run long, raw binary")
 
 
 def removed_spans(windows: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -237,12 +236,13 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A byte goes when a 100-byte string over it also starts earlier: in a
     document with a smaller id, or earlier in the same one.  Ids are whole
     numbers, a NULL id comes first; NULL texts are empty; texts under 100 bytes
-    lose nothing.  Rows that repeat an id and a text share one result; rows
-    that repeat an id with other texts are one document each, compared by id
-    only.  ``spans`` are the removed byte ranges [from, to).
+    lose nothing.  Rows that repeat an id and a text are one document; rows
+    that repeat an id with other texts are one document each, and of these the
+    one with the smaller SHA-256 (its upper 60 bits) is the earlier.  ``spans`` are the removed byte ranges [from, to).
     """
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), text_of(text_col).alias("text")) \
-        .withColumns({"sha": F.sha2("text", 256), "raw": F.encode("text", "UTF-8")}).drop("text")
+        .withColumns({"sha": F.sha2("text", 256), "raw": F.encode("text", "UTF-8")}).drop("text") \
+        .withColumn("key", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))       # tells the texts of one id apart
     digests = saved(own.select("doc", "sha", F.octet_length("raw").cast("long").alias("n_bytes")), "digests")
     n = digests.count()
     # Copies of a hot text lose everything; the number of hot texts is bounded.
@@ -250,14 +250,14 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 .filter((F.col("rows") > 1) & (F.col("rows") * HOT_PARTS > n)).select("sha", "first_doc"), "hot-texts")
     cold = own.join(F.broadcast(hot), "sha", "left").filter(F.coalesce(F.col("doc") == F.col("first_doc"), F.lit(True)))
     runs = saved(_compare_runs(_anchors(cold)), "runs")
-    per_doc = runs.groupBy("doc").agg(F.collect_list(F.when(F.col("open"), F.struct("h", "run"))).alias("runs"))   # a run per byte at most
-    needed = saved(cold.select("doc", "raw").join(per_doc, "doc"), "repeating-texts")
-    # Equal (doc, run) of a repeated row are one segment.
-    segments = _cut(needed, "long").dropDuplicates(["h", "doc", "run", "raw"])
+    per_doc = runs.groupBy("doc", "key").agg(F.collect_list(F.when(F.col("open"), F.struct("h", "run"))).alias("runs"))   # a run per byte at most
+    needed = saved(cold.select("doc", "key", "raw").join(per_doc, ["doc", "key"]), "repeating-texts")
+    # Equal (doc, key, run) of a repeated row are one segment.
+    segments = _cut(needed).dropDuplicates(["h", "doc", "key", "run"])
     windows = saved(_compare_bytes(segments), "byte-repeats") \
-        .unionByName(runs.filter("not open").select("doc", F.shiftright("run", 8).alias("lo"),
+        .unionByName(runs.filter("not open").select("doc", "key", F.shiftright("run", 8).alias("lo"),
                                                     (F.shiftright("run", 8) + F.col("run").bitwiseAND(255)).alias("hi")))
-    spans_of = windows.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))
+    spans_of = windows.groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -274,7 +274,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame(out, columns=["doc", "sha", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     spans_type = "array<struct<from: long, to: long>>"
-    changed = needed.select("doc", "raw").join(spans_of, "doc").mapInPandas(
+    changed = needed.select("doc", "key", "raw").join(spans_of, ["doc", "key"]).mapInPandas(
         cut, f"doc long, sha string, n_removed long, n_spans long, kept_sha256 string, spans {spans_type}")
     changed = changed.dropDuplicates(["doc", "sha"])
     rows = digests.join(F.broadcast(hot), "sha", "left").join(changed, ["doc", "sha"], "left")
