@@ -1,6 +1,7 @@
 """Corpus operators where one group holds most rows: no task gets the whole group, results as by hand."""
 
 from collections import Counter, defaultdict
+from contextlib import contextmanager
 from hashlib import sha256
 
 from pyspark.sql import functions as F
@@ -15,6 +16,17 @@ SPLIT = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoB
 CHUNKS = "context long, chunk long, unit long, i int, held boolean, coded double"
 
 
+@contextmanager
+def split(spark):
+    for key, value in SPLIT.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key in SPLIT:
+            spark.conf.unset(key)
+
+
 def test_rows_of_a_frequent_context_stay_spread(spark, monkeypatch):
     """Most chunks follow one context; ties, held-out rows and contexts of one row are among them."""
     rows = [(7 if k % 10 else k, (k * k) % 13 if k % 3 else 5, k, k % 4, k % 7 == 2, -1.0) for k in range(4000)]
@@ -31,13 +43,8 @@ def test_rows_of_a_frequent_context_stay_spread(spark, monkeypatch):
             most = max(by[context].items(), key=lambda x: (x[1], x[0]))[0]
             want[unit] = (sum(others.values()), m, chunk == most and others[chunk] == m)
     monkeypatch.setattr(lm_score, "saved", lambda df, name, saved=lm_score.saved: saved(df.repartition(4), name))
-    for key, value in SPLIT.items():
-        spark.conf.set(key, value)
-    try:
+    with split(spark):
         out = lm_score.compare_chunks(spark.createDataFrame(rows, CHUNKS).repartition(4)).withColumn("task", F.spark_partition_id()).collect()
-    finally:
-        for key in SPLIT:
-            spark.conf.unset(key)
     assert {r["unit"]: (r["n"], r["m"], r["hit"]) for r in out} == want
     assert len({r["task"] for r in out if r["n"] > 3000}) > 1
 
@@ -71,3 +78,33 @@ def test_texts_that_share_an_id_keep_their_own_bytes(spark):
             (3, prose(84, 9) + shared + prose(85, 50)), (3, prose(86, 80) + shared), (3, shared + "|" + shared),
             (4, prose(87, 60)), (4, prose(87, 60)), (5, prose(87, 60)[:200])]
     assert drop_repeats(spark, rows) == repeats_in_order(rows)
+
+
+def lines_in_other_texts():
+    """A line that each document has in words of its own; every fifth has more than the line in common."""
+    line = "this line of sixty bytes is in every document of the table "
+    return [(k, prose(100 + k, 25) + " " + line * (1 + k % 2) + (prose(99, 30) if k % 5 == 0 else prose(300 + k, 25))) for k in range(150)]
+
+
+def test_a_frequent_line_in_different_texts(spark, monkeypatch):
+    """Windows of an anchor with many segments are compared over all tasks."""
+    rows = lines_in_other_texts()
+    want = repeats_in_order(rows)
+    for name, value in (("MOST_SEGMENTS", 3), ("SAMPLE", 1), ("HOT_PARTS", 100)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+        assert drop_repeats(spark, rows) == want
+
+
+def test_runs_of_a_frequent_line_stay_spread(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+    docs = spark.createDataFrame([(k, 0, t.encode()) for k, t in lines_in_other_texts()], "doc long, key long, raw binary")
+    frequent = suffix_dedup.frequent_anchors(docs)
+    tasks = {}
+    for name, found in (("spread", frequent), ("one", frequent[:0])):
+        runs = suffix_dedup._compare_runs(suffix_dedup._anchors(docs.repartition(4), found), found).filter("open")
+        runs = runs.withColumn("task", F.spark_partition_id())
+        with split(spark):
+            by = runs.groupBy("h").agg(F.count("*").alias("n"), F.countDistinct("task").alias("tasks")).orderBy(F.desc("n")).first()
+        tasks[name] = by["n"], by["tasks"]
+    assert tasks["one"][0] >= 100 and tasks["one"][1] == 1
+    assert tasks["spread"][0] >= 100 and tasks["spread"][1] > 4

@@ -9,12 +9,14 @@ occurrences of different segments of one anchor are fetched and compared byte
 by byte: shards of them get a suffix array (Larsson-Sadakane) with common
 prefixes (Kasai), neighbours that share 100 bytes are one string, and a group
 that spans shards is merged by binary search in the strings of its earlier ones.
+Anchors with more than MOST_SEGMENTS different segments are compared window by
+window instead: the windows meet by a 128-bit digest, so no task holds them all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,10 @@ ANCHOR = 24
 SHARD_BYTES = 1 << 20
 #: Groups of equal texts with more than 1 / HOT_PARTS of all rows are set aside first; there are at most HOT_PARTS.
 HOT_PARTS = 10_000
+#: Different segments of one anchor that one task compares.
+MOST_SEGMENTS = 4096
+#: One document in so many is looked at to find the frequent anchors, whose runs are dealt out by segment.
+SAMPLE = 64
 _POSITION = 26      # bits of a position within a window's key
 _NO_ID = -2 ** 63
 
@@ -67,12 +73,26 @@ def runs_of(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.
     return grams[place], segment, first, last
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
+def frequent_anchors(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of the anchors with more than 1 / HOT_PARTS of the different runs of a sample, HOT_PARTS at most.
+
+    They only decide where runs are compared, not with which result."""
+    sample = docs.filter(F.pmod(F.xxhash64("doc", "key"), F.lit(SAMPLE)) == 0)
+    counts = saved(_anchors(sample, np.empty(0, np.uint64)).filter("not again").groupBy("h").agg(F.count("*").alias("n"))
+                   .filter("n > 1"), "sampled-anchors")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.filter((F.col("n") > 8) & (F.col("n") * HOT_PARTS > total)).select("h").toPandas()["h"]
+    return np.sort(found.to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _anchors(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(h, segment, doc, key, run, again, deal) of all runs; ``run`` is the first window << 8 | windows - 1.
 
     ``again``: an earlier run among the documents at hand has the same segment, so this one is a repeat whatever the
     others hold.  Such rows are dealt out by document, and a frequent anchor sends a row per task instead of all.
-    A repeated row's runs are the same runs, not repeats."""
+    Runs of a ``frequent`` anchor are dealt out by segment.  A repeated row's runs are the same runs, not repeats."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 500):
@@ -86,16 +106,17 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 again = np.concatenate([[False], (h[1:] == h[:-1]) & (segment[1:] == segment[:-1])])[:len(h)]
                 new = ~again
                 new[1:] |= (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1])
-                deal = np.where(again, mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)), h)
+                deal = np.where(again, mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)),
+                                np.where(np.isin(h, shared.value), mix64(h + segment), h))
                 yield pd.DataFrame({"h": h.view(np.int64), "segment": segment.view(np.int64), "doc": doc, "key": key, "run": place,
                                     "again": again, "deal": deal.view(np.int64)})[new]
 
     return docs.select("doc", "key", "raw").mapInPandas(run, "h long, segment long, doc long, key long, run long, again boolean, deal long")
 
 
-def _compare_runs(anchors: DataFrame) -> DataFrame:
+def _compare_runs(anchors: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(h, doc, key, run, open) of the runs of repeated anchors: open is false where the segment occurred before, and
-    true for the first occurrence of a segment whose anchor has others.
+    true for the first occurrence of a segment whose anchor has others or is ``frequent``.
 
     Anchors come sorted by (h, segment, doc, key, run), after those that are
     known to be repeats.  Only the first occurrence of the last segment is held
@@ -103,6 +124,7 @@ def _compare_runs(anchors: DataFrame) -> DataFrame:
     """
     columns = ["h", "segment", "doc", "key", "run"]
     out = ["h", "doc", "key", "run", "open"]
+    shared = anchors.sparkSession.sparkContext.broadcast(frequent.view(np.int64))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, given = None, False          # the last segment's first occurrence, and whether it was given out
@@ -120,7 +142,7 @@ def _compare_runs(anchors: DataFrame) -> DataFrame:
             of = heads[np.cumsum(first) - 1]
             yield rows[(doc != doc[of]) | (key != key[of]) | (place != place[of])].assign(open=False)[out]
             same = h[heads][1:] == h[heads][:-1]
-            several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | np.isin(h[heads], shared.value)
             before = given
             given = bool(several[-1]) or (given and len(heads) == 1)
             several[0] &= not before
@@ -219,6 +241,26 @@ def _cut(needed: DataFrame) -> DataFrame:
     return needed.mapInPandas(run, "h long, doc long, key long, run long, raw binary")
 
 
+def _compare_windows(needed: DataFrame) -> DataFrame:
+    """(doc, key, lo, hi): the windows of the ``wide`` runs of (doc, key, raw, wide) that occurred before, each by itself.
+
+    The first place of a window is a partial aggregate, which a plain join brings back to the others."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 500):
+                some = pdf.iloc[at:at + 500]
+                out = [(blake2b(raw[k:k + LENGTH], digest_size=16).digest(), doc, key, k)
+                       for doc, key, raw, runs in zip(some["doc"], some["key"], some["raw"], some["wide"]) for r in runs
+                       for k in range(r["run"] >> 8, (r["run"] >> 8) + (r["run"] & 255) + 1)]
+                yield pd.DataFrame(out, columns=["window", "doc", "key", "at"])
+
+    wide = needed.filter(F.size("wide") > 0).select("doc", "key", "raw", "wide")
+    windows = saved(wide.mapInPandas(run, "window binary, doc long, key long, at long"), "windows")
+    place = F.struct("doc", "key", "at")
+    first = saved(windows.groupBy("window").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "first-windows")
+    return windows.join(first, "window").filter(place != F.col("first")).select("doc", "key", F.col("at").alias("lo"), F.col("at").alias("hi"))
+
+
 def removed_spans(windows: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal spans [from, to) of bytes under the windows (first, last)."""
     spans: list[list[int]] = []
@@ -249,12 +291,17 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = saved(digests.filter(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min("doc").alias("first_doc"), F.count("*").alias("rows"))
                 .filter((F.col("rows") > 1) & (F.col("rows") * HOT_PARTS > n)).select("sha", "first_doc"), "hot-texts")
     cold = own.join(F.broadcast(hot), "sha", "left").filter(F.coalesce(F.col("doc") == F.col("first_doc"), F.lit(True)))
-    runs = saved(_compare_runs(_anchors(cold)), "runs")
-    per_doc = runs.groupBy("doc", "key").agg(F.collect_list(F.when(F.col("open"), F.struct("h", "run"))).alias("runs"))   # a run per byte at most
+    frequent = frequent_anchors(cold)
+    runs = saved(_compare_runs(_anchors(cold, frequent), frequent), "runs")
+    wide = saved(runs.filter("open").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > MOST_SEGMENTS).select("h", F.lit(True).alias("wide")), "wide")
+    marked = runs.filter("open").join(wide, "h", "left").select("doc", "key", "h", "run", F.coalesce("wide", F.lit(False)).alias("wide")) \
+        .unionByName(runs.filter("not open").select("doc", "key", "h", "run", F.lit(None).cast("boolean").alias("wide")))
+    per_doc = marked.groupBy("doc", "key").agg(*[F.collect_list(F.when(c, F.struct("h", "run"))).alias(name)                 # a run per byte at most
+                                                 for name, c in (("runs", ~F.col("wide")), ("wide", F.col("wide")))])
     needed = saved(cold.select("doc", "key", "raw").join(per_doc, ["doc", "key"]), "repeating-texts")
     # Equal (doc, key, run) of a repeated row are one segment.
-    segments = _cut(needed).dropDuplicates(["h", "doc", "key", "run"])
-    windows = saved(_compare_bytes(segments), "byte-repeats") \
+    segments = _cut(needed.select("doc", "key", "raw", "runs")).dropDuplicates(["h", "doc", "key", "run"])
+    windows = saved(_compare_bytes(segments).unionByName(_compare_windows(needed)), "byte-repeats") \
         .unionByName(runs.filter("not open").select("doc", "key", F.shiftright("run", 8).alias("lo"),
                                                     (F.shiftright("run", 8) + F.col("run").bitwiseAND(255)).alias("hi")))
     spans_of = windows.groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))
