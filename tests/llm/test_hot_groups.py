@@ -7,7 +7,7 @@ from hashlib import sha256
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import frame, prose
-from vigil.llm import lm_score, suffix_dedup
+from vigil.llm import lm_score, near_dedup, suffix_dedup
 
 #: Small tables count as skewed and none is broadcast.
 SPLIT = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
@@ -108,3 +108,15 @@ def test_runs_of_a_frequent_line_stay_spread(spark, monkeypatch):
         tasks[name] = by["n"], by["tasks"]
     assert tasks["one"][0] >= 100 and tasks["one"][1] == 1
     assert tasks["spread"][0] >= 100 and tasks["spread"][1] > 4
+
+
+def test_rows_without_an_id_and_ids_with_two_texts_have_classes(spark):
+    a, b, c, d = (prose(k, 120) for k in (400, 401, 402, 403))
+    big = 2 ** 60 + 1
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, a + " end"), (None, c), (None, c + " more"), (big, d), (big, d), (5, None)]
+    out = near_dedup.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(((r["id"], r["class_id"]) for r in out), key=str) == sorted(
+        [(1, 1), (1, 1), (2, 1), (3, 1), (None, 1), (None, None), (None, None), (big, big), (big, big), (5, 5)], key=str)
+    kept = [(r["doc_id"], r["text"]) for r in near_dedup.drop_near_copies(frame(spark, rows)).collect()]
+    assert len(kept) == 5 and set(kept) >= {(1, a), (1, b), (big, d), (5, None)}
+    assert [t for i, t in kept if i is None][0] in (c, c + " more")

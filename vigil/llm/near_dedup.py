@@ -55,8 +55,8 @@ def _similar(a, b, size_a: int, size_b: int, least: float) -> bool:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, copy_of, n, bands) per row: a 128-bit key of the word sequence, the number of shingles, the signature
-    packed four entries to a band."""
+    """(id, t, copy_of, n, bands) per row: 128-bit keys of the text and of its word sequence, the number of shingles, the
+    signature packed four entries to a band.  Ids travel as text, as pandas makes whole numbers beside NULLs floats."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,11 +67,16 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 bags = [np.unique(shingle_words(r, WIDTH), return_counts=True) for r in raw]
                 sizes = np.array([len(k) for k, _ in bags])
                 sig = signatures(np.concatenate([k for k, _ in bags]), np.concatenate([n for _, n in bags]), sizes, BANDS * ROWS)
-                yield pd.DataFrame({"id": pdf["id"], "copy_of": [blake2b(b" ".join(r.split()), digest_size=16).digest() for r in raw],
+                yield pd.DataFrame({"id": pdf["id"], "t": pdf["t"], "copy_of": [blake2b(b" ".join(r.split()), digest_size=16).digest() for r in raw],
                                     "n": [int(n.sum()) for _, n in bags], "bands": list(np.ascontiguousarray(sig).view("<i8"))})
 
-    return (docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-            .mapInPandas(run, f"id {kind}, copy_of binary, n long, bands array<bigint>"))
+    return (docs.select(F.col(id_col).cast("string").alias("id"), _text_key(text_col).alias("t"), text_of(text_col).alias("text"))
+            .mapInPandas(run, "id string, t binary, copy_of binary, n long, bands array<bigint>")
+            .withColumn("id", F.col("id").cast(kind)))
+
+
+def _text_key(text_col: str):
+    return F.unhex(F.md5(F.encode(text_of(text_col), "UTF-8")))
 
 
 def _links(rows: DataFrame, keys: list[str], kind: str, least: float) -> DataFrame:
@@ -129,25 +134,32 @@ def _links(rows: DataFrame, keys: list[str], kind: str, least: float) -> DataFra
     return spread.mapInPandas(run, f"u {kind}, v {kind}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One row per input row: (id, class_id, kept, n_shingles); ``class_id`` is the smallest id of the class and stays.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY,
+                    text_key: bool = False) -> DataFrame:
+    """One row per input row: (id, class_id, kept, n_shingles); ``class_id`` is the smallest id of the class, and its
+    row stays.
 
     Words are runs without ASCII white space; a text of fewer than five words
     is one shingle, and texts with equal words are always one class, empty and
-    NULL texts among them.  Rows that repeat an id share its class if their
-    texts are near; NULL ids are set aside before (they are dropped here).  The
-    banding misses a pair at exactly 0.8 once in 40,000, closer pairs less.
+    NULL texts among them.  Texts are told apart by their words, not by their
+    id: rows that repeat an id share a class if their texts are near.  Of several
+    rows with the class's id the text with the smallest MD5 stays (rows that
+    repeat an id and a text are one document).  A NULL id comes after all
+    others, and is the class's where it has no other.  ``text_key`` adds the text's MD5 as ``t``.  The banding misses a pair at exactly 0.8 once in 40,000, closer pairs less.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.filter(F.col(id_col).isNotNull())
     rows = saved(signed(docs, id_col, text_col), "signed")
-    nodes = saved(rows.groupBy("copy_of").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "t"))
+    # From here on a node's ``id`` is the key of its words; ``first`` is the row that stands for it.
+    nodes = saved(rows.groupBy("copy_of").agg(first.alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+                  .withColumnRenamed("copy_of", "id"), "nodes")
+    kind = "binary"
     members = nodes.filter("n > 0").select("id", "n", F.posexplode("bands").alias("band", "key"))
     sizes = members.groupBy("band", "key").agg(F.count("*").alias("members")).filter("members > 1")
     shared = saved(members.join(sizes, ["band", "key"]), "shared")
-    texts = shared.select("id").distinct().join(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-                                                .withColumn("copy", F.xxhash64("text")), "id")
-    texts = saved(texts.dropDuplicates(["id"]).select("id", "text"), "shared-texts")
+    wanted = nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", F.col("first.id").alias("doc"), F.col("first.t").alias("t"))
+    own = docs.select(F.col(id_col).alias("own_doc"), _text_key(text_col).alias("own_t"), text_of(text_col).alias("text"))
+    texts = wanted.join(own, F.col("doc").eqNullSafe(F.col("own_doc")) & (F.col("t") == F.col("own_t")))
+    texts = saved(texts.select("id", "text").dropDuplicates(["id"]), "shared-texts")
 
     # One hub per bucket: the member with most company, ties by hash and then id.
     company = shared.groupBy("id").agg(F.sum("members").alias("company"))
@@ -183,17 +195,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _links(full, ["band", "key", "fixed_block", "passing_block"], kind, least)
     classes = components(links.union(saved(more, "block-links")))
 
-    of_node = nodes.select("copy_of", F.col("id").alias("node")).join(classes, "node", "left") \
-        .select("copy_of", F.coalesce("root", "node").alias("class_id"))
-    return (rows.select("id", "copy_of", "n").join(of_node, "copy_of")
-            .select("id", "class_id", (F.col("id") == F.col("class_id")).alias("kept"), F.col("n").alias("n_shingles")))
+    member = saved(nodes.select("id", "first").join(classes.select(F.col("node").alias("id"), "root"), "id", "left")
+                   .select("id", "first", F.coalesce("root", "id").alias("root")), "members")
+    stays = saved(member.groupBy("root").agg(F.min("first").alias("stays")), "stays")
+    of_node = saved(member.join(stays, "root").select(F.col("id").alias("copy_of"), "stays"), "class-of")
+    return (rows.select("id", "t", "copy_of", "n").join(of_node, "copy_of")
+            .select("id", F.col("stays.id").alias("class_id"),
+                    (F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("t") == F.col("stays.t"))).alias("kept"),
+                    F.col("n").alias("n_shingles"), *([F.col("t")] if text_key else [])))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of every class, every column as it was; rows without an id stay."""
-    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col("id").alias("__id")).distinct()
-    own = docs.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return own.join(kept, own[id_col] == kept["__id"], "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    """One document of every class, every column as it was; of rows that repeat an id and a text one stays."""
+    kept = near_duplicates(docs, id_col, text_col, text_key=True).filter("kept").select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct()
+    own = docs.withColumn("__own_t", _text_key(text_col)).dropDuplicates([id_col, "__own_t"])
+    return own.join(kept, own[id_col].eqNullSafe(kept["__id"]) & (own["__own_t"] == kept["__t"]), "left_semi").drop("__own_t")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
