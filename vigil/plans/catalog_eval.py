@@ -182,7 +182,7 @@ def i02(t):
 @query("i08_grid_search_cv")
 def i08(t):
     folds = stratified_kfold(fx.train_rows(t), "id", "target", 5)
-    return T.grid_search_cv(folds, NUM, "target", "fold", {"numTrees": [10, 30], "maxDepth": [4, 8], "minInstancesPerNode": [1, 3]})
+    return T.grid_search_cv(folds, NUM, "target", "fold")
 
 
 @query("i09_learning_curve")
