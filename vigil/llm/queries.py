@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from vigil.llm import exact_dedup, fingerprint, html_extract, lm_score, mixing, near_dedup, packing, periodic_runs, quality, sharding, suffix_dedup
+from vigil.llm import (exact_dedup, fingerprint, html_extract, lm_score, mixing, near_dedup, packing, periodic_runs, quality,
+                       sharding, simhash, suffix_dedup)
 
 QUERIES = {
     "op1_order_minhash": fingerprint.query,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_site_template_text": html_extract.query,
     "op10_kneser_ney_quality": quality.query,
     "op11_periodic_runs": periodic_runs.query,
+    "op12_simhash_near_dedup": simhash.query,
 }
 ORACLE = {
     "op6_chunk_recipe_dedup": exact_dedup.ORACLE_SQL,
