@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vigil.llm import (exact_dedup, fingerprint, html_extract, lm_score, mixing, near_dedup, packing, periodic_runs, quality,
-                       sharding, simhash, suffix_dedup)
+from vigil.llm import (conversation_repair, exact_dedup, fingerprint, html_extract, lm_score, mixing, near_dedup, packing,
+                       periodic_runs, quality, sharding, simhash, suffix_dedup)
 
 QUERIES = {
     "op1_order_minhash": fingerprint.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_kneser_ney_quality": quality.query,
     "op11_periodic_runs": periodic_runs.query,
     "op12_simhash_near_dedup": simhash.query,
+    "op13_conversation_repair": conversation_repair.query,
 }
 ORACLE = {
     "op6_chunk_recipe_dedup": exact_dedup.ORACLE_SQL,
