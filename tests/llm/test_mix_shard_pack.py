@@ -109,8 +109,9 @@ def test_mix(spark, bucket_rows):
 def test_mix_takes_the_smallest_keys(spark):
     """Efraimidis-Spirakis by hand: within a source, the fraction goes to the smallest keys."""
     docs = frame(spark, mix_rows(500))
-    key = -F.ln(mixing.uniform("doc_id", seed=0)) / mixing.quality_weight(F.coalesce("text", F.lit("")))
-    keys = {r["doc_id"]: r["k"] for r in docs.select("doc_id", key.alias("k")).collect()}
+    text = F.coalesce("text", F.lit(""))
+    key = -F.ln(mixing.uniform("doc_id", "digest", seed=0)) / mixing.quality_weight(text)
+    keys = {r["doc_id"]: r["k"] for r in docs.withColumn("digest", F.unhex(F.md5(text))).select("doc_id", key.alias("k")).collect()}
     by = defaultdict(list)
     for r in mixing.mix_sources(docs).collect():
         by[r["source"]].append((keys[r["id"]], r["epochs"], r["size"]))
@@ -119,6 +120,20 @@ def test_mix_takes_the_smallest_keys(spark):
         assert epochs == sorted(epochs, reverse=True) and max(epochs) - min(epochs) <= 1
 
 
+def test_mix_of_rows_without_ids_and_repeats(spark):
+    """Rows without an id are dealt by their texts, and of a row repeated many times as many are taken as the target has room for."""
+    rows = [(None, prose(k, 5 + k % 7)) for k in range(400)] + [(7, prose(999, 40))] * 300
+    docs = frame(spark, rows).withColumn("source", F.when(F.col("doc_id") == 7, "one").otherwise("none"))
+    out = mixing.mix_sources(docs, bucket_rows=20, share=1.2).collect()
+    assert len(out) == len(rows)
+    for source in ("one", "none"):
+        mine = [r for r in out if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine) / 2 + 1e-6
+        assert len({r["epochs"] for r in mine}) == 2
+    again = mixing.mix_sources(docs.repartition(5), bucket_rows=7, share=1.2).collect()
+    assert sorted((str(r["digest"]), r["taken"]) for r in out) == sorted((str(r["digest"]), r["taken"]) for r in again)
+
+
 def test_mix_edges(spark):
     assert mixing.mix_sources(empty(spark)).count() == 0
     docs = frame(spark)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from vigil.session import ensure_checkpoint_dir
 from vigil.sources.tables import read_table
 
-__all__ = ["read_table", "saved", "remove_saved", "text_of", "crc32_of", "mix64", "shingle_words", "WHITE"]
+__all__ = ["read_table", "saved", "remove_saved", "unused", "columns_of", "text_of", "crc32_of", "mix64", "shingle_words", "WHITE"]
 
 #: ASCII white space: the bytes and code points between words.
 WHITE = r"[\x20\x09-\x0D]"
@@ -42,6 +42,21 @@ def remove_saved(spark: SparkSession) -> int:
     return n
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind those that ``df`` has already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters are in their names."""
+    return [df["`" + c.replace("`", "``") + "`"] for c in df.columns]
+
+
 def text_of(column: str) -> Column:
     """The text with NULL as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import WHITE, saved, text_of
+from vigil.llm.common import WHITE, columns_of, read_table, saved, text_of, unused
 
 MIN_CHUNK, MAX_CHUNK = 400, 4000
 #: A chunk ends after such three letters once it is long enough; a text without them is cut at MAX_CHUNK.
@@ -85,15 +85,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, every column as it was; a fully repeated row stays once."""
+    """The rows of ``docs`` that stay, every column as it was, whatever its name.
+
+    As in ``exact_dedup``: NULL and empty texts are one group, of equal texts the longest original stays and then the
+    smallest id, NULL before all others; of rows that repeat an id and a text one stays.  An empty table stays empty.
+    """
     found = exact_dedup(docs, id_col, text_col)
-    keys = found.filter("kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"),
-                                       F.col("n_chars").alias("__n")).distinct()
-    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{id_col}`").alias("__id"),
-                      F.sha2(normalised(text_of(text_col)), 256).alias("__sha"),
-                      F.length(text_of(text_col)).cast("long").alias("__n"))
-    on = (own["__id"].eqNullSafe(keys["__id"])) & (own["__sha"] == keys["__sha"]) & (own["__n"] == keys["__n"])
-    return own.join(keys, on, "left_semi").dropDuplicates(["__id", "__sha", "__n"]).drop("__id", "__sha", "__n")
+    key, sha, n = unused(docs, "__id", "__sha", "__n")
+    keys = found.filter("kept").select(F.col("id").alias("k_id"), F.col("text_sha256").alias("k_sha"), F.col("n_chars").alias("k_n")).distinct()
+    own = docs.select(*columns_of(docs), F.col(id_col).alias(key), F.sha2(normalised(text_of(text_col)), 256).alias(sha),
+                      F.length(text_of(text_col)).cast("long").alias(n))
+    on = (own[key].eqNullSafe(keys["k_id"])) & (own[sha] == keys["k_sha"]) & (own[n] == keys["k_n"])
+    return own.join(keys, on, "left_semi").dropDuplicates([key, sha, n]).drop(key, sha, n)
 
 
 # ---- the registered query ----
@@ -115,6 +118,5 @@ WINDOW w AS (PARTITION BY norm ORDER BY n_chars DESC, doc_id)
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: exact dedup of the whole ``documents`` table."""
-    from vigil.llm.common import read_table
     found = exact_dedup(read_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")

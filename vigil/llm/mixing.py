@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import read_table, saved, text_of
+from vigil.llm.common import columns_of, read_table, saved, text_of, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -72,14 +72,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``taken`` its words in the mix.  The document at which a source reaches its
     target is taken when that ends nearer to the target.  NULL texts have no
     words; a source without words has target 0; NULL is a source of its own.
-    Repeated rows are documents of their own, ordered by nothing but
-    their equal key, so either may be taken.  Reruns agree.
+    Keys come from the id and the text's MD5, so rows without an id or with the
+    same one are dealt like any others.  Repeated rows are one counted item until
+    the end: they share a key, and as many of them are taken as the target asks
+    for.  Reruns agree.  An empty table gives no rows.
     """
     text = text_of(text_col)
-    rows = saved(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"),
-                             F.xxhash64(text).alias("digest"),
-                             (-F.ln(uniform(id_col, seed=seed)) / quality_weight(text)).alias("key")), "mix-rows")
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    items = (docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"),
+                         F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("digest"), quality_weight(text).alias("quality"))
+             .groupBy("id", "source", "size", "digest", "quality").agg(F.count("*").alias("copies")))
+    rows = saved(items.withColumn("key", -F.ln(uniform("id", "digest", seed=seed)) / F.col("quality")).drop("quality"), "mix-rows")
+    sources = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("n"))
     counts = saved(sources, "mix-sources")
     targets = source_targets(counts.select("source", "source_size"), weights, share, most)
     targets = (targets.alias("t").join(counts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")))
@@ -91,8 +94,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     r = rows.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select(
         "r.*", "t.source_size", "t.target", "t.whole", "t.rest",
         F.floor((1 - F.exp(-F.col("r.key"))) * F.col("t.buckets")).cast("long").alias("bucket"))
+    words = F.col("size") * F.col("copies")
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = r.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")) \
+    sums = r.groupBy("source", "bucket").agg(F.sum(words).alias("words"), F.first("rest").alias("rest")) \
         .withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
     # The bucket in which the rest ends: one per source, or none when nothing is left to take.
     edge = saved(sums.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
@@ -102,27 +106,34 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("r.*", "e.edge", "e.before")
     inside = F.col("bucket") == F.col("edge")
     by_key = Window.partitionBy("source").orderBy("key", "id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    at_edge = r.filter(inside).withColumn("reached", F.col("before") + F.coalesce(F.sum("size").over(by_key), F.lit(0)))
-    # Nearer with it than without: its middle lies before the target.
-    at_edge = at_edge.withColumn("more", (F.col("reached") + F.col("size") / 2 <= F.col("rest")).cast("int")).drop("reached")
-    others = r.filter(~inside | F.col("edge").isNull()).withColumn("more", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)).cast("int"))
-    epochs = (F.col("whole") + F.col("more")).cast("long")
-    return at_edge.unionByName(others).select("id", "source", "size", "source_size", "target", epochs.alias("epochs"),
-                                              (epochs * F.col("size")).alias("taken"), "digest")
+    at_edge = r.filter(inside).withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum(words).over(by_key), F.lit(0)))
+    # Nearer with a copy than without: its middle lies before the target.
+    fits = F.floor(F.try_divide(F.col("left"), F.col("size")) + 0.5)
+    fits = F.when(F.col("size") == 0, F.when(F.col("left") >= 0, F.col("copies")).otherwise(0)).otherwise(fits)
+    at_edge = at_edge.withColumn("more", F.least(F.greatest(fits, F.lit(0)), F.col("copies")).cast("long")).drop("left")
+    before = F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False))
+    others = r.filter(~inside | F.col("edge").isNull()).withColumn("more", F.when(before, F.col("copies")).otherwise(0).cast("long"))
+    each = at_edge.unionByName(others).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    epochs = (F.col("whole") + (F.col("copy") <= F.col("more")).cast("long")).cast("long")
+    return each.select("id", "source", "size", "source_size", "target", epochs.alias("epochs"), (epochs * F.col("size")).alias("taken"), "digest")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **mix) -> DataFrame:
-    """The mix itself: the rows of ``docs`` as often as it takes them, every column as it was.
+    """The mix itself: the rows of ``docs`` as often as it takes them, every column as it was, whatever its name.
 
-    Rows that repeat an id and a text are told apart by nothing: each is taken
-    as often as the one of them that the mix takes most.
+    Rows that repeat an id, a source and a text are told apart by nothing: each
+    is taken as often as the one of them that the mix takes most.  NULL and empty
+    texts have no words, and are taken as their key has it.  An empty table stays
+    empty.
     """
     found = mix_sources(docs, id_col, text_col, source_col, **mix).filter("epochs > 0") \
-        .groupBy(F.col("id").alias("__id"), F.col("digest").alias("__digest")).agg(F.max("epochs").alias("__epochs"))
-    own = docs.withColumns({"__own": F.col(id_col), "__text": F.xxhash64(text_of(text_col))})
-    return (own.join(found, (own["__own"].eqNullSafe(found["__id"])) & (own["__text"] == found["__digest"]))
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__epochs"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+        .groupBy(F.col("id").alias("k_id"), F.col("source").alias("k_source"), F.col("digest").alias("k_digest")).agg(F.max("epochs").alias("k_epochs"))
+    key, source, digest, copy = unused(docs, "__id", "__source", "__digest", "__copy")
+    own = docs.select(*columns_of(docs), F.col(id_col).alias(key), F.col(source_col).alias(source),
+                      F.unhex(F.md5(F.encode(text_of(text_col), "UTF-8"))).alias(digest))
+    on = (own[key].eqNullSafe(found["k_id"])) & own[source].eqNullSafe(found["k_source"]) & (own[digest] == found["k_digest"])
+    return (own.join(found, on).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), found["k_epochs"])))
+            .select(*columns_of(docs)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

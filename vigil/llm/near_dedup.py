@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.bagminhash import signatures
-from vigil.llm.common import read_table, saved, shingle_words, text_of
+from vigil.llm.common import columns_of, read_table, saved, shingle_words, text_of, unused
 from vigil.llm.components import components
 
 WIDTH = 5
@@ -162,9 +162,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = saved(texts.select("id", "text").dropDuplicates(["id"]), "shared-texts")
 
     # One hub per bucket: the member with most company, ties by hash and then id.
-    company = shared.groupBy("id").agg(F.sum("members").alias("company"))
+    company = saved(shared.groupBy("id").agg(F.sum("members").alias("company")), "company")
     hubs = (shared.join(company, "id").groupBy("band", "key")
             .agg(F.max(F.struct("company", F.xxhash64("id").alias("h"), "id", "n")).alias("hub")))
+    hubs = saved(hubs, "hubs")
     tests = (shared.join(hubs.select("band", "key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), ["band", "key"])
              .filter((F.col("id") != F.col("hub")) & (F.least("n", "hub_n") >= least * F.greatest("n", "hub_n") - 1e-9))
              .select("hub", "hub_n", "id", "n").distinct())
@@ -172,18 +173,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fixed = tests.select("hub", "block", F.lit(0).alias("side"), F.col("hub").alias("id"), F.col("hub_n").alias("n")).distinct()
     passing = tests.select("hub", "block", F.lit(1).alias("side"), "id", "n")
     links = saved(_links(fixed.union(passing).join(texts, "id"), ["hub", "block"], kind, least), "hub-links")
-    classes = components(links)
+    classes = saved(components(links), "hub-classes")
 
     # What a bucket has outside its main class, against all that it has.
     known = shared.filter("members > 2").join(classes.select(F.col("node").alias("id"), "root"), "id", "left") \
         .withColumn("class", F.coalesce("root", "id")).drop("root")
+    known = saved(known, "known")
     per_class = known.groupBy("band", "key", "class").agg(F.sum("n").alias("shingles"))
     split = (per_class.groupBy("band", "key").agg(F.max(F.struct("shingles", "class")).alias("main"), F.sum("shingles").alias("all"),
                                                   F.count("*").alias("classes"))
              .filter("classes > 1").select("band", "key", F.col("main.class").alias("main"),
                                            F.ceil((F.col("all") - F.col("main.shingles")) / BLOCK_SHINGLES).alias("fixed_blocks"),
                                            F.ceil(F.col("all") / (4 * BLOCK_SHINGLES)).alias("passing_blocks")))
-    open_ = known.join(split, ["band", "key"])
+    open_ = saved(known.join(saved(split, "split"), ["band", "key"]), "open")
     block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     columns = ["band", "key", "fixed_block", "passing_block", "side", "id", "n", "class"]
@@ -193,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("fixed_block", every("fixed_blocks")).select(*columns)
     full = fixed.unionByName(passing).join(texts, "id").join(nodes.select("id", "bands"), "id")
     more = _links(full, ["band", "key", "fixed_block", "passing_block"], kind, least)
-    classes = components(links.union(saved(more, "block-links")))
+    classes = saved(components(links.union(saved(more, "block-links"))), "classes")
 
     member = saved(nodes.select("id", "first").join(classes.select(F.col("node").alias("id"), "root"), "id", "left")
                    .select("id", "first", F.coalesce("root", "id").alias("root")), "members")
@@ -206,10 +208,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of every class, every column as it was; of rows that repeat an id and a text one stays."""
-    kept = near_duplicates(docs, id_col, text_col, text_key=True).filter("kept").select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct()
-    own = docs.withColumn("__own_t", _text_key(text_col)).dropDuplicates([id_col, "__own_t"])
-    return own.join(kept, own[id_col].eqNullSafe(kept["__id"]) & (own["__own_t"] == kept["__t"]), "left_semi").drop("__own_t")
+    """One document of every class, every column as it was, whatever its name.
+
+    As in ``near_duplicates``: texts with equal words (empty and NULL ones among them) are one class, the row with the
+    smallest id stays, NULL behind all others; of rows that repeat an id and a text one stays.  An empty table stays
+    empty.
+    """
+    key, own_t = unused(docs, "__id", "__t")
+    kept = near_duplicates(docs, id_col, text_col, text_key=True).filter("kept").select(F.col("id").alias("k_id"), F.col("t").alias("k_t")).distinct()
+    own = docs.select(*columns_of(docs), F.col(id_col).alias(key), _text_key(text_col).alias(own_t)).dropDuplicates([key, own_t])
+    return own.join(kept, own[key].eqNullSafe(kept["k_id"]) & (own[own_t] == kept["k_t"]), "left_semi").drop(key, own_t)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
