@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.exprs import md5_uniform
+from vigil.operators.tuning import nested_grid
 from vigil.session import cut_lineage
 
 
@@ -68,9 +69,20 @@ GRID = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 15], "minInstancesPerNod
 def grid_search_cv(df: DataFrame, features: list[str], label: str, fold_col: str,
                    grid: dict | None = None, parallelism: int = 4, seed: int = 42, num_folds: int = 5) -> DataFrame:
     """i08: parameter grid x k folds (given fold column) on positive-class recall.
-    Returns one row per parameter combination with the mean CV recall.  Without ``grid``: GRID."""
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed)
+    Returns one row per parameter combination with the mean CV recall.  Without ``grid``: GRID.
+
+    The three parameters of GRID are searched nested (``tuning.nested_grid``: every fold and leaf size is grown
+    once) as long as the features fall into a bounded number of bin combinations; other grids, and many features,
+    take one MLlib fit per point and fold (``grid_by_fits``)."""
     grid = grid or GRID
+    found = nested_grid(df, features, label, fold_col, grid, seed, num_folds) if set(grid) == set(GRID) else None
+    return found if found is not None else grid_by_fits(df, features, label, fold_col, grid, parallelism, seed, num_folds)
+
+
+def grid_by_fits(df: DataFrame, features: list[str], label: str, fold_col: str, grid: dict, parallelism: int = 4,
+                 seed: int = 42, num_folds: int = 5) -> DataFrame:
+    """One MLlib random forest per grid point and fold."""
+    rf = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed)
     pg = ParamGridBuilder()
     for name, values in grid.items():
         pg = pg.addGrid(rf.getParam(name), values)
@@ -83,8 +95,7 @@ def grid_search_cv(df: DataFrame, features: list[str], label: str, fold_col: str
     m = cv.fit(d)
     rows = [tuple(int(pm[rf.getParam(n)]) for n in grid) + (float(score),) for pm, score in zip(maps, m.avgMetrics)]
     schema = ", ".join(f"{n} int" for n in grid) + ", mean_cv_recall double"
-    res = df.sparkSession.createDataFrame(rows, schema)  # one row per grid point
-    return res
+    return df.sparkSession.createDataFrame(rows, schema)  # one row per grid point
 
 
 def learning_curve(df: DataFrame, features: list[str], label: str, key: str, fold_col: str, estimator=None,
