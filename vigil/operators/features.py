@@ -376,7 +376,21 @@ def undersample(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFram
     c = cut_lineage(df.groupBy(label).agg(F.count("*").alias("_nc")))
     n_min = c.agg(F.min("_nc")).scalar()
     counts = F.broadcast(c) if c.count() <= BROADCAST_ROWS else c
-    return join_null_safe(df, counts, [label]).where(md5_uniform(key, seed) < n_min / F.col("_nc")).drop("_nc")
+    u = md5_uniform(F.coalesce(F.col(key).cast("string"), F.lit("")), seed)    # a NULL key draws like an empty one
+    return join_null_safe(df, counts, [label]).where(u < n_min / F.col("_nc")).drop("_nc")
+
+
+def reweighing(df: DataFrame, group: str, label: str) -> DataFrame:
+    """h21: weight n_group n_label / (n n_group_label) per (group, label), under which label and group are independent.
+
+    One partial aggregate to (group, label) cells; sums of cells give the rest.  NULL is a group and a label.
+    """
+    cells = cut_lineage(df.groupBy(group, label).agg(F.count("*").alias("n_cell")))
+    n = cells.agg(F.sum("n_cell")).scalar()
+    by_group = cells.groupBy(group).agg(F.sum("n_cell").alias("n_group"))
+    by_label = cells.groupBy(label).agg(F.sum("n_cell").alias("n_label"))
+    out = join_null_safe(join_null_safe(cells, by_group, [group]), by_label, [label])
+    return out.select(group, label, "n_cell", (F.col("n_group") * F.col("n_label") / (n * F.col("n_cell"))).alias("weight"))
 
 
 def silver_normalise(df: DataFrame, casts: dict[str, str], text_cols: list[str], date_cols: list[str]) -> DataFrame:

@@ -147,16 +147,16 @@ SEVERITY_RANK = {"info": 0, "warning": 1, "critical": 2}
 
 def evaluate_alerts(metrics: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
     """k05: metric rows (key..., metric, value) x rules (metric, op, limit, severity); keep the
-    worst firing severity per key and metric.  The rule table is small and fixed: broadcast."""
-    j = metrics.join(F.broadcast(rules), "metric")
+    worst firing severity per key and metric, of equal ones the greatest limit and then operator.
+    The caller's rule table carries no hint: Spark broadcasts it while it is small."""
+    j = metrics.join(rules, "metric")
     fired = (F.when(F.col("op") == ">", F.col("value") > F.col("limit"))
              .when(F.col("op") == ">=", F.col("value") >= F.col("limit"))
              .when(F.col("op") == "<", F.col("value") < F.col("limit"))
              .when(F.col("op") == "<=", F.col("value") <= F.col("limit")).otherwise(F.lit(False)))
     rank = F.when(F.col("severity") == "critical", 2).when(F.col("severity") == "warning", 1).otherwise(0)
     f = j.where(fired).withColumn("_rank", rank)
-    return (f.groupBy(*key, "metric").agg(F.max_by(F.struct("severity", "op", "limit", "value"), F.col("_rank"))
-                                          .alias("_w"))
+    return (f.groupBy(*key, "metric").agg(F.max(F.struct("_rank", "limit", "op", "severity", "value")).alias("_w"))
             .select(*key, "metric", F.col("_w.severity").alias("severity"), F.col("_w.op").alias("op"),
                     F.col("_w.limit").alias("limit"), F.col("_w.value").alias("value")))
 

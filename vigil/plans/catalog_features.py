@@ -297,6 +297,16 @@ def h21u(t):
     return H.undersample(fx.feature_store(t).select("id", "target"), "id", "target")
 
 
+@query("h21_reweighing", doubles=("weight",), oracle=with_views("""
+SELECT lang, y_true, n_cell, n_group * n_label / (n * n_cell) AS weight FROM (
+  SELECT lang, y_true, count(*)::BIGINT AS n_cell, sum(count(*)) OVER (PARTITION BY lang)::DOUBLE AS n_group,
+         sum(count(*)) OVER (PARTITION BY y_true)::DOUBLE AS n_label, sum(count(*)) OVER ()::DOUBLE AS n
+  FROM scored_biased GROUP BY lang, y_true) c""", "scored_biased"))
+def h21r(t):
+    """Weights under which the label does not depend on the language."""
+    return H.reweighing(fx.scored_biased(t), "lang", "y_true")
+
+
 @query("h22_silver_normalise", doubles=("c_acctbal",), oracle="""
 SELECT c_custkey, c_name, c_nationkey, TRY_CAST(CAST(c_acctbal AS VARCHAR) AS DOUBLE) AS c_acctbal,
        lower(trim(c_mktsegment)) AS c_mktsegment FROM customer""")

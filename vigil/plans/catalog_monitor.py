@@ -153,9 +153,8 @@ f AS (SELECT l.model_version, l.metric, r.severity, r.op, r."limit", l.value,
              CASE r.severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END AS rk
       FROM l JOIN r USING (metric)
       WHERE (op = '>' AND value > "limit") OR (op = '<' AND value < "limit"))
-SELECT model_version, metric, arg_max(severity, rk) AS severity, arg_max(op, rk) AS op,
-       arg_max("limit", rk) AS "limit", arg_max(value, rk) AS value FROM f GROUP BY model_version, metric""",
-                                                                               "service_log"))
+SELECT model_version, metric, severity, op, "limit", value FROM f
+QUALIFY row_number() OVER (PARTITION BY model_version, metric ORDER BY rk DESC, "limit" DESC, op DESC) = 1""", "service_log"))
 def k05(t):
     """Alert rules x per-version service metrics; the worst firing severity per metric."""
     m = N.service_metrics(fx.service_log(t))

@@ -75,6 +75,39 @@ def s03(t):
     return _run(t, "s03", S.latency_histogram(S.read_log_stream(t.spark, folder, log.schema)))
 
 
+@query("s03_latency_percentiles", doubles=("p50", "p95", "p99"), oracle=with_views(
+    "SELECT date_trunc('hour', ts) AS window_start, model_version, count(*)::BIGINT AS n, "
+    + ", ".join(f"quantile_disc(latency_ms, {p}) AS p{int(100 * p)}" for p in (0.5, 0.95, 0.99))
+    + " FROM service_log GROUP BY ALL", "service_log"))
+def s03_percentiles(t):
+    """Hourly latency percentiles per version from KLL sketches (exact while an hour has few requests)."""
+    log = fx.service_log(t)
+    folder = _staged(t, "s03p", log, sentinel=True)
+    return _run(t, "s03p", S.latency_percentiles(S.read_log_stream(t.spark, folder, log.schema)))
+
+
+_INCREASES = """
+c AS (SELECT event_type AS name, ts, event_id,
+             count(*) OVER (PARTITION BY event_type, ts::DATE ORDER BY ts, event_id
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM events),
+d AS (SELECT name, ts, CASE WHEN lag(value) OVER (PARTITION BY name ORDER BY ts, event_id) IS NULL THEN 0
+                            WHEN value >= lag(value) OVER (PARTITION BY name ORDER BY ts, event_id)
+                            THEN value - lag(value) OVER (PARTITION BY name ORDER BY ts, event_id)
+                            ELSE value END AS inc FROM c)"""
+
+
+@query("s04_rate_stream", doubles=("rate_per_s",), oracle=f"""
+WITH {_INCREASES},
+e AS (SELECT name, inc, time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE * (k + 1) AS window_end FROM d, range(0, 4) r(k))
+SELECT name, window_end, sum(inc) / 3600.0 AS rate_per_s, sum(inc)::BIGINT AS increase FROM e GROUP BY ALL""")
+def s04_stream(t):
+    """rate(x[1h]) every 15 minutes of the daily-restarting counter, as a stream with keyed state and timers."""
+    series = S.counter_series(t.events.select("event_type", "ts", "event_id"))
+    folder = _staged(t, "s04s", series, sentinel=True)
+    schema = t.spark.read.option("recursiveFileLookup", "true").parquet(folder).schema
+    return _run(t, "s04s", S.rate_stream(S.read_log_stream(t.spark, folder, schema), step=900))
+
+
 @query("s04_rate_1h", doubles=("rate_per_s",), oracle="""
 WITH c AS (SELECT event_type AS name, ts, event_id,
                   count(*) OVER (PARTITION BY event_type, ts::DATE ORDER BY ts, event_id
@@ -121,7 +154,7 @@ def s06(t):
         q = (stream.writeStream.foreachBatch(S.drift_per_batch(ref, ["user_id", "value"], ["event_type"], alerts))
              .option("checkpointLocation", ck).trigger(availableNow=True).start())
         q.awaitTermination()
-    return t.spark.read.parquet(alerts)
+    return io.read_batches(t.spark, alerts).withColumn("batch_id", F.col("batch_id").cast("long"))
 
 
 @query("s07_new_files_trigger", doubles=("latency_ms",), oracle=with_views("SELECT * FROM service_log", "service_log"))

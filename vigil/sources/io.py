@@ -86,6 +86,38 @@ def write_features(df: DataFrame, table: str, mode: str = "append") -> None:
     out.write.mode(mode).insertInto(table, overwrite=(mode == "overwrite"))
 
 
+def overwrite_partitions(df: DataFrame, path: str, partition_by: list[str]) -> str:
+    """a06 / j02: replace exactly the partitions that ``df`` has rows of, and leave the others as they are.
+
+    Writing the same batch again, after a failure or by mistake, changes nothing.
+    """
+    (df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_by).parquet(path))
+    return path
+
+
+def write_batch(df: DataFrame, path: str, batch_id) -> str:
+    """One batch of a growing table, in its own partition ``batch_id``: a retry replaces what an earlier try wrote.
+
+    The files of a batch count once its marker stands beside them, which is written last, so a batch that was lost
+    half-way is not read; ``read_batches`` reads the marked ones.
+    """
+    spark, at = df.sparkSession, f"{path}/batch_id={batch_id}"
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_done/{batch_id}")
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(fs_path, False)
+    df.write.mode("overwrite").parquet(at)
+    fs.create(fs_path, True).close()
+    return at
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All finished batches of ``write_batch`` with their ``batch_id``; at least one must be there."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_done")
+    names = [f.getPath().getName() for f in done.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(done)]
+    return spark.read.option("basePath", path).parquet(*[f"{path}/batch_id={n}" for n in sorted(names)])
+
+
 def read_features(spark: SparkSession, table: str, where: str | None = None,
                   columns: list[str] | None = None) -> DataFrame:
     """a07: table scan with a WHERE text (pushed down to the files / partitions)."""
