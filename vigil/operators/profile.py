@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.ranks import cumulative, exact_quantiles, value_cells
@@ -127,10 +129,23 @@ def temporal_coverage(df: DataFrame, ts: str) -> DataFrame:
                      F.avg("count").alias("mean_per_day"))
 
 
+def pair_correlation(a: str, b: str) -> Column:
+    """Pearson r over the rows that have both; NULL where a side does not vary (``corr`` fails there)."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
+#: Columns up to which every pair is an expression of one aggregate; more are summed in blocks.
+FEW_COLUMNS = 24
+
+
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """f09: Pearson r for every ordered pair (pairwise-complete), one aggregate pass."""
+    """f09: Pearson r for every ordered pair (pairwise-complete), one pass; NULL where a side does not vary."""
+    if len(cols) > FEW_COLUMNS:
+        return _blocked_correlations(df, cols)
     pairs = list(combinations(cols, 2))
-    wide = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[pair_correlation(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     rows = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"{i}").alias("r"))
             for i, (a, b) in enumerate(pairs)]
     rows += [F.struct(F.lit(b).alias("feature_a"), F.lit(a).alias("feature_b"), F.col(f"{i}").alias("r"))
@@ -140,6 +155,43 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
+def _blocked_correlations(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The same for many columns: cross-product sums of centred values per partition, merged per column.
+
+    A partition's batches add to six matrices of columns x columns (one matrix product each); a row per column with
+    its sums leaves the partition, and rows of a column meet in one group of as many rows as there are partitions.
+    """
+    centre = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"{i}") for i, c in enumerate(cols)]).first()
+    means = np.array([0.0 if m is None or not np.isfinite(m) else m for m in centre])
+    n = len(cols)
+    kinds = ("n", "x", "xx", "xy", "y", "yy")
+
+    def sums(batches):
+        total = np.zeros((6, n, n))
+        for pdf in batches:
+            x = pdf.to_numpy(float) - means
+            here = ~np.isnan(x)
+            x, m = np.where(here, x, 0.0), here.astype(float)
+            counts, first, square = m.T @ m, x.T @ m, (x * x).T @ m
+            total += np.stack([counts, first, square, x.T @ x, first.T, square.T])
+        yield pd.DataFrame({"i": np.arange(n), **{k: list(t) for k, t in zip(kinds, total)}})
+
+    def merged(pdf):
+        count, x, xx, xy, y, yy = (np.sum(np.stack(pdf[k].to_numpy()), axis=0) for k in kinds)
+        with np.errstate(all="ignore"):
+            cov, vx, vy = xy - x * y / count, xx - x * x / count, yy - y * y / count
+            r = cov / np.sqrt(vx * vy)
+        flat = (count < 1) | (vx <= 1e-12 * np.abs(xx)) | (vy <= 1e-12 * np.abs(yy))
+        i = int(pdf["i"].iat[0])
+        r = [None if f else float(v) for f, v in zip(flat, r)]
+        r[i] = 1.0
+        return pd.DataFrame({"feature_a": cols[i], "feature_b": cols, "r": pd.array(r, dtype="Float64")})
+
+    wide = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    parts = wide.mapInPandas(sums, "i int, " + ", ".join(f"{k} array<double>" for k in kinds))
+    return parts.groupBy("i").applyInPandas(lambda pdf: merged(pdf), "feature_a string, feature_b string, r double")
+
+
 def strongest_pairs(corr: DataFrame, min_abs: float = 0.5, k: int = 10) -> DataFrame:
     """f10: |r| > min_abs, r != 1, each unordered pair once, sorted by r desc (top-k report)."""
     return (corr.where((F.col("feature_a") < F.col("feature_b")) & (F.col("r") != 1.0)
@@ -149,7 +201,7 @@ def strongest_pairs(corr: DataFrame, min_abs: float = 0.5, k: int = 10) -> DataF
 
 def target_correlation(df: DataFrame, cols: list[str], target: str = "target") -> DataFrame:
     """f11: r(feature, target) ranked by |r| desc."""
-    wide = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in cols])
+    wide = df.agg(*[pair_correlation(c, target).alias(c) for c in cols])
     long = wide.unpivot([], cols, "feature", "r")
     w = Window.orderBy(F.abs("r").desc_nulls_last(), "feature")  # over one row per feature
     return long.withColumn("rank", F.row_number().over(w))
