@@ -129,6 +129,19 @@ def test_template_subtrees_go_and_shared_prose_stays(spark):
         assert got[200 + k] == "the same page"
 
 
+@pytest.mark.parametrize("size", [60, 1000])
+def test_a_section_is_template_on_large_hosts_too(spark, size):
+    """The same 50 pages with one section, on a host of 60 pages and on one of 1,000: gone from both."""
+    rows = []
+    for k in range(size):
+        section = "<section><div>Members of this site get our letter</div></section>" if k < 50 else ""
+        own = f"<section><div>{prose(k, 12)}</div></section>" + ("<section><div>Told twice</div></section>" if k < 2 else "")
+        rows.append((k, "http://big.example/p", f"<body><article><p>{prose(5000 + k, 15)}</p>{own}{section}</article></body>", "", None))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(pages(spark, rows)).collect()}
+    for k in range(size):
+        assert got[k] == "\n".join([prose(5000 + k, 15), prose(k, 12)] + ["Told twice"] * (k < 2))
+
+
 def test_html_edges(spark):
     rows = [(1, None, None, None, None), (2, "odd", "", "", ""), (None, "http://h/", "<p>x", "", ""), (3, "http://h/", "<p>" + "w " * 200_000, "", ""),
             (3, "http://h/", "<p>a", "", "")]

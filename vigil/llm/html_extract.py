@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import read_table, saved
 
-#: A subtree is template when it occurs on so many different articles of its host, and on this share of them.
+#: A subtree is template when it occurs on so many different articles of its host; on a small host this share of them
+#: may ask for more, but never for more than MANY_PAGES: what recurs so often is template however large the host is.
 LEAST_PAGES = 5
 LEAST_SHARE = 0.1
+MANY_PAGES = 20
 #: Template rows (host, subtree) up to which the templates are broadcast; they are counted first.
 BROADCAST_ROWS = 200_000
 
@@ -185,7 +187,7 @@ def parse_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> D
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                 least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+                 least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """One row per page: (page_id, url, text, n_chars).
 
     The blocks of the main text in page order, joined by a line break: what is
@@ -199,18 +201,17 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     parsed = saved(parse_pages(pages, id_col, url_col, html_col), "pages")
     articles = parsed.groupBy("host", "article").agg(F.count("*").alias("copies")).groupBy("host").agg(F.count("*").alias("articles"))
-    seen = parsed.select("host", "article", F.explode("subtrees").alias("subtree")).distinct()
+    seen = saved(parsed.select("host", "article", F.explode("subtrees").alias("subtree")).distinct(), "subtrees")
     counted = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"))
     often = saved(counted.filter(F.col("n") >= least_pages).join(articles, "host")
-                  .filter(F.col("n") >= least_share * F.col("articles")).select("host", "subtree"), "templates")
-    # At most 1 / least_share subtrees of a mean page per host.
-    per_host = often.groupBy("host").agg(F.collect_list("subtree").alias("template"))
-    if often.count() <= BROADCAST_ROWS:
-        per_host = F.broadcast(per_host)
+                  .filter(F.col("n") >= F.least(F.lit(many_pages), least_share * F.col("articles"))).select("host", "subtree"), "templates")
+    own = seen.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, ["host", "subtree"])
+    # A list per article, of its own subtrees only.
+    own = own.groupBy("host", "article").agg(F.collect_set("subtree").alias("template"))
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["inside"], F.col("template")))
     blocks = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(kept)
     text = F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
-    return (parsed.join(per_host, "host", "left").select("page_id", "url", text.alias("text"))
+    return (parsed.join(own, ["host", "article"], "left").select("page_id", "url", text.alias("text"))
             .withColumn("n_chars", F.length("text").cast("long")))
 
 
