@@ -28,7 +28,7 @@ LEAST_PAGES = 5
 LEAST_SHARE = 0.1
 MANY_PAGES = 20
 #: Template rows (host, subtree) up to which the templates are broadcast; they are counted first.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 20_000
 
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre
@@ -205,13 +205,17 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     counted = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"))
     often = saved(counted.filter(F.col("n") >= least_pages).join(articles, "host")
                   .filter(F.col("n") >= F.least(F.lit(many_pages), least_share * F.col("articles"))).select("host", "subtree"), "templates")
-    own = seen.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, ["host", "subtree"])
-    # A list per article, of its own subtrees only.
-    own = own.groupBy("host", "article").agg(F.collect_set("subtree").alias("template"))
+    if often.count() <= BROADCAST_ROWS:
+        per_host = often.groupBy("host").agg(F.collect_set("subtree").alias("all"))     # together BROADCAST_ROWS at most
+        told = parsed.join(F.broadcast(per_host), "host", "left").withColumn("template", F.array_intersect("subtrees", "all"))
+    else:
+        # A list per article, of its own subtrees only.
+        own = seen.join(often, ["host", "subtree"]).groupBy("host", "article").agg(F.collect_set("subtree").alias("template"))
+        told = parsed.join(own, ["host", "article"], "left")
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["inside"], F.col("template")))
     blocks = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(kept)
     text = F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
-    return (parsed.join(own, ["host", "article"], "left").select("page_id", "url", text.alias("text"))
+    return (told.select("page_id", "url", text.alias("text"))
             .withColumn("n_chars", F.length("text").cast("long")))
 
 
