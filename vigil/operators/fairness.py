@@ -9,11 +9,14 @@ spreads are a second aggregate over that small group table.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.exprs import safe_div
+from vigil.functions.exprs import md5_uniform, safe_div
 from vigil.roles import FairnessLimits
+from vigil.session import cut_lineage
 
 # Calibration bin edges as numpy.linspace(0, 1, 11) builds them (i * 0.1),
 # so that digitize semantics (p = 1.0 falls outside the ten bins) are reproduced exactly.
@@ -144,3 +147,71 @@ def group_thresholds(df: DataFrame, attrs: list[str], prob: str = "y_prob", p: s
         F.min_by(F.struct("threshold", "rate"), F.struct(F.abs(F.col("rate") - tgt), F.col("threshold"))).alias("b"),
     ).select("attribute", "group", F.col("b.threshold").alias("threshold"), F.col("b.rate").alias("positive_rate"),
              tgt.alias("target_rate"))
+
+
+#: Resolution of scores and of false positive rates in ``equalised_odds``.
+SCORE_BINS, RATE_STEPS = 1000, 200
+
+
+def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The ROC convex hull of one group at RATE_STEPS + 1 false positive rates: which two thresholds reach the point on
+    it, and with what weight the lower one.  ``pdf``: group, bin, positives, negatives; one row per score bin."""
+    pdf = pdf.sort_values("bin", ascending=False)
+    pos, neg = pdf["positives"].sum(), pdf["negatives"].sum()
+    if not pos or not neg:
+        return pd.DataFrame(columns=["group", "f", "t", "high", "low", "weight_low", "positives", "negatives"])
+    f = np.append(0, pdf["negatives"].cumsum().to_numpy() / neg)
+    t = np.append(0, pdf["positives"].cumsum().to_numpy() / pos)
+    threshold = np.append(SCORE_BINS + 1, pdf["bin"].to_numpy()) / SCORE_BINS
+    keep: list[int] = []
+    for i in range(len(f)):                                   # upper hull, left to right
+        while keep and f[keep[-1]] == f[i]:
+            keep.pop()
+        while len(keep) > 1 and (t[keep[-1]] - t[keep[-2]]) * (f[i] - f[keep[-2]]) <= (t[i] - t[keep[-2]]) * (f[keep[-1]] - f[keep[-2]]):
+            keep.pop()
+        keep.append(i)
+    keep = np.array(keep)
+    at = np.arange(RATE_STEPS + 1) / RATE_STEPS
+    hi = np.minimum(np.searchsorted(f[keep], at, side="left"), len(keep) - 1)
+    lo = np.maximum(hi - 1, 0)
+    lo = np.where(f[keep][hi] == at, hi, lo)
+    width = f[keep][hi] - f[keep][lo]
+    weight = np.where(width > 0, (at - f[keep][lo]) / np.where(width > 0, width, 1), 1.0)
+    rate = t[keep][lo] * (1 - weight) + t[keep][hi] * weight
+    return pd.DataFrame({"group": pdf["group"].iat[0], "f": at, "t": rate, "high": threshold[keep][lo], "low": threshold[keep][hi],
+                         "weight_low": weight, "positives": pos, "negatives": neg})
+
+
+def equalised_odds(df: DataFrame, attr: str, y: str = "y_true", prob: str = "y_prob") -> DataFrame:
+    """l12: per group of ``attr``, randomised thresholds under which all groups have the same TPR and FPR.
+
+    Every group's ROC convex hull comes from its score bins (one partial aggregate; at most SCORE_BINS rows a group).
+    What all groups can reach at a false positive rate is the least of their hulls; of those points the one with the
+    most right decisions over all rows is taken.  A group reaches it by mixing two thresholds up to its hull, and a coin
+    of that false positive rate down from it.  Groups without both labels have no hull and no row.  NULL scores count
+    as 0, NULL groups as a group.
+
+    (group, high, low, weight_low, weight_hull, coin, tpr, fpr): see ``equalised_predictions``.
+    """
+    bin_ = F.floor(F.least(F.greatest(F.coalesce(F.col(prob), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * SCORE_BINS).cast("int")
+    cells = df.where(F.col(y).isNotNull()).groupBy(F.col(attr).cast("string").alias("group"), bin_.alias("bin")).agg(
+        F.count_if(F.col(y) == 1).alias("positives"), F.count_if(F.col(y) != 1).alias("negatives"))
+    hulls = cut_lineage(cells.groupBy("group").applyInPandas(
+        _hull, "group string, f double, t double, high double, low double, weight_low double, positives long, negatives long"))
+    reach = hulls.groupBy("f").agg(F.min("t").alias("t"), F.sum("positives").alias("p"), F.sum("negatives").alias("n"))
+    best = reach.agg(F.max_by(F.struct("f", "t"), F.struct(F.col("p") * F.col("t") - F.col("n") * F.col("f"), -F.col("f")))).scalar()
+    hull_weight = F.coalesce(F.try_divide(best.getField("t") - F.col("f"), F.col("t") - F.col("f")), F.lit(1.0))
+    return hulls.where(F.col("f") == best.getField("f")).select(
+        "group", "high", "low", "weight_low", F.least(F.greatest(hull_weight, F.lit(0.0)), F.lit(1.0)).alias("weight_hull"), F.col("f").alias("coin"),
+        best.getField("t").alias("tpr"), F.col("f").alias("fpr"))
+
+
+def equalised_predictions(df: DataFrame, thresholds: DataFrame, attr: str, key: str, prob: str = "y_prob", seed: int = 42) -> DataFrame:
+    """``df`` with ``y_fair``, by draws from the keyed hash; groups without thresholds keep NULL."""
+    t = thresholds.select(F.col("group").alias("_g"), "high", "low", "weight_low", "weight_hull", "coin")
+    j = df.join(t, F.col(attr).cast("string").eqNullSafe(F.col("_g")), "left")
+    draw = lambda salt: md5_uniform(key, seed + salt)
+    score = F.floor(F.least(F.greatest(F.coalesce(F.col(prob), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * SCORE_BINS) / SCORE_BINS
+    by_hull = score >= F.when(draw(1) < F.col("weight_low"), F.col("low")).otherwise(F.col("high"))
+    fair = F.when(draw(2) < F.col("weight_hull"), by_hull).otherwise(draw(3) < F.col("coin"))
+    return j.withColumn("y_fair", fair.cast("int")).drop("_g", "high", "low", "weight_low", "weight_hull", "coin")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.exprs import count_true, safe_div
 from vigil.roles import DatamartRules, family
+from vigil.session import cut_lineage
 
 
 def hours_between(start, as_of) -> Column:
@@ -198,6 +199,43 @@ def quality_profile(current: DataFrame, reference: DataFrame | None, numeric: li
     return long.groupBy("column").agg(*aggs)
 
 
+def profile_states(df: DataFrame, day: Column, numeric: list[str], categorical: list[str], lg_k: int = 14, k: int = 400) -> DataFrame:
+    """e07: one mergeable state per (day, column): counts, sums, extremes, a theta sketch of the values and a KLL sketch
+    of the numbers.  States of a day are written once; any period's profile comes from its days' states alone.
+    """
+    names = [*numeric, *categorical]
+    plain = df.select(day.alias("day"), *[F.col(c).cast("double").alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in categorical])
+    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), (F.col(c) if c in numeric else F.lit(None).cast("double")).alias("x"),
+                                       F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias("v")) for c in names]))
+    return plain.select("day", rows).groupBy("day", "column").agg(
+        F.count("*").alias("n"), F.count("v").alias("n_known"), F.sum("x").alias("sum"), F.sum(F.col("x") * F.col("x")).alias("sum2"),
+        F.min("x").alias("min"), F.max("x").alias("max"), F.theta_sketch_agg("v", lg_k).alias("values"),
+        F.kll_sketch_agg_double("x", k).alias("ranks"))
+
+
+def merged_profile(states: DataFrame, probs: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """e07: per column n, null_pct, distinct (exact below 2^lg_k values, else within 1 %), mean, std, min, max and quantiles
+    of all days in ``states``."""
+    m = states.groupBy("column").agg(
+        F.sum("n").alias("n"), F.sum("n_known").alias("known"), F.sum("sum").alias("s"), F.sum("sum2").alias("s2"), F.min("min").alias("min"),
+        F.max("max").alias("max"), F.theta_union_agg("values").alias("values"), F.kll_merge_agg_double("ranks").alias("ranks"))
+    mean = F.try_divide("s", "known")
+    var = F.try_divide(F.col("s2") - F.col("s") * mean, F.when(F.col("known") > 1, F.col("known") - 1))
+    quantile = lambda p: F.when(F.col("min").isNotNull(), F.kll_sketch_get_quantile_double("ranks", F.lit(p)))
+    return m.select("column", "n", ((F.col("n") - F.col("known")) / F.col("n") * 100).alias("null_pct"),
+                    F.theta_sketch_estimate("values").alias("distinct"), mean.alias("mean"), F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0)))).alias("std"), "min", "max",
+                    *[quantile(p).alias(f"q{int(100 * p)}") for p in probs])
+
+
+def profile_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """e07: (column, new_values, vanished_values, shared_values) between two periods' states, by theta differences."""
+    values = lambda s, name: s.groupBy("column").agg(F.theta_union_agg("values").alias(name))
+    j = values(old, "a").join(values(new, "b"), "column")
+    size = F.theta_sketch_estimate
+    return j.select("column", size(F.theta_difference("b", "a")).alias("new_values"), size(F.theta_difference("a", "b")).alias("vanished_values"),
+                    size(F.theta_intersection("a", "b")).alias("shared_values"))
+
+
 # Quality scorecard thresholds (completeness, accuracy, consistency >= %,
 # timeliness <= hours, uniqueness >= %).
 SCORECARD = (("completeness", ">=", 95.0), ("accuracy", ">=", 98.0), ("consistency", ">=", 95.0),
@@ -265,6 +303,76 @@ def version_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
                  count_true(F.col("_h_old") == F.col("_h_new")).alias("n_unchanged"))
 
 
+#: Leaves of the digest tree, and bits that one level of it adds.
+TREE_BITS, STEP_BITS = 16, 4
+
+
+def digest_tree(df: DataFrame, key: str, columns: list[str] | None = None, bits: int = TREE_BITS) -> DataFrame:
+    """e12: (leaf, n, digest) of a table version: rows fall into 2^bits ranges of their key's hash, and a range's digest
+    adds up its rows' 64-bit hashes (as whole numbers, twice, with different seeds).
+
+    One partial aggregate; the result has a fixed size and can be stored with the version, so that later comparisons
+    read no rows of ranges that stayed as they were.  Rows that repeat count as often; NULL keys are keys.
+    """
+    rows = _hashed_rows(df, key, columns or sorted(set(df.columns) - {key}))
+    return rows.groupBy(_leaf(bits).alias("leaf")).agg(
+        F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("digest"), F.sum(F.col("g").cast("decimal(38,0)")).alias("digest2"))
+
+
+def _leaf(bits: int) -> Column:
+    return F.shiftrightunsigned(F.col("place"), 64 - bits).cast("int")
+
+
+def _hashed_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(k, place, h, g): the key, its place in the order of key hashes, and two hashes of key and columns."""
+    cols = [F.col(f"`{c}`") if c in df.columns else F.lit(None) for c in columns]
+    marked = [x for c in cols for x in (c.isNull(), c)]
+    k = F.col(f"`{key}`")
+    return df.select(k.alias("k"), F.xxhash64(k.isNull(), k).alias("place"), F.xxhash64(k.isNull(), k, *marked).alias("h"),
+                     F.xxhash64(F.lit(7), k.isNull(), k, *marked).alias("g"))
+
+
+def changed_ranges(old: DataFrame, new: DataFrame, bits: int = TREE_BITS, step: int = STEP_BITS) -> DataFrame:
+    """Leaves in which two digest trees differ, found from the root down: a level is compared only below differences."""
+    def level(tree: DataFrame, b: int, name: str) -> DataFrame:
+        node = F.shiftright("leaf", bits - b)
+        return tree.groupBy(node.alias("node")).agg(F.struct(F.sum("n"), F.sum("digest"), F.sum("digest2")).alias(name))
+
+    open_ = None
+    for b in range(step, bits + 1, step):
+        a, c = level(old, b, "a"), level(new, b, "c")
+        if open_ is not None:
+            above = F.shiftright("node", step)
+            a, c = (x.join(F.broadcast(open_), above == F.col("parent"), "left_semi") for x in (a, c))
+        differ = a.join(c, "node", "full_outer").where(~F.col("a").eqNullSafe(F.col("c")))
+        open_ = differ.select(F.col("node").alias("parent"))           # at most 2^bits rows of one number
+    return open_.withColumnRenamed("parent", "leaf")
+
+
+def version_diff_by_ranges(old: DataFrame, new: DataFrame, key: str, old_tree: DataFrame | None = None, new_tree: DataFrame | None = None,
+                           bits: int = TREE_BITS) -> DataFrame:
+    """e12: as ``version_diff``, but only rows of key ranges with different digests are shuffled and joined.
+
+    The trees may be stored ones; else they are built, each in one pass without a shuffle of rows.  Everything in equal
+    ranges is unchanged.  Both versions have one row per key.
+    """
+    columns = sorted({*old.columns, *new.columns} - {key})
+    old_tree = cut_lineage(digest_tree(old, key, columns, bits)) if old_tree is None else old_tree
+    new_tree = cut_lineage(digest_tree(new, key, columns, bits)) if new_tree is None else new_tree
+    changed = cut_lineage(changed_ranges(old_tree, new_tree, bits))
+
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        r = _hashed_rows(df, key, columns).withColumn("leaf", _leaf(bits)).join(F.broadcast(changed), "leaf", "left_semi")
+        return r.select(F.col("k").alias(f"k{name}"), F.struct("h", "g").alias(name))
+
+    j = rows(old, "o").join(rows(new, "c"), F.col("ko").eqNullSafe(F.col("kc")), "full_outer")
+    same = F.coalesce(old_tree.join(F.broadcast(changed), "leaf", "left_anti").agg(F.sum("n")).scalar(), F.lit(0))
+    both = F.col("o").isNotNull() & F.col("c").isNotNull()
+    return j.agg(count_true(F.col("o").isNull()).alias("n_added"), count_true(F.col("c").isNull()).alias("n_removed"),
+                 count_true(both & (F.col("o") != F.col("c"))).alias("n_changed"),
+                 (count_true(both & (F.col("o") == F.col("c"))) + same).alias("n_unchanged"))
+
+
 def representation(df: DataFrame, group: str, population: DataFrame, share_col: str = "share",
                    tolerance: float = 0.2) -> DataFrame:
     """e13: dataset share vs population share per group; over / under / fair."""
@@ -304,3 +412,46 @@ def retention(df: DataFrame, ts: str, as_of, days: int) -> DataFrame:
 def k_anonymity(df: DataFrame, qi: list[str], k: int = 10) -> DataFrame:
     """e15: quasi-identifier groups with fewer than k rows."""
     return df.groupBy(*qi).agg(F.count("*").alias("n")).where(F.col("n") < k)
+
+
+def mondrian(df: DataFrame, qi: list[str], k: int = 10, most_levels: int = 60) -> tuple[DataFrame, DataFrame]:
+    """e15: (rows, groups) with numeric quasi-identifiers generalised to ranges that at least ``k`` rows share.
+
+    Mondrian: every region splits at the median of the identifier with the widest range (relative to the whole) whose
+    halves both keep k rows, level by level, all regions of a level at once; medians and counts are aggregates per region,
+    and rows meet the splits in a join.  ``rows`` are the rows of ``df`` with the column ``region``; ``groups`` has region,
+    n and every identifier's smallest and largest value.  NULL counts as smaller than every value.  Fewer than k rows
+    stay one group, which is then too small.
+    """
+    names = [f"q{i}" for i in range(len(qi))]
+    region, = [n for n in ("region", "region_", "region__") if n not in df.columns][:1]
+    low = -1.7976931348623157e308
+    own = df.withColumns({region: F.lit(1).cast("long"), **{f"__{n}": F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(low)) for n, c in zip(names, qi)}})
+    rows = cut_lineage(own)
+    whole = rows.agg(*[x for n in names for x in (F.min(F.when(F.col(f"__{n}") > low, F.col(f"__{n}"))), F.max(f"__{n}"))]).first()
+    scale = [max((whole[2 * i + 1] or 0) - (whole[2 * i] if whole[2 * i] is not None else 0), 1e-300) for i in range(len(names))]
+    for _ in range(most_levels):
+        stats = rows.groupBy(region).agg(F.count("*").alias("n"), *[x for n in names for x in (
+            F.min(f"__{n}").alias(f"lo_{n}"), F.max(f"__{n}").alias(f"hi_{n}"), F.percentile_approx(f"__{n}", 0.5, 10_000).alias(f"m_{n}"))])
+        stats = stats.where(F.col("n") >= 2 * k)
+        # A cut keeps values up to it on the left; where the median is the largest value it is moved below it.
+        below = rows.join(stats, region).groupBy(region).agg(*[F.max(F.when(F.col(f"__{n}") < F.col(f"m_{n}"), F.col(f"__{n}"))).alias(f"b_{n}") for n in names])
+        cuts = stats.join(below, region).select(region, "n", *[c for n in names for c in (
+            F.when(F.col(f"m_{n}") < F.col(f"hi_{n}"), F.col(f"m_{n}")).otherwise(F.col(f"b_{n}")).alias(f"c_{n}"), f"lo_{n}", f"hi_{n}")])
+        cuts = cut_lineage(cuts)
+        sides = rows.join(cuts, region).groupBy(region).agg(F.first("n").alias("n"), *[x for n in names for x in (
+            F.count_if(F.col(f"__{n}") <= F.col(f"c_{n}")).alias(f"l_{n}"), F.first(f"c_{n}").alias(f"c_{n}"),
+            F.first(F.col(f"hi_{n}") - F.greatest(F.col(f"lo_{n}"), F.lit(-1e307))).alias(f"w_{n}"))])
+        fits = [F.when((F.col(f"l_{n}") >= k) & (F.col("n") - F.col(f"l_{n}") >= k),
+                       F.struct((F.col(f"w_{n}") / F.lit(s)).alias("w"), F.lit(-i).alias("i"), F.col(f"c_{n}").alias("cut"))) for i, (n, s) in enumerate(zip(names, scale))]
+        best = F.greatest(*fits) if len(fits) > 1 else fits[0]
+        splits = cut_lineage(sides.select(region, best.alias("s")).where("s IS NOT NULL").select(region, (-F.col("s.i")).alias("i"), F.col("s.cut").alias("cut")))
+        if splits.isEmpty():
+            break
+        value = F.coalesce(*[F.when(F.col("i") == i, F.col(f"__{n}")) for i, n in enumerate(names)])
+        halves = rows.join(splits, region, "left").withColumn(region, F.when(F.col("i").isNull(), F.col(region)).otherwise(
+            2 * F.col(region) + (value > F.col("cut")).cast("long")))
+        rows = cut_lineage(halves.select(*rows.columns))
+    bounds = [x for n, c in zip(names, qi) for x in (F.min(F.col(f"`{c}`")).alias(f"{c}_from"), F.max(F.col(f"`{c}`")).alias(f"{c}_to"))]
+    groups = rows.groupBy(region).agg(F.count("*").alias("n"), *bounds)
+    return rows.drop(*[f"__{n}" for n in names]), groups

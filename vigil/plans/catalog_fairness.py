@@ -131,6 +131,12 @@ def l12(t):
     return L.group_thresholds(fx.scored(t), ATTRS, grid=_GRID)
 
 
+@query("l12_equalised_odds")
+def l12_odds(t):
+    """Randomised thresholds per language with equal TPR and FPR, from the groups' ROC hulls."""
+    return L.equalised_odds(fx.scored_biased(t), "lang")
+
+
 _METRIC_IDS = {"l01_demographic_parity": "demographic_parity", "l02_equal_opportunity": "equal_opportunity",
                "l03_equalized_odds": "equalized_odds", "l04_disparate_impact": "disparate_impact",
                "l05_predictive_parity": "predictive_parity"}

@@ -317,11 +317,10 @@ def h22(t):
 @query("h23_tfidf")
 def h23(t):
     """TF-IDF over every document (whole texts); rows-only check (MLlib hashing)."""
-    from pyspark.ml.functions import vector_to_array
     tf = H.tfidf(t.documents.select("doc_id", "text"), "text", 1 << 18)
-    arr = vector_to_array("tfidf")
-    return tf.select("doc_id", F.size(F.filter(arr, lambda x: x != 0)).alias("n_terms"),
-                     F.aggregate(arr, F.lit(0.0), lambda a, x: a + x).alias("tfidf_sum"))
+    values = F.unwrap_udt("tfidf")["values"]              # of the sparse vector: the document's own terms
+    return tf.select("doc_id", F.size(F.filter(values, lambda x: x != 0)).alias("n_terms"),
+                     F.aggregate(values, F.lit(0.0), lambda a, x: a + x).alias("tfidf_sum"))
 
 
 @query("h23_tfidf_terms", doubles=("tfidf_sum", "tfidf_max"), oracle="""

@@ -8,6 +8,7 @@ from vigil.operators import quality as Q
 from vigil.plans.registry import query
 from vigil.roles import DatamartRules
 from vigil.sources import fixtures as fx
+from vigil.sources import io
 from vigil.sources.fixture_sql import with_views
 
 FS, FSN = "feature_store", "feature_store_nulls"
@@ -154,6 +155,34 @@ def e07(t):
     return Q.quality_profile(cur, ref, ["user_id", "value"], ["event_type"])
 
 
+_DAYS = (("user_id", True), ("value", True), ("event_type", False))
+
+
+@query("e07_daily_profile", doubles=("null_pct", "mean", "std", "min", "max"), oracle="\nUNION ALL\n".join(f"""
+SELECT '{c}' AS "column", count(*)::BIGINT AS n, count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*) AS null_pct,
+       {"avg(" + c + "::DOUBLE)" if num else "NULL::DOUBLE"} AS mean, {"stddev_samp(" + c + "::DOUBLE)" if num else "NULL::DOUBLE"} AS std,
+       {"min(" + c + "::DOUBLE)" if num else "NULL::DOUBLE"} AS min, {"max(" + c + "::DOUBLE)" if num else "NULL::DOUBLE"} AS max
+FROM events""" for c, num in _DAYS))
+def e07_daily(t):
+    """Profile of the whole period merged from states that were written day by day (its sketches: see the tests)."""
+    states = Q.profile_states(t.events, F.to_date("ts"), ["user_id", "value"], ["event_type"])
+    path = io.work_path(t.spark, "e07-states")
+    states.write.partitionBy("day").parquet(path)
+    return Q.merged_profile(t.spark.read.parquet(path), ()).drop("distinct")
+
+
+@query("e07_value_changes", oracle="""
+WITH l AS (SELECT ts::DATE < DATE '2024-01-16' AS old, unnest([{'c': 'user_id', 'v': user_id::VARCHAR}, {'c': 'event_type', 'v': event_type}]) AS s FROM events),
+v AS (SELECT s.c AS "column", s.v AS v, bool_or(old) AS o, bool_or(NOT old) AS n FROM l GROUP BY ALL)
+SELECT "column", count(*) FILTER (WHERE n AND NOT o)::BIGINT AS new_values, count(*) FILTER (WHERE o AND NOT n)::BIGINT AS vanished_values,
+       count(*) FILTER (WHERE o AND n)::BIGINT AS shared_values FROM v GROUP BY "column\"""")
+def e07_changes(t):
+    """New, vanished and shared values of two periods from their stored sketches (exact below 16,384 values a column)."""
+    states = Q.profile_states(t.events, F.to_date("ts"), ["user_id"], ["event_type"])
+    old = F.col("day") < F.lit("2024-01-16").cast("date")
+    return Q.profile_changes(states.where(old), states.where(~old))
+
+
 @query("e08_quality_scorecard", doubles=("value", "threshold"), oracle=with_views("""
 WITH a AS (SELECT
   (1.0 - (count(*) FILTER (WHERE f_total IS NULL) + count(*) FILTER (WHERE f_disc IS NULL)
@@ -251,6 +280,21 @@ def e12(t):
     return Q.version_diff(v1, v2, "o_orderkey")
 
 
+@query("e12_diff_by_ranges", oracle=with_views("""
+SELECT count(*) FILTER (WHERE a.o_orderkey IS NULL)::BIGINT AS n_added,
+       count(*) FILTER (WHERE b.o_orderkey IS NULL)::BIGINT AS n_removed,
+       count(*) FILTER (WHERE a.o_orderkey IS NOT NULL AND b.o_orderkey IS NOT NULL AND differs)::BIGINT AS n_changed,
+       count(*) FILTER (WHERE a.o_orderkey IS NOT NULL AND b.o_orderkey IS NOT NULL AND NOT differs)::BIGINT AS n_unchanged
+FROM (SELECT a, b, a.o_custkey IS DISTINCT FROM b.o_custkey OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus
+             OR a.o_totalprice IS DISTINCT FROM b.o_totalprice OR a.o_orderdate IS DISTINCT FROM b.o_orderdate
+             OR a.o_orderpriority IS DISTINCT FROM b.o_orderpriority AS differs
+      FROM orders_v1 a FULL OUTER JOIN orders_v2 b ON a.o_orderkey = b.o_orderkey) j""", "orders_v1", "orders_v2"))
+def e12_ranges(t):
+    """Diff of two versions through their digest trees: only key ranges that differ are joined."""
+    v1, v2 = fx.orders_versions(t)
+    return Q.version_diff_by_ranges(v1, v2, "o_orderkey")
+
+
 @query("e13_representation", doubles=("dataset_share", "population_share", "ratio"), oracle="""
 SELECT n.n_nationkey AS c_nationkey, coalesce(s.share, 0.0) AS dataset_share, 1.0 / 25 AS population_share,
        coalesce(s.share, 0.0) / (1.0 / 25) AS ratio,
@@ -288,6 +332,13 @@ def e14p(t):
     return Q.pseudonymise(t.customer.select("c_custkey", "c_name", "c_mktsegment"), "c_name", "s3cr3t")
 
 
+@query("e15_mondrian")
+def e15_mondrian(t):
+    """Orders generalised to ranges of total and items that at least ten orders share: one row per range."""
+    o = fx.feature_store(t).select("id", "f_total", F.col("f_items").cast("double").alias("f_items"))
+    return Q.mondrian(o, ["f_total", "f_items"], 10)[1]
+
+
 @query("e15_k_anonymity", oracle="""
 SELECT c_nationkey, c_mktsegment, count(*)::BIGINT AS n FROM customer
 GROUP BY c_nationkey, c_mktsegment HAVING count(*) < 10""")
