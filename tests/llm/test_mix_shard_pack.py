@@ -215,3 +215,28 @@ def test_pack_edges(spark):
     assert packing.pack_documents(empty(spark), packing.public_tokenizer()).count() == 0
     out = packing.pack_documents(frame(spark, [(1, "same"), (1, "same"), (None, None)]), packing.public_tokenizer()).collect()
     assert sorted(r["offset"] for r in out) == [0, 1, 3] or len({(r["sequence_id"], r["offset"]) for r in out}) == 3
+
+
+# ---- repeated rows ----
+
+def test_rows_that_repeat_an_id_and_a_text(spark, monkeypatch):
+    """Hundreds of repeats of one row, in units of ten: slots without gaps, sequences without overlap."""
+    monkeypatch.setattr(sharding, "UNIT_ROWS", 10)
+    monkeypatch.setattr(packing, "UNIT_ROWS", 10)
+    rows = [(5, "the same words")] * 333 + [(None, "no id")] * 47 + [(k, prose(k, 30)) for k in range(100, 160)]
+    out = sharding.shard_documents(frame(spark, rows), shards=3).collect()
+    assert Counter(r["id"] for r in out) == Counter(i for i, _ in rows)
+    for shard in {r["shard"] for r in out}:
+        slots = sorted(r["slot"] for r in out if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    packed = packing.pack_documents(frame(spark, rows), packing.public_tokenizer()).collect()
+    assert Counter(r["id"] for r in packed if r["piece"] == 0) == Counter(i for i, _ in rows)
+    by = defaultdict(list)
+    for r in packed:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for those in by.values():
+        at = 0
+        for offset, length in sorted(those):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY

@@ -169,7 +169,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     NULL texts are empty and still give the end id.  Only documents above
     ``capacity`` are cut.  Pieces lie in their sequence without gaps from
     offset 0.  Repeated rows are packed each; equal lengths are told apart by a
-    hash of (id, piece), so reruns agree.  An empty table gives no rows.
+    hash of the piece, so reruns agree.  An empty table gives no rows.
     """
     pieces = saved(cut_documents(docs, tokenizer, id_col, text_col, capacity, end_id, with_ids, ranks), "pieces")
     sizes = pieces.groupBy("length").agg(F.count("*").alias("n"))
@@ -181,14 +181,20 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     # One group of at most `capacity` rows; the runs are a few times as many, whatever the corpus.
     runs = saved(sizes.groupBy(F.lit(1).alias("all")).applyInPandas(
         lambda pdf: plan(pdf), "length long, first long, n long, sequence long, each long, offset0 long"), "runs")
+    # Pieces that repeat (of rows that repeat an id and a text) are one counted row, in parts of at most UNIT_ROWS.
+    same = pieces.groupBy(*pieces.columns).agg(F.count("*").alias("copies"))
+    parts = same.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / UNIT_ROWS)))) \
+        .withColumn("rows", F.least(F.lit(UNIT_ROWS), F.col("copies") - F.col("part") * UNIT_ROWS)).drop("copies")
     units = F.ceil(F.col("n") / UNIT_ROWS)
-    spread = pieces.join(F.broadcast(sizes), "length").withColumn("unit", F.pmod(F.xxhash64("id", "piece"), units)).drop("n")
+    spread = parts.join(F.broadcast(sizes), "length").withColumn("unit", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "part"), units)).drop("n")
     earlier = Window.partitionBy("length").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (spread.groupBy("length", "unit").agg(F.count("*").alias("rows"))
-              .select("length", "unit", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("unit_start")))
-    within = Window.partitionBy("length", "unit").orderBy("id", "piece", "ids_crc32")
-    numbered = (spread.withColumn("at", F.row_number().over(within) - 1).join(starts, ["length", "unit"])
-                .withColumn("number", F.col("unit_start") + F.col("at")).drop("unit", "at", "unit_start"))
+    starts = (spread.groupBy("length", "unit").agg(F.sum("rows").alias("unit_rows"))
+              .select("length", "unit", F.coalesce(F.sum("unit_rows").over(earlier), F.lit(0)).alias("unit_start")))
+    within = Window.partitionBy("length", "unit").orderBy("id", "piece", "ids_crc32", "start", "part").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("unit_start") + F.coalesce(F.sum("rows").over(within), F.lit(0))
+    numbered = (spread.join(starts, ["length", "unit"]).withColumn("first", first)
+                .withColumn("number", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("rows") - 1)))
+                .drop("unit", "part", "rows", "unit_start", "first"))
     nth = F.col("p.number") - F.col("r.first")
     return (numbered.alias("p").join(F.broadcast(runs).alias("r"), (F.col("p.length") == F.col("r.length"))
                                      & (nth >= 0) & (nth < F.col("r.n")))

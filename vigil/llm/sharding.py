@@ -95,15 +95,20 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One group of at most 2 x packets rows.
     plan = saved(items.groupBy(F.lit(1).alias("all")).applyInPandas(
         lambda pdf: divide(pdf), "item string, shard int, first_slot long, n long"), "shard-plan")
-    # An item can hold a third of all rows: it is numbered in units, whose counts give each unit its first slot.
-    spread = placed.join(F.broadcast(plan), "item").withColumn(
-        "unit", F.pmod(F.xxhash64("id", "text_crc32"), F.ceil(F.col("n") / UNIT_ROWS)))
-    units = spread.groupBy("item", "unit").agg(F.count("*").alias("rows"))
+    # An item can hold a third of all rows: it is numbered in units, whose counts give each unit its first slot.  Rows that
+    # repeat an id and a text are one counted row, in parts of at most UNIT_ROWS, until they get their slots.
+    same = placed.groupBy("id", "size", "text_crc32", "item").agg(F.count("*").alias("copies"))
+    parts = same.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / UNIT_ROWS)))) \
+        .withColumn("rows", F.least(F.lit(UNIT_ROWS), F.col("copies") - F.col("part") * UNIT_ROWS)).drop("copies")
+    spread = parts.join(F.broadcast(plan), "item").withColumn(
+        "unit", F.pmod(F.xxhash64("id", "text_crc32", "part"), F.ceil(F.col("n") / UNIT_ROWS)))
+    units = spread.groupBy("item", "unit").agg(F.sum("rows").alias("unit_rows"))
     earlier = Window.partitionBy("item").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
-    starts = units.withColumn("unit_start", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).drop("rows")
-    within = Window.partitionBy("item", "unit").orderBy("id", "text_crc32")
-    return (spread.withColumn("at", F.row_number().over(within) - 1).join(starts, ["item", "unit"])
-            .select("id", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("unit_start") + F.col("at")).alias("slot")))
+    starts = units.withColumn("unit_start", F.coalesce(F.sum("unit_rows").over(earlier), F.lit(0))).drop("unit_rows")
+    within = Window.partitionBy("item", "unit").orderBy("id", "text_crc32", "size", "part").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("first_slot") + F.col("unit_start") + F.col("at")
+    return (spread.withColumn("at", F.coalesce(F.sum("rows").over(within), F.lit(0))).join(starts, ["item", "unit"])
+            .select("id", "size", "text_crc32", "shard", F.explode(F.sequence(first, first + F.col("rows") - 1)).alias("slot")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
