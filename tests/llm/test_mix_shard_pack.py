@@ -129,7 +129,7 @@ def test_mix_of_rows_without_ids_and_repeats(spark):
     for source in ("one", "none"):
         mine = [r for r in out if r["source"] == source]
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine) / 2 + 1e-6
-        assert len({r["epochs"] for r in mine}) == 2
+        assert len({r["epochs"] for r in mine}) == (2 if source == "one" else 1)     # "none" is capped at two epochs
     again = mixing.mix_sources(docs.repartition(5), bucket_rows=7, share=1.2).collect()
     assert sorted((str(r["digest"]), r["taken"]) for r in out) == sorted((str(r["digest"]), r["taken"]) for r in again)
 
