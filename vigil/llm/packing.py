@@ -39,17 +39,19 @@ REMEMBERED = 200_000
 # Characters beside which a blank may not split (NUL marks the cuts), and pairs that say the same of plain white space.
 _ODD = re.compile("[\0\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+# Letters beyond the Latin blocks.
+_BEYOND = re.compile("[^\0-\u024f]")
 
 
 class WordTokenizer(dict):
     """Token ids as little-endian 32-bit words, the same as the tokenizer gives for the whole text.
 
-    The tokenizer's own pre-split never crosses a single blank between two
-    other characters, so texts are cut there and the ids of a word are
+    ``ranks`` may name the same vocabulary as a rank file, which encodes whole
+    texts faster; special tokens and letters beyond the Latin blocks always take
+    the tokenizer.  Its own pre-split never crosses a single blank between two
+    other characters, so such texts are cut there and the ids of a word are
     remembered (this is the memory: word -> ids).  Texts with other blanks or
-    special tokens go in whole.  ``ranks`` may name the same vocabulary as a
-    rank file, which encodes a new word faster; letters beyond the Latin
-    blocks always take the tokenizer.
+    special tokens go in whole.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
@@ -67,7 +69,7 @@ class WordTokenizer(dict):
             self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def __missing__(self, word: str) -> bytes:
-        if self.quick and max(word, default="") < "\u0250" and not any(s in word for s in self.special):
+        if self._is_quick(word):
             ids = self.quick.encode_ordinary(word)
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -76,7 +78,12 @@ class WordTokenizer(dict):
             self[word] = out
         return out
 
+    def _is_quick(self, text: str) -> bool:
+        return self.quick is not None and not _BEYOND.search(text) and not any(s in text for s in self.special)
+
     def encode(self, text: str) -> bytes:
+        if self._is_quick(text):
+            return array("I", self.quick.encode_ordinary(text)).tobytes()
         if any(p in text for p in _PAIRS) or text[:1] == " " or text[-1:] == " " or _ODD.search(text) \
                 or any(s in text for s in self.special):
             return self[text]
