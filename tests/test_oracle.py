@@ -56,7 +56,7 @@ HOLDS = {
     "i08_grid_search_cv": _grid,
     "i09_learning_curve": _curve,
     "i10_feature_importance": _importance,
-    "l12_equalised_odds": lambda rows: len(rows) >= 3 and len({(r["tpr"], r["fpr"]) for r in rows}) == 1 and all(
+    "l12_equalised_odds": lambda rows: len(rows) >= 2 and len({(r["tpr"], r["fpr"]) for r in rows}) == 1 and all(
         0 <= r[c] <= 1 for r in rows for c in ("weight_low", "weight_hull", "coin", "tpr")) and all(r["low"] <= r["high"] for r in rows),
 }
 

@@ -159,7 +159,7 @@ def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("bin", ascending=False)
     pos, neg = pdf["positives"].sum(), pdf["negatives"].sum()
     if not pos or not neg:
-        return pd.DataFrame(columns=["group", "f", "t", "high", "low", "weight_low", "positives", "negatives"])
+        return pd.DataFrame(columns=["group", "f", "t", "high", "low", "weight_low"])
     f = np.append(0, pdf["negatives"].cumsum().to_numpy() / neg)
     t = np.append(0, pdf["positives"].cumsum().to_numpy() / pos)
     threshold = np.append(SCORE_BINS + 1, pdf["bin"].to_numpy()) / SCORE_BINS
@@ -179,7 +179,7 @@ def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
     weight = np.where(width > 0, (at - f[keep][lo]) / np.where(width > 0, width, 1), 1.0)
     rate = t[keep][lo] * (1 - weight) + t[keep][hi] * weight
     return pd.DataFrame({"group": pdf["group"].iat[0], "f": at, "t": rate, "high": threshold[keep][lo], "low": threshold[keep][hi],
-                         "weight_low": weight, "positives": pos, "negatives": neg})
+                         "weight_low": weight})
 
 
 def equalised_odds(df: DataFrame, attr: str, y: str = "y_true", prob: str = "y_prob") -> DataFrame:
@@ -187,7 +187,7 @@ def equalised_odds(df: DataFrame, attr: str, y: str = "y_true", prob: str = "y_p
 
     Every group's ROC convex hull comes from its score bins (one partial aggregate; at most SCORE_BINS rows a group).
     What all groups can reach at a false positive rate is the least of their hulls; of those points the one with the
-    most right decisions over all rows is taken.  A group reaches it by mixing two thresholds up to its hull, and a coin
+    largest TPR - FPR is taken, then the smallest FPR.  A group reaches it by mixing two thresholds up to its hull, and a coin
     of that false positive rate down from it.  Groups without both labels have no hull and no row.  NULL scores count
     as 0, NULL groups as a group.
 
@@ -197,9 +197,9 @@ def equalised_odds(df: DataFrame, attr: str, y: str = "y_true", prob: str = "y_p
     cells = df.where(F.col(y).isNotNull()).groupBy(F.col(attr).cast("string").alias("group"), bin_.alias("bin")).agg(
         F.count_if(F.col(y) == 1).alias("positives"), F.count_if(F.col(y) != 1).alias("negatives"))
     hulls = cut_lineage(cells.groupBy("group").applyInPandas(
-        _hull, "group string, f double, t double, high double, low double, weight_low double, positives long, negatives long"))
-    reach = hulls.groupBy("f").agg(F.min("t").alias("t"), F.sum("positives").alias("p"), F.sum("negatives").alias("n"))
-    best = reach.agg(F.max_by(F.struct("f", "t"), F.struct(F.col("p") * F.col("t") - F.col("n") * F.col("f"), -F.col("f")))).scalar()
+        _hull, "group string, f double, t double, high double, low double, weight_low double"))
+    reach = hulls.groupBy("f").agg(F.min("t").alias("t"))
+    best = reach.agg(F.max_by(F.struct("f", "t"), F.struct(F.col("t") - F.col("f"), -F.col("f")))).scalar()
     hull_weight = F.coalesce(F.try_divide(best.getField("t") - F.col("f"), F.col("t") - F.col("f")), F.lit(1.0))
     return hulls.where(F.col("f") == best.getField("f")).select(
         "group", "high", "low", "weight_low", F.least(F.greatest(hull_weight, F.lit(0.0)), F.lit(1.0)).alias("weight_hull"), F.col("f").alias("coin"),
