@@ -124,6 +124,32 @@ def test_base_scores(spark, head):
     assert all(r["score"] < 0 and r["bits_per_byte"] is None or r["bits_per_byte"] > 0 for r in out if r["n_bytes"])
 
 
+def thue_morse(swap: int) -> str:
+    bits = [swap]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits)
+
+
+def test_words_that_clash_in_polynomial_hashes(spark):
+    """Two words of 1,024 letters whose polynomial hashes modulo 2^64 are equal, in training and held-out texts."""
+    rows = [(k, " ".join([thue_morse(k % 3 == 0)] * (k % 4 + 1) + [f"w{k}"])) for k in range(40)]
+    out = lm_score.score_documents(frame(spark, rows)).collect()
+    got = sorted((r["id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out)
+    assert got == sorted(tuple(x[:5]) + (round(x[5], 6),) for x in base_by_hand(rows))
+
+
+def test_scores_by_word_and_by_partitions(spark):
+    """Joining by word instead of by hash, and other partitions and orders of the rows, change no score."""
+    rows = edge_rows() + [(100 + k, prose(k, 40) + f" own{k}x " + prose(k % 9, 30)) for k in range(150)]
+    docs = frame(spark, rows)
+    runs = [lm_score.score_documents(d, head_words=h, by_word=w).collect()
+            for d, h, w in [(docs.coalesce(1), lm_score.HEAD, False), (docs.repartition(7, "text"), lm_score.HEAD, False), (docs.repartition(40), 5, True)]]
+    texts = [sorted((str(r["id"]), r["n_bytes"], round(r["score"], 8), round(r["base_score"], 8), r["n_known"]) for r in x) for x in runs]
+    assert texts[0] == texts[1]
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 and a[4] == b[4] for a, b in zip(texts[0], texts[2]))
+
+
 def test_head_and_join_agree(spark):
     rows = [(k, prose(k % 90, 60)) for k in range(150)]
     a, b = ({r["id"]: r["score"] for r in lm_score.score_documents(frame(spark, rows), head_words=h).collect()} for h in (lm_score.HEAD, 3))

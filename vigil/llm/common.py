@@ -97,18 +97,51 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+#: Bits of the first k bytes of a little-endian block.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _block(whole: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The up to 8 bytes, at most ``left``, from every position ``at`` of the text in aligned words of 8 bytes."""
+    i, shift = at >> 3, (at.astype(np.uint64) & np.uint64(7)) << np.uint64(3)
+    high = (whole[i + 1] << (np.uint64(63) - shift)) << np.uint64(1)
+    return (whole[i] >> shift | high) & _BYTES[np.minimum(left, 8)]
+
+
 def word_hashes(raw: bytes) -> np.ndarray:
     """64-bit hashes of the words of a UTF-8 text (maximal runs without ASCII white space), in order."""
+    return _hashes_at(raw)[1]
+
+
+def word_hashes_of(raws: list[bytes]) -> list[np.ndarray]:
+    """``word_hashes`` of every text, in one pass over all of them."""
+    starts, h = _hashes_at(b" ".join(raws))
+    return np.split(h, np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raws[:-1]]))) if raws else []
+
+
+def _hashes_at(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start of every word, its hash).
+
+    A word is cut into blocks of 8 bytes; every block is mixed with its place
+    before they are added, so no sum of blocks is a polynomial of the bytes."""
     b = np.frombuffer(raw, np.uint8)
     solid = ~_IS_WHITE[b]
     edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
-        return np.empty(0, np.uint64)
-    up, down = _powers(len(b) + 1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * up[:-1], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        return starts, np.empty(0, np.uint64)
+    whole = np.frombuffer(raw + bytes(16 - len(raw) % 8), "<u8")
+    lengths = ends - starts
+    total = mix64(_block(whole, starts, lengths) + _ODD)
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        more = (lengths[long] - 1) >> 3
+        first = np.cumsum(more) - more
+        place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        at = np.repeat(starts[long], more) + 8 * place
+        block = _block(whole, at, np.repeat(ends[long], more) - at)
+        total[long] += np.add.reduceat(mix64(mix64(block) + place.astype(np.uint64) * _ODD), first)
+    return starts, mix64(total + lengths.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def shingle_words(raw: bytes, width: int = 5) -> np.ndarray:
