@@ -13,37 +13,71 @@ import corpus_pipeline
 from tests.conftest import MEDIUM, SMALL
 from tests.llm.helpers import edge_rows, empty, frame, prose
 from vigil.llm import context_mixing, lm_score, queries, quality
-from vigil.llm.quality import ORDER, REPEAT, SYMBOLS
+from vigil.llm.quality import REPEAT
 
 
 # ---- Kneser-Ney ----
 
-def test_kneser_ney_sums_to_one():
-    r = np.random.default_rng(1)
-    counts = np.zeros(SYMBOLS ** ORDER, np.int64)
-    s = r.integers(5, 12, 4000).astype(np.uint8)
-    k, n = np.unique(quality.ngrams_of(s), return_counts=True)
-    counts[k] = n
-    p = np.exp(quality.kneser_ney(counts)).reshape(-1, SYMBOLS)
-    assert np.allclose(p.sum(axis=1), 1.0) and (p > 0).all()
-
-
-def test_kneser_ney_lower_order_counts_contexts():
-    """'b' comes often but after one symbol only: after an unseen context it is less likely than 'c', seen after many."""
-    counts = np.zeros(SYMBOLS ** ORDER, np.int64)
-    text = np.array(([6, 7] * 200) + [8, 20, 8, 21, 8, 22, 8, 23, 8, 24, 8] + [20, 8, 21, 8], np.uint8)
-    k, n = np.unique(quality.ngrams_of(text), return_counts=True)
-    counts[k] = n
-    row = quality.kneser_ney(counts).reshape(-1, SYMBOLS)[quality.ngrams_of(np.array([30, 31, 32, 0], np.uint8))[-1] // SYMBOLS]
-    assert row[8] > row[7]
+TRUSTED = [("en", prose(k, 30)) for k in range(12)] + [("zh", "日本語の本 3 本 本 語 Text"), ("zh", "語の本日 本語 日日")]
+
+
+def kneser_ney_by_hand(texts):
+    """probability(symbols, position) of interpolated modified Kneser-Ney over the texts, with dictionaries."""
+    counts = Counter()
+    for t in texts:
+        s = (0, 0, 0, *quality.symbols_of(t).tolist())
+        counts.update(s[k - 3:k + 1] for k in range(3, len(s)))
+    levels = {4: counts}
+    for k in (3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(levels[1]) + 1)
+        rows = {g: n for g, n in levels[k].items() if g[:-1] == gram[:-1]}
+        if not rows:
+            return p(gram[1:])
+        n = [max(1, sum(v == i for v in levels[k].values())) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [0] + [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05 * i), i) for i in (1, 2, 3)]
+        cut = {g: d[min(v, 3)] for g, v in rows.items()}
+        return (rows.get(gram, 0) - cut.get(gram, 0) + sum(cut.values()) * p(gram[1:])) / sum(rows.values())
+
+    return p, levels
+
+
+def test_kneser_ney_by_hand(spark):
+    """Both ways of meeting the model give the loss of a plain-Python model, for any alphabet, and probabilities sum to one."""
+    model = quality.kneser_ney(quality.ngram_counts(spark.createDataFrame(TRUSTED, "lang string, text string")))
+    asked = [("en", prose(3, 30)), ("en", prose(99, 12) + " Ünseen 日 77"), ("en", ""), ("zh", "日本語 本語の 新 本 本"), ("zh", "日本語 本語の 新 本 本")]
+    texts = spark.createDataFrame(asked, "lang string, text string")
+    for most in (quality.MOST_BROADCAST, 0):
+        got = sorted((r["lang"], r["text"], r["s"]["n"], r["s"]["loss"]) for r in quality.with_loss(texts, model, most).collect())
+        for (lang, text, n, loss), (_, t) in zip(got, sorted(asked)):
+            p, _ = kneser_ney_by_hand([x for k, x in TRUSTED if k == lang])
+            s = (0, 0, 0, *quality.symbols_of(text).tolist())
+            assert text == t and n == len(s) - 3
+            assert abs(loss + sum(math.log(p(s[k - 3:k + 1])) for k in range(3, len(s)))) < 1e-6
+    p, levels = kneser_ney_by_hand([x for k, x in TRUSTED if k == "zh"])
+    for context in list(levels[4])[:5]:
+        assert abs(sum(p((*context[:3], s)) for (s,) in levels[1]) + p((*context[:3], -1)) - 1) < 1e-9
 
 
 def test_symbols():
-    table = quality.symbol_table("abcdehtx ")
-    assert len(quality.symbols_of("", table)) == 0
-    s = quality.symbols_of("the the the cat", table)
+    assert len(quality.symbols_of("")) == 0
+    s = quality.symbols_of("the the the cat")
     assert s.tolist().count(REPEAT) == 2 and len(s) == 3 + 2 + 4
-    assert quality.symbols_of("X1", table).tolist() == [quality.CAPITAL, quality.DIGIT]
+    assert quality.symbols_of("X1").tolist() == [quality.CAPITAL, quality.DIGIT]
+    assert len(set(quality.symbols_of("".join(map(chr, range(0x4E00, 0x9000)))).tolist())) == 0x9000 - 0x4E00
+
+
+def test_quality_joins_agree(spark):
+    """The whole operator with the model broadcast and joined."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    a, b = ({r["id"]: (r["rejected"], round(r["loss"], 6)) for r in quality.quality_scores(docs, labels, most_broadcast=m)
+             .select(F.col("row.doc_id").alias("id"), "rejected", "loss").collect()} for m in (quality.MOST_BROADCAST, 0))
+    assert a == b and len(a) == docs.count()
 
 
 def test_quality_on_labels(spark):
