@@ -53,7 +53,8 @@ def test_kneser_ney_by_hand(spark):
     asked = [("en", prose(3, 30)), ("en", prose(99, 12) + " Ünseen 日 77"), ("en", ""), ("zh", "日本語 本語の 新 本 本"), ("zh", "日本語 本語の 新 本 本")]
     texts = spark.createDataFrame(asked, "lang string, text string")
     for most in (quality.MOST_BROADCAST, 0):
-        got = sorted((r["lang"], r["text"], r["s"]["n"], r["s"]["loss"]) for r in quality.with_loss(texts, model, most).collect())
+        got = sorted((r["lang"], r["text"], r["s"]["n"], r["s"]["loss"]) for r in
+                     quality.with_loss(texts, model, quality.tables_of(model, most)).collect())
         for (lang, text, n, loss), (_, t) in zip(got, sorted(asked)):
             p, _ = kneser_ney_by_hand([x for k, x in TRUSTED if k == lang])
             s = (0, 0, 0, *quality.symbols_of(text).tolist())
