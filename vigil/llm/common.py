@@ -10,13 +10,14 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.session import ensure_checkpoint_dir
 from vigil.sources.tables import read_table
 
-__all__ = ["read_table", "saved", "remove_saved", "unused", "columns_of", "text_of", "crc32_of", "mix64", "shingle_words", "WHITE"]
+__all__ = ["read_table", "saved", "remove_saved", "collected", "unused", "columns_of", "text_of", "crc32_of", "mix64", "shingle_words", "WHITE"]
 
 #: ASCII white space: the bytes and code points between words.
 WHITE = r"[\x20\x09-\x0D]"
@@ -42,6 +43,12 @@ def remove_saved(spark: SparkSession) -> int:
     return n
 
 
+def collected(df: DataFrame) -> pd.DataFrame:
+    """The rows of a table of bounded size in the driver, as Arrow columns whatever the session's setting: without
+    them each row is a Python object first, which takes some ten times the memory."""
+    return df.toArrow().to_pandas()
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores behind those that ``df`` has already."""
     taken, out = {c.lower() for c in df.columns}, []
