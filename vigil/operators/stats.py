@@ -125,7 +125,7 @@ def chi_square_mllib(df: DataFrame, features: list[str], label: str) -> DataFram
     return ChiSquareTest.test(x.select("_v", F.col(label).cast("double").alias(label)), "_v", label, flatten=True)
 
 
-#: Cells of up to so many rows draw one Poisson(1) per row, larger ones a single Poisson of the cell.
+#: Cells without a key: up to so many rows draw one Poisson(1) per row, larger ones a single Poisson of the cell.
 EXACT_ROWS = 256
 
 
@@ -142,21 +142,29 @@ def poisson_of_cell(n: Column, name: Column, i: Column, seed: int) -> Column:
 
 
 def bootstrap_difference(scored: DataFrame, y: str, p1: str, p2: str, n_boot: int = 200, seed: int = 42,
-                         metric: str = "accuracy") -> DataFrame:
+                         metric: str = "accuracy", key: str | None = None) -> DataFrame:
     """g05: Poisson bootstrap of metric(p2) - metric(p1) (accuracy or recall).
 
-    A replicate weighs every row by an independent Poisson(1), so a cell of n rows with the same (y, hit1, hit2)
-    weighs Poisson(n): rows are counted once, and the replicates draw per cell, at a cost that does not depend on
-    the number of rows.  Two-tailed p = 2 min(P(d <= 0), P(d >= 0)); 95 % CI from replicate percentiles.
+    With ``key`` every row gets an independent Poisson(1) weight per replicate from the hash of its key; the replicate
+    explode is pipelined straight into a partial aggregate to (replicate, y, hit1, hit2) cells, so nothing of size
+    rows x B is materialised.  Rows that share a key share their weights.  Without a key rows cannot be told apart:
+    a cell of n rows with the same (y, hit1, hit2) draws its weight as a whole (``poisson_of_cell``).
+    Two-tailed p = 2 min(P(d <= 0), P(d >= 0)); 95 % CI from replicate percentiles.
     """
     hit1 = (F.col(p1) == F.col(y)).cast("int")
     hit2 = (F.col(p2) == F.col(y)).cast("int")
-    counts = scored.groupBy(F.col(y).alias("_y"), hit1.alias("_h1"), hit2.alias("_h2")).agg(F.count("*").alias("n"))
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    reps = counts.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b"))
-    draws = reps.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("n") <= EXACT_ROWS, F.col("n")).otherwise(1))).alias("i"))
-    name = F.concat_ws("#", text("_y"), text("_h1"), text("_h2"), F.col("b").cast("string"))
-    cells = draws.groupBy("b", "_y", "_h1", "_h2").agg(F.sum(poisson_of_cell(F.col("n"), name, F.col("i"), seed)).alias("w"))
+    own = [F.col(y).alias("_y"), hit1.alias("_h1"), hit2.alias("_h2")]
+    b = F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b")
+    if key is None:
+        reps = scored.groupBy(*own).agg(F.count("*").alias("n")).select("*", b)
+        text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+        name = F.concat_ws("#", text("_y"), text("_h1"), text("_h2"), F.col("b").cast("string"))
+        draws = reps.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("n") <= EXACT_ROWS, F.col("n")).otherwise(1))).alias("i"))
+        w = poisson_of_cell(F.col("n"), name, F.col("i"), seed)
+    else:
+        draws = scored.select(F.col(key).cast("string").alias("_k"), *own).select("*", b)
+        w = poisson1_weight(md5_uniform(F.concat(F.col("_k"), F.lit("#"), F.col("b").cast("string")), seed))
+    cells = draws.groupBy("b", "_y", "_h1", "_h2").agg(F.sum(w).alias("w"))
     if metric == "recall":
         num1 = F.sum(F.when(F.col("_y") == 1, F.col("w") * F.col("_h1")))
         num2 = F.sum(F.when(F.col("_y") == 1, F.col("w") * F.col("_h2")))

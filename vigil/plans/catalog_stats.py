@@ -108,16 +108,11 @@ def g04(t):
 
 
 def _boot_sql(B: int = 200) -> str:
-    name = "concat_ws('#', y_true, h1, h2, b)"
-    u = lambda tag: md5u(f"{name} || '#' || {tag}")
-    z = f"sqrt(-2.0 * ln(greatest({u(chr(39) + 'u' + chr(39))}, 1e-12))) * cos(2 * pi() * {u(chr(39) + 'v' + chr(39))})"
+    u = md5u("cast(id AS VARCHAR) || '#' || cast(b AS VARCHAR)")
     return with_views(f"""
-WITH counts AS (SELECT y_true, (y_pred = y_true)::INTEGER AS h1, ((y_prob > 0.5)::INTEGER = y_true)::INTEGER AS h2, count(*) AS n
-                FROM scored GROUP BY ALL),
-reps AS (SELECT * FROM counts, range(1, {B + 1}) r(b)),
-small AS (SELECT b, h1, h2, {poisson1(u('i::VARCHAR'))} AS w FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM reps WHERE n <= 256) s),
-large AS (SELECT b, h1, h2, greatest(0.0, round(n + sqrt(n) * z + (z * z - 1) / 6)) AS w FROM (SELECT *, {z} AS z FROM reps WHERE n > 256) l),
-w AS (SELECT * FROM small UNION ALL SELECT * FROM large),
+WITH base AS (SELECT id, y_true, (y_pred = y_true)::INTEGER AS h1, ((y_prob > 0.5)::INTEGER = y_true)::INTEGER AS h2
+              FROM scored),
+w AS (SELECT b, h1, h2, {poisson1(u)} AS w FROM base, range(1, {B + 1}) r(b)),
 per AS (SELECT b, sum(w * h2) / nullif(sum(w), 0) - sum(w * h1) / nullif(sum(w), 0) AS d FROM w GROUP BY b)
 SELECT avg(d) AS mean_difference, quantile_cont(d, 0.025) AS ci_lower, quantile_cont(d, 0.975) AS ci_upper,
        least(1.0, 2 * least(avg((d <= 0)::INTEGER::DOUBLE), avg((d >= 0)::INTEGER::DOUBLE))) AS p_value,
@@ -128,7 +123,7 @@ SELECT avg(d) AS mean_difference, quantile_cont(d, 0.025) AS ci_lower, quantile_
 def g05(t):
     """Paired Poisson bootstrap (200 replicates) of accuracy(probability model) - accuracy(length rule)."""
     s = fx.scored(t).withColumn("p2", (F.col("y_prob") > 0.5).cast("int"))
-    return S.bootstrap_difference(s, "y_true", "y_pred", "p2", 200, 42)
+    return S.bootstrap_difference(s, "y_true", "y_pred", "p2", 200, 42, key="id")
 
 
 @query("g06_bonferroni", doubles=("statistic", "p_value", "mean_group_0", "mean_group_1", "p_adjusted"),
