@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.ranks import exact_quantiles
 from vigil.llm.common import collected, columns_of, read_table, saved, text_of, word_hashes
 
 ORDER = 4
@@ -29,8 +30,6 @@ BEGIN, REPEAT, CAPITAL, DIGIT, FIRST_OWN = range(5)
 #: Rows of a model, over all languages and orders, that are broadcast (24 bytes each); symbols that its keys tell apart.
 MOST_BROADCAST = 1 << 20
 MOST_SYMBOLS = (1 << 16) - 1
-#: The classifier is fitted on at most so many trusted documents, those with the smallest hash of their id.
-TRAIN_DOCS = 20_000
 #: Share of the trusted documents of a language that lie under its limit.
 QUANTILE = 0.998
 #: Above the quantile by this much of the mean log loss, as trusted text is not all there is.
@@ -40,6 +39,8 @@ PRIOR = 150
 #: A language with fewer trusted documents takes the model of all languages.
 LEAST_DOCS = 100
 ALL = "*"
+#: Up to so many ids of trusted documents are broadcast to the texts; more meet them in a shuffled join.
+MOST_IDS = 1 << 20
 #: Documents whose n-grams a task counts together.
 COUNT_AT_ONCE = 1000
 
@@ -143,7 +144,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         of = levels[k].groupBy("lang").agg(*[F.greatest(F.count(F.when(F.col("n") == i, 1)), F.lit(1)).alias(f"n{i}") for i in (1, 2, 3, 4)])
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         cut = [F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.05 * i)), F.lit(float(i))).alias(f"d{i}") for i in (1, 2, 3)]
-        # One row per language of the trusted sample, so at most train_docs of them.
+        # One row per language that has a model of its own (LEAST_DOCS trusted documents), and one for ALL.
         rows = saved(levels[k].join(F.broadcast(of.select("lang", *cut)), "lang").select(
             "lang", "context", "symbol", "n", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d")),
             "cut")
@@ -268,38 +269,44 @@ def _joined_loss(texts: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                   train_docs: int = TRAIN_DOCS, quantile: float = QUANTILE, margin: float = MARGIN,
-                   most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+                   quantile: float = QUANTILE, margin: float = MARGIN, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(row, loss, loss_limit, n, perplexity, rejected) per row of ``docs``, which is the struct ``row``.
 
     ``loss`` is the log loss per symbol, short texts drawn to their language's
-    mean.  Trusted: the documents that ``labels`` (doc_id, quality) call quality
-    1, at most ``train_docs`` of them.  A document is rejected when its loss is
-    above the limit.  A language without enough trusted text (NULL is one) takes
+    mean.  Trusted: all documents that ``labels`` (doc_id, quality) call quality
+    1; counts, discounts, means and limits come from every one of them.  A
+    document is rejected when its loss is above the limit.  A language without enough trusted text (NULL is one) takes
     the model and limit of all languages.  NULL and empty texts have perplexity
     1 and stay; without any trusted text the limit is NULL and everything stays.
     Repeated rows and rows without an id are scored each; an empty table gives
     no rows.
     """
     every_row = F.struct(*columns_of(docs)).alias("row")
-    ids = (labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
-           .orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(train_docs))
+    ids = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("trusted_id"))
+    if ids.count() <= MOST_IDS:
+        ids = F.broadcast(ids)
     own = docs.select(F.col(id_col).alias("trusted_id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
-    trusted = saved(own.join(F.broadcast(ids), "trusted_id").filter("text <> ''").select("lang", "text"), "trusted")
-    counts = {r["lang"]: r["n"] for r in trusted.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    trusted = saved(own.join(ids, "trusted_id", "left_semi").filter("text <> ''").select("lang", "text"), "trusted")
+    if trusted.isEmpty():
         none = F.lit(None).cast("double")
         return docs.select(every_row, none.alias("loss"), none.alias("loss_limit"), F.lit(None).cast("long").alias("n"),
                            none.alias("perplexity"), F.lit(False).alias("rejected"))
-    large = [k for k, n in counts.items() if k is not None and n >= LEAST_DOCS]
-    every = trusted.withColumn("lang", F.lit(ALL)).union(trusted.filter(F.col("lang").isin(large)))
-    model = kneser_ney(ngram_counts(trusted.withColumn("lang", F.when(F.col("lang").isin(large), F.col("lang")))))
+    large = [r["lang"] for r in trusted.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCS).collect()]
+    # The model of all languages is made where a document takes it.
+    others = not docs.filter(F.coalesce(~F.col(lang_col).cast("string").isin(large), F.lit(True))).isEmpty()
+    every = trusted.filter(F.col("lang").isin(large))
+    counts = ngram_counts(trusted.withColumn("lang", F.when(F.col("lang").isin(large), F.col("lang"))))
+    if others or not large:
+        every = every.union(trusted.withColumn("lang", F.lit(ALL)))
+    else:
+        counts = counts.filter(F.col("lang") != ALL)
+    model = kneser_ney(counts)
     shared = tables_of(model, most_broadcast)
     fitted = saved(with_loss(every, model, shared).select("lang", "s.*"), "trusted-loss")
     means = fitted.groupBy("lang").agg((F.sum("loss") / F.sum("n")).alias("mean"))
-    drawn = (F.col("loss") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
-    limits = (fitted.join(F.broadcast(means), "lang").groupBy("lang", "mean")
-              .agg((F.percentile(drawn, quantile) + margin * F.first("mean")).alias("limit")).collect())   # a row per language
+    drawn = fitted.join(F.broadcast(means), "lang").select("lang", ((F.col("loss") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)).alias("drawn"))
+    limits = (exact_quantiles(drawn, ["lang"], "drawn", [quantile]).join(means, "lang")
+              .select("lang", "mean", (F.col("value_q") + margin * F.col("mean")).alias("limit")).collect())   # a row per language
     known = F.when(F.col(lang_col).isin(large), F.col(lang_col).cast("string")).otherwise(F.lit(ALL))
     by = {r["lang"]: r for r in limits}
     pick = {k: F.create_map(*[F.lit(x) for r in by.values() for x in (r["lang"], r[k])])[F.col("lang")] for k in ("mean", "limit")}
