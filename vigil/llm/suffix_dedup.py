@@ -30,7 +30,7 @@ from vigil.llm.suffix_array import common_prefixes, suffix_array
 LENGTH = 100
 ANCHOR = 24
 #: Bytes of segments in one suffix array.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 18
 #: Groups of equal texts with more than 1 / HOT_PARTS of all rows are set aside first; there are at most HOT_PARTS.
 HOT_PARTS = 10_000
 #: Different segments of one anchor that one task compares.
@@ -153,11 +153,12 @@ def _compare_runs(anchors: DataFrame, frequent: np.ndarray) -> DataFrame:
     return dealt.mapInPandas(run, "h long, doc long, key long, run long, open boolean")
 
 
-def repeated_windows(raws: list[bytes], groups: np.ndarray, seen: np.ndarray | None = None, length: int = LENGTH) -> tuple[list[np.ndarray], np.ndarray]:
+def repeated_windows(raws: list[bytes], groups: np.ndarray, seen: list[np.ndarray] | None = None, length: int = LENGTH) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """(per segment which windows occurred before, the last group's windows).
 
-    Segments come in order within their group; ``seen`` holds, sorted, the
-    windows that earlier shards found in the first group.
+    Segments come in order within their group; ``seen`` holds the windows that
+    earlier shards found in the first group, a sorted array per shard and none
+    of them twice: they are searched one by one and never merged into a copy.
     """
     text = np.frombuffer(b"".join(raws), np.uint8)
     lengths = np.array([len(r) for r in raws])
@@ -175,14 +176,14 @@ def repeated_windows(raws: list[bytes], groups: np.ndarray, seen: np.ndarray | N
         view = np.lib.stride_tricks.sliding_window_view(text, length)[mine] if len(mine) else np.empty((0, length), np.uint8)
         return mine, np.ascontiguousarray(view).view(f"V{length}").ravel()
 
-    if seen is not None and len(seen):
+    for earlier in seen or []:
         mine, own = windows(groups[0])
-        at = _search(seen, own)
-        before[mine[at >= 0]] = True
-    mine, own = windows(groups[-1])
-    keep = np.sort(_text(own))
-    if seen is not None and groups[0] == groups[-1]:
-        keep = np.union1d(seen, keep)
+        if len(mine) and len(earlier):
+            at = _search(earlier, own)
+            before[mine[at >= 0]] = True
+    keep = _text(windows(groups[-1])[1])
+    keep.sort()
+    keep = [*(seen or [] if groups[0] == groups[-1] else []), keep]
     return [before[s:s + n - length + 1] for s, n in zip(starts, lengths)], keep
 
 
