@@ -7,6 +7,9 @@ training); cross-validation reuses the deterministic folds of
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -36,19 +39,31 @@ def _as_double(df: DataFrame, features: list[str], label: str) -> DataFrame:
                            label: F.col(label).cast("double")})
 
 
+#: Rows of a training task: a forest of 100 trees holds some 450 bytes of each in its cache.
+ROWS_A_TASK = 200_000
+
+
+def _held(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that a fit reads, written once, as its passes would compute the input again, and dealt out where a
+    task had more than ROWS_A_TASK rows."""
+    rows = cut_lineage(df.select(*columns))
+    parts = -(-rows.count() // ROWS_A_TASK)
+    return rows.repartition(parts) if parts > rows.rdd.getNumPartitions() else rows
+
+
 def train_random_forest(df: DataFrame, features: list[str], label: str = "target", num_trees: int = 100,
                         max_depth: int = 10, seed: int = 42) -> PipelineModel:
     """i01: imputer -> assembler -> random forest (100 trees, depth 10, seed 42)."""
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees,
                                 maxDepth=max_depth, seed=seed)
-    return Pipeline(stages=[*_prep(features), rf]).fit(_as_double(df, features, label))
+    return Pipeline(stages=[*_prep(features), rf]).fit(_held(_as_double(df, features, label), [*features, label]))
 
 
 def train_boosted_trees(df: DataFrame, features: list[str], label: str = "target", max_iter: int = 100,
                         max_depth: int = 5, seed: int = 42) -> PipelineModel:
     """i02: gradient-boosted trees (the boosted-tree variants of the reference)."""
     gbt = GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=max_depth, seed=seed)
-    return Pipeline(stages=[*_prep(features), gbt]).fit(_as_double(df, features, label))
+    return Pipeline(stages=[*_prep(features), gbt]).fit(_held(_as_double(df, features, label), [*features, label]))
 
 
 def predict(model: PipelineModel, df: DataFrame, features: list[str], label: str | None = None) -> DataFrame:
@@ -99,26 +114,30 @@ def grid_by_fits(df: DataFrame, features: list[str], label: str, fold_col: str,
 
 
 def learning_curve(df: DataFrame, features: list[str], label: str, key: str, fold_col: str, estimator=None,
-                   fractions=tuple(i / 10 for i in range(1, 11)), seed: int = 42, num_folds: int = 5) -> DataFrame:
+                   fractions=tuple(i / 10 for i in range(1, 11)), seed: int = 42, num_folds: int = 5,
+                   parallelism: int = 4) -> DataFrame:
     """i09: mean train and validation recall over the folds for nested training subsets (keyed-hash fraction)
     of ``estimator`` (a classifier on ``features``; default logistic regression).
 
-    One fit per (fraction, fold); its two recalls are one row on the driver."""
+    One fit per (fraction, fold), ``parallelism`` of them at a time as in ``CrossValidator``, on the columns that a
+    fit reads; its two recalls are one row on the driver."""
     model = estimator or LogisticRegression(featuresCol="features", labelCol=label, maxIter=50)
     pipe = Pipeline(stages=[*_prep(features), model])
-    base = cut_lineage(_as_double(df, features, label).withColumn("_u", md5_uniform(key, seed)))
-    rows = []
-    for fr in fractions:
-        for fold in range(num_folds):
-            sub = base.where((F.col(fold_col) != fold) & (F.col("_u") < fr))
-            fitted = pipe.fit(sub)
-            scored = predict(fitted, sub.withColumn("_part", F.lit("train")).unionByName(
-                base.where(F.col(fold_col) == fold).withColumn("_part", F.lit("valid"))), features, label)
-            m = {r["_part"]: r for r in scored.groupBy("_part").agg(
-                F.count("*").alias("n"), F.count_if((F.col(label) == 1) & (F.col("prediction") == 1)).alias("tp"),
-                F.count_if(F.col(label) == 1).alias("pos")).collect()}
-            recall = lambda p: m[p]["tp"] / m[p]["pos"] if p in m and m[p]["pos"] else None
-            rows.append((float(fr), fold, m["train"]["n"] if "train" in m else 0, recall("train"), recall("valid")))
+    base = _held(_as_double(df, features, label).withColumn("_u", md5_uniform(key, seed)), [*features, label, fold_col, "_u"])
+
+    def point(fr: float, fold: int) -> tuple:
+        sub = base.where((F.col(fold_col) != fold) & (F.col("_u") < fr))
+        fitted = pipe.copy().fit(sub)
+        scored = predict(fitted, sub.withColumn("_part", F.lit("train")).unionByName(
+            base.where(F.col(fold_col) == fold).withColumn("_part", F.lit("valid"))), features, label)
+        m = {r["_part"]: r for r in scored.groupBy("_part").agg(
+            F.count("*").alias("n"), F.count_if((F.col(label) == 1) & (F.col("prediction") == 1)).alias("tp"),
+            F.count_if(F.col(label) == 1).alias("pos")).collect()}
+        recall = lambda p: m[p]["tp"] / m[p]["pos"] if p in m and m[p]["pos"] else None
+        return float(fr), fold, m["train"]["n"] if "train" in m else 0, recall("train"), recall("valid")
+
+    with ThreadPool(parallelism) as pool:
+        rows = pool.starmap(inheritable_thread_target(df.sparkSession)(point), [(fr, fold) for fr in fractions for fold in range(num_folds)], 1)
     return (df.sparkSession.createDataFrame(rows, "fraction double, fold int, n_train long, train_recall double, validation_recall double")
             .groupBy("fraction").agg(F.avg("n_train").alias("n_train"), F.avg("train_recall").alias("train_recall"),
                                      F.avg("validation_recall").alias("validation_recall")))

@@ -13,6 +13,7 @@ from vigil.plans.registry import query
 from vigil.sources import fixtures as fx
 from vigil.sources import io
 from vigil.sources.fixture_sql import with_views
+from vigil.session import cut_lineage
 
 NUM = ["f_total", "f_items", "f_disc"]
 
@@ -158,6 +159,11 @@ def i15(t):
 
 # ---------------------------------------------------------------- trained models (rows-only)
 
+def _scores(pred):
+    """The columns that the metrics read, predicted once."""
+    return cut_lineage(pred.select("target", "prediction", "probability_1"))
+
+
 def _trained(t, kind: str):
     train, test = fx.train_rows(t), fx.test_rows(t)
     model = (T.train_random_forest(train, NUM, "target") if kind == "rf"
@@ -168,14 +174,14 @@ def _trained(t, kind: str):
 @query("i01_random_forest")
 def i01(t):
     """Random forest (100 trees, depth 10, seed 42) trained before 2000, evaluated after."""
-    _, pred = _trained(t, "rf")
+    pred = _scores(_trained(t, "rf")[1])
     return V.classification_metrics(pred, "target", "prediction").withColumn(
         "auc", V.auc(pred, "target", "probability_1").scalar())
 
 
 @query("i02_boosted_trees")
 def i02(t):
-    _, pred = _trained(t, "gbt")
+    pred = _scores(_trained(t, "gbt")[1])
     return V.classification_metrics(pred, "target", "prediction").withColumn(
         "auc", V.auc(pred, "target", "probability_1").scalar())
 
