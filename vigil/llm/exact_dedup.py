@@ -91,12 +91,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     smallest id, NULL before all others; of rows that repeat an id and a text one stays.  An empty table stays empty.
     """
     found = exact_dedup(docs, id_col, text_col)
-    key, sha, n = unused(docs, "__id", "__sha", "__n")
-    keys = found.filter("kept").select(F.col("id").alias("k_id"), F.col("text_sha256").alias("k_sha"), F.col("n_chars").alias("k_n")).distinct()
-    own = docs.select(*columns_of(docs), F.col(id_col).alias(key), F.sha2(normalised(text_of(text_col)), 256).alias(sha),
+    key, sha, n = unused(docs, "__key", "__sha", "__n")
+    # Structs compare their NULLs as equal, so one exchange by the key serves the repeats and the join, and texts move
+    # once; of repeated rows every task sends one.  The join is an inner one, as a semi-join is planned below the aggregate.
+    kept = found.filter("kept").select(F.struct("id").alias(key), F.col("text_sha256").alias(sha), F.col("n_chars").alias(n)).distinct()
+    own = docs.select(*columns_of(docs), F.struct(F.col(id_col).alias("id")).alias(key),
+                      F.coalesce(F.sha2(normalised(text_of(text_col)), 256), F.lit("")).alias(sha),    # never NULL: no filter hashes again
                       F.length(text_of(text_col)).cast("long").alias(n))
-    on = (own[key].eqNullSafe(keys["k_id"])) & (own[sha] == keys["k_sha"]) & (own[n] == keys["k_n"])
-    return own.join(keys, on, "left_semi").dropDuplicates([key, sha, n]).drop(key, sha, n)
+    return own.dropDuplicates([key, sha, n]).join(kept, [key, sha, n]).drop(key, sha, n)
 
 
 # ---- the registered query ----
