@@ -427,7 +427,8 @@ def tfidf_terms(docs: DataFrame, doc_id: str, text: str, min_len: int = 2) -> Da
     words = docs.select(doc_id, tok).where(F.length("_w") >= min_len).select(doc_id, F.lower("_w").alias("term"))
     tf = words.groupBy(doc_id, "term").agg(F.count("*").alias("tf"))
     n_docs = docs.agg(F.count("*")).scalar()
-    dfreq = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # Reads tf (never 0), so that both sides plan the same aggregate and its rows are shuffled once for both.
+    dfreq = tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
     idf = F.ln((n_docs + 1) / (F.col("df") + 1))
     return tf.join(dfreq, "term").select(doc_id, "term", "tf", "df", idf.alias("idf"),
                                          (F.col("tf") * idf).alias("tfidf"))
