@@ -67,6 +67,47 @@ def test_counts_come_from_all_training_tokens(spark):
     assert (got == want).all() and got.sum() > 0
 
 
+def test_weights_come_from_all_training_tokens(spark):
+    """Weights learned over many partitions are those of one process that reads every training document, of whatever id."""
+    rows = [(k, prose(k, 40)) for k in range(90)]
+    raws = [t.encode() for i, t in rows if not held(i)]
+    wh, counts = np.unique(np.concatenate([lm_score._hashed(r) for r in raws]), return_counts=True)
+    codes = Codes(wh[counts > 1], counts[counts > 1], int((counts == 1).sum()), len(raws))
+
+    def taught(raws):
+        t = lm_score.Tokens(raws, lm_score.Finder(codes.wh))
+        total = np.zeros((token_mixing.DEPTHS, (token_mixing.ORDERS + 1) * (token_mixing.ORDERS + 2)))
+        mixer.slopes(t.leaf, t.before, total)
+        return mixer.moved(total).weights
+
+    t = lm_score.Tokens(raws, lm_score.Finder(codes.wh))
+    total = np.zeros((token_mixing.ORDERS, 2 * token_mixing.SLOTS), np.int64)
+    token_mixing.count_bits(codes, t.leaf, t.before, total)
+    mixer = TokenMixer(codes, total)
+    got = lm_score.token_weights(lm_score._units(frame(spark, rows).repartition(7), "doc_id", "text"), spark.sparkContext.broadcast(mixer))
+    assert np.abs(got.weights - taught(raws)).max() < 3e-4
+    for k in range(7):          # no fold of ids is left out
+        assert k == 2 or np.abs(got.weights - taught([t.encode() for i, t in rows if not held(i) and zlib.crc32(str(i).encode()) % 7 != k])).max() > 3e-4
+
+
+def test_slopes_are_sums_over_bits():
+    codes, _ = some_codes(300)
+    r = random.Random(5)
+    leaf = np.array([r.randrange(302) for _ in range(500)])
+    before = token_mixing.contexts(codes.wh[np.minimum(leaf, 299)], np.array([0]))
+    counts = np.zeros((token_mixing.ORDERS, 2 * token_mixing.SLOTS), np.int64)
+    token_mixing.count_bits(codes, leaf, before, counts)
+    mixer, n = TokenMixer(codes, counts), token_mixing.ORDERS + 1
+    got, want = np.zeros((token_mixing.DEPTHS, n * (n + 1))), np.zeros((token_mixing.DEPTHS, n * (n + 1)))
+    mixer.slopes(leaf, before, got)
+    for at in range(len(leaf)):
+        for depth, _, places in token_mixing.bit_steps(codes, codes.code[leaf[at:at + 1]], codes.length[leaf[at:at + 1]], [b[at:at + 1] for b in before]):
+            x = np.array([t[p[0]] for t, p in zip(mixer.tables(True), places)], float)
+            miss = 1 / (1 + np.exp(mixer.weights[depth] @ x))
+            want[depth] += [*(x * miss), *(np.outer(x, x) * miss * (1 - miss)).ravel()]
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-4) and np.abs(want).max() > 1
+
+
 def test_words_are_found_by_hash():
     keys = np.sort(np.random.default_rng(1).integers(0, 2 ** 64, 5000, dtype=np.uint64) >> np.uint64(8))    # many share their top bits
     wanted = np.concatenate([keys, keys + np.uint64(1), np.array([0, 2 ** 64 - 1], np.uint64)])
