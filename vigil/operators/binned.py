@@ -20,9 +20,9 @@ def cut_points(df: DataFrame, features: list[str], bins: int) -> list[list[float
     return [sorted(set(row[i] or [])) for i in range(len(features))]
 
 
-def bin_of(feature: str, cuts: list[float]) -> Column:
+def bin_of(feature: str | Column, cuts: list[float]) -> Column:
     """Number of cut points below the value (so a split at cut k keeps values up to it on the left); -1 for NULL."""
-    x = F.col(feature).cast("double")
+    x = (F.col(feature) if isinstance(feature, str) else feature).cast("double")
     below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: x > c)) if cuts else F.lit(0)
     return F.when(x.isNull(), -1).otherwise(below).cast("int")
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.exprs import md5_uniform
+from vigil.operators.forest import CellForest, train_cells
 from vigil.operators.tuning import nested_grid
 from vigil.session import cut_lineage
 
@@ -41,22 +42,34 @@ def _as_double(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 #: Rows of a training task: a forest of 100 trees holds some 450 bytes of each in its cache.
 ROWS_A_TASK = 200_000
+#: Rows up to which MLlib fits a forest, walking each row down each tree at every level; more are counted by cells.
+FOREST_ROWS = 200_000
 
 
 def _held(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns that a fit reads, written once, as its passes would compute the input again, and dealt out where a
     task had more than ROWS_A_TASK rows."""
-    rows = cut_lineage(df.select(*columns))
+    return _dealt(cut_lineage(df.select(*columns)))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
     parts = -(-rows.count() // ROWS_A_TASK)
     return rows.repartition(parts) if parts > rows.rdd.getNumPartitions() else rows
 
 
 def train_random_forest(df: DataFrame, features: list[str], label: str = "target", num_trees: int = 100,
-                        max_depth: int = 10, seed: int = 42) -> PipelineModel:
-    """i01: imputer -> assembler -> random forest (100 trees, depth 10, seed 42)."""
+                        max_depth: int = 10, seed: int = 42) -> PipelineModel | CellForest:
+    """i01: imputer -> assembler -> random forest (100 trees, depth 10, seed 42).
+
+    Above FOREST_ROWS the same forest, with other draws, grows on counted cells (``forest``) as long as the features
+    fall into a bounded number of bin combinations."""
+    rows = cut_lineage(_as_double(df, features, label).select(*features, label))
+    forest = train_cells(rows, features, label, num_trees, max_depth, seed) if rows.count() > FOREST_ROWS else None
+    if forest is not None:
+        return forest
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees,
                                 maxDepth=max_depth, seed=seed)
-    return Pipeline(stages=[*_prep(features), rf]).fit(_held(_as_double(df, features, label), [*features, label]))
+    return Pipeline(stages=[*_prep(features), rf]).fit(_dealt(rows))
 
 
 def train_boosted_trees(df: DataFrame, features: list[str], label: str = "target", max_iter: int = 100,
@@ -66,12 +79,14 @@ def train_boosted_trees(df: DataFrame, features: list[str], label: str = "target
     return Pipeline(stages=[*_prep(features), gbt]).fit(_held(_as_double(df, features, label), [*features, label]))
 
 
-def predict(model: PipelineModel, df: DataFrame, features: list[str], label: str | None = None) -> DataFrame:
+def predict(model: PipelineModel | CellForest, df: DataFrame, features: list[str], label: str | None = None) -> DataFrame:
     """Apply a fitted pipeline; adds ``prediction`` and ``probability_1`` (positive class)."""
     from pyspark.ml.functions import vector_to_array
     d = df.withColumns({c: F.col(c).cast("double") for c in features})
     if label is not None and label in df.columns:
         d = d.withColumn(label, F.col(label).cast("double"))
+    if isinstance(model, CellForest):
+        return model.predict(d)
     out = model.transform(d)
     return out.withColumn("probability_1", vector_to_array("probability")[1]).drop(
         "features", "rawPrediction", "probability", *[f"{c}_imp" for c in features])
@@ -143,9 +158,9 @@ def learning_curve(df: DataFrame, features: list[str], label: str, key: str, fol
                                      F.avg("validation_recall").alias("validation_recall")))
 
 
-def feature_importance(model: PipelineModel, features: list[str]) -> DataFrame:
+def feature_importance(model: PipelineModel | CellForest, features: list[str]) -> DataFrame:
     """i10: tree-ensemble feature importances, sorted (one row per feature)."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
+    imp = model.importances.tolist() if isinstance(model, CellForest) else model.stages[-1].featureImportances.toArray().tolist()
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     rows = sorted(zip(features, (float(x) for x in imp)), key=lambda r: (-r[1], r[0]))
